@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 from geoflow.session import cut, task_count
 
 #: A side is broadcast only if it was counted and has no more rows than this.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 1_000_000
 
 
 def lookup_join(facts: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join facts to a lookup table that may have several rows per key.
 
-    The table is written once and counted. Up to ``BROADCAST_ROWS`` rows it is sent
-    to every executor and the facts are not moved; beyond that the facts are
-    shuffled with their hot keys spread.
+    The table is written once and counted.
+    """
+    return kept_join(facts, cut(table), on, how)
+
+
+def kept_join(facts: DataFrame, kept: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """The same for a table that is already written.
+
+    Up to ``BROADCAST_ROWS`` rows it is sent to every executor and the facts are not
+    moved; beyond that the facts are shuffled with their hot keys spread.
     """
-    kept = cut(table)
     if kept.count() <= BROADCAST_ROWS:
         return facts.join(F.broadcast(kept), on, how)
     return skew_join(facts, kept, on, how)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from geoflow.functions.expr import period_of_id
@@ -49,8 +49,9 @@ def walk_ancestors(people: DataFrame, seeds: DataFrame, max_nodes: int = 14, key
             step = step.withColumn(period, period_of_id(F.col(key)).cast(dict(people.dtypes)[period]))
         # A level never has more rows than there are seeds, whose number is known here.
         found = people.join(F.broadcast(step), on) if few else skew_join(step, people, on)
-        level = cut(found.select("lineage_id", F.lit(depth).alias("depth"), *columns))
-        if level.isEmpty():
+        seen = Observation()
+        level = cut(found.select("lineage_id", F.lit(depth).alias("depth"), *columns).observe(seen, F.count("*").alias("n")))
+        if seen.get["n"] == 0:
             break
         levels.append(level)
     return reduce(DataFrame.unionByName, levels)

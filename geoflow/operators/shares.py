@@ -5,26 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoflow.functions.draws import digest, gamma4
+from geoflow.functions.draws import Draws
 from geoflow.functions.expr import safe_ratio
 from geoflow.session import cut, task_count
 
 
-def global_share(df: DataFrame, weight: str, out: str = "share") -> DataFrame:
-    """Weight over the sum of all weights; unchanged where that is zero."""
-    total = df.agg(F.sum(weight)).scalar()
+def _sum_of(df: DataFrame, weight: str, plan_sized: bool) -> Column:
+    """Sum over all rows: a subquery, or for plan-sized frames a window in one task."""
+    return F.sum(weight).over(Window.partitionBy()) if plan_sized else df.agg(F.sum(weight)).scalar()
+
+
+def global_share(df: DataFrame, weight: str, out: str = "share", plan_sized: bool = False) -> DataFrame:
+    """Weight over the sum of all weights; unchanged where that is zero.
+
+    Plan-sized frames have at most one row per period and pair of regions.
+    """
+    total = _sum_of(df, weight, plan_sized)
     return df.withColumn(out, safe_ratio(F.col(weight), total))
 
 
-def row_share(df: DataFrame, weight: str, keys: list[str], out: str = "share", floor: float | None = None) -> DataFrame:
+def row_share(df: DataFrame, weight: str, keys: list[str], out: str = "share",
+              floor: float | None = None, plan_sized: bool = False) -> DataFrame:
     """Weight over the sum of its group.
 
     A group that sums to zero keeps its weights; with ``floor`` the divisor is never
     below that value instead. The group sums are joined back, so a large group is
-    never sorted or held in one task.
+    never sorted or held in one task; plan-sized frames use a window instead.
     """
-    sums = df.groupBy(*keys).agg(F.sum(weight).alias("_sum"))
-    joined = df.join(sums, keys)
+    if plan_sized:
+        joined = df.withColumn("_sum", F.sum(weight).over(Window.partitionBy(*keys)))
+    else:
+        joined = df.join(df.groupBy(*keys).agg(F.sum(weight).alias("_sum")), keys)
     if floor is None:
         part = safe_ratio(F.col(weight), F.col("_sum"))
     else:
@@ -72,23 +83,25 @@ def apportion(df: DataFrame, weight: str, total, keys: list[str], out: str = "n"
     frame is a cohort plan, at most 64 by 64 rows, which one task may rank.
     """
     total = total if isinstance(total, Column) else F.lit(int(total))
-    mass = df.agg(F.sum(weight)).scalar()
+    mass = _sum_of(df, weight, plan_sized)
     mass = F.when(mass > 0, mass).otherwise(F.raise_error(F.lit("weights sum to zero")).cast("double"))
-    part = F.col(weight) / mass * total
-    based = df.withColumn("_base", F.floor(part).cast("long")).withColumn(
-        "_rest", F.round(part - F.floor(part), 9)
-    )
-    given = based.agg(F.sum("_base")).scalar()
+    split = df.withColumn("_part", F.col(weight) / mass * total)
+    based = split.withColumn("_base", F.floor("_part").cast("long")).withColumn(
+        "_rest", F.round(F.col("_part") - F.floor("_part"), 9)
+    ).drop("_part")
+    given = _sum_of(based, "_base", plan_sized)
     order = [F.col("_rest").desc(), *[F.col(k) for k in keys]]
     if plan_sized:
         ranked = based.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
     else:
         ranked = global_rank(based, order, "_rank")
-    extra = F.when(F.col("_rank") <= total - given, F.lit(1)).otherwise(F.lit(0))
-    return ranked.withColumn(out, (F.col("_base") + extra).cast("long")).drop("_base", "_rest", "_rank")
+    left = ranked.withColumn("_left", total - given)
+    extra = F.when(F.col("_rank") <= F.col("_left"), F.lit(1)).otherwise(F.lit(0))
+    return left.withColumn(out, (F.col("_base") + extra).cast("long")).drop("_base", "_rest", "_rank", "_left")
 
 
-def split_evenly(df: DataFrame, mass: str, keys: list[str], seed: int, parts: int = 10) -> DataFrame:
+def split_evenly(df: DataFrame, mass: str, keys: list[str], seed: int, parts: int = 10,
+                 source: str = "xxhash64") -> DataFrame:
     """Split each row's integer mass over ``parts`` sub-periods, exactly.
 
     Fractions are Dirichlet(4): gamma draws over their sum. What the floors leave
@@ -96,7 +109,7 @@ def split_evenly(df: DataFrame, mass: str, keys: list[str], seed: int, parts: in
     """
     slots = F.sequence(F.lit(0), F.lit(parts - 1))
     key_columns = [F.col(k) for k in keys]
-    draws = F.transform(slots, lambda k: gamma4(digest(seed, "split", *key_columns, k)))
+    draws = F.transform(slots, lambda k: Draws(seed, *key_columns, k, source=source).gamma4("split"))
     drawn = df.withColumn("_draw", draws)
     whole = F.aggregate("_draw", F.lit(0.0), lambda acc, x: acc + x)
     shared = drawn.withColumn("_sum", whole)

@@ -12,14 +12,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoflow.functions.draws import digest, lifespan, standard_normal, uniform, uniform_wide
-from geoflow.functions.expr import clamp_lat, death_year, gaussian_kernel, pack_id, wrap_lon, year_in_period
+from geoflow.functions.draws import Draws, jitter, lifespan
+from geoflow.functions.expr import death_year, gaussian_kernel, pack_id, year_in_period
 from geoflow.functions.periods import Periods
 from geoflow.operators.intervals import cause_labels
-from geoflow.operators.joins import lookup_join
+from geoflow.operators.joins import BROADCAST_ROWS, lookup_join
 from geoflow.plans.model import region_pairs
 from geoflow.schemas import MOVE, NO_PARENT, PERSON
-from geoflow.session import task_count
+from geoflow.session import cut, task_count
 from geoflow.sources.catalog import cause_dim
 from geoflow.sources.facts import fit
 
@@ -30,8 +30,15 @@ MOVER_OFFSETS = (1, 2, 3)
 BIRTH_SPREAD = 0.5
 MOVE_SPREAD = 0.4
 
+#: Weights below this many decimals are under the resolution of a 52-bit draw.
+KERNEL_DECIMALS = 15
+
 #: Rows one chunk of a plan row makes; a large cohort becomes many chunks.
-CHUNK_ROWS = 1 << 16
+CHUNK_ROWS = 1 << 13
+
+#: Bins of a draw table. With 64 x 64 keys of at most 128 choices each it has at most
+#: 64 * 64 * (128 + 32) rows, which is below the broadcast limit.
+BINS = 32
 
 
 # --- expanding a plan -----------------------------------------------------------
@@ -46,66 +53,63 @@ def chunks(plan: DataFrame, n: str = "n", chunk_rows: int = CHUNK_ROWS) -> DataF
     )
 
 
-def expand(plan: DataFrame, n: str = "n", out: str = "i", chunk_rows: int = CHUNK_ROWS,
+def expand(plan: DataFrame, keys: list[str], n: str = "n", out: str = "i", chunk_rows: int = CHUNK_ROWS,
            partitions: int | None = None) -> DataFrame:
     """n rows per plan row with an index from 0.
 
     Only the chunks are shuffled, before they grow, so one cohort that holds most of
-    the rows still spreads over all tasks. The partition number is given outright:
-    adaptive execution would merge the small chunk rows into one task.
+    the rows still spreads over all tasks. Ranges of ``keys`` keep a period's rows in
+    few tasks and so in few files, without a shuffle of the rows themselves. The
+    partition number is given outright: adaptive execution would merge the small
+    chunk rows into one task.
     """
-    spread = chunks(plan, n, chunk_rows).repartition(partitions or task_count(plan.sparkSession))
+    tasks = partitions or 2 * task_count(plan.sparkSession)
+    spread = chunks(plan, n, chunk_rows).repartitionByRange(tasks, *keys, "chunk")
     index = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("size") - 1))
     return spread.withColumn(out, index).drop("chunk", "first", "size")
 
 
 # --- drawing from a table -------------------------------------------------------
 
-def intervals_of(table: DataFrame, keys: list[str], weight: str, order: list[str], bins: int = 32) -> DataFrame:
-    """Weights of each key as intervals ``(lo, hi]`` of (0, 1), cut by equal bins.
+def draw_table(table: DataFrame, keys: list[str], weight: str, order: list[str], bins: int = BINS) -> DataFrame:
+    """Weights of each key as intervals ``(lo, hi]`` of (0, 1), listed per bin of equal width.
 
-    The bin lets a draw find its few candidates by equality instead of testing all.
-    A key's choices are cohorts, whose number the packed id bounds.
+    The bin lets a draw find its few candidates by equality. Keys and choices are
+    positions of a packed id, which bounds the table. It is kept, for it is used
+    more than once.
     """
+    values = [c for c in table.columns if c not in (*keys, weight)]
+    used = table.where(F.col(weight) > 0)
     inside = Window.partitionBy(*keys).orderBy(*order)
-    whole = Window.partitionBy(*keys)
     running = F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    used = table.where(F.col(weight) > 0)
-    summed = used.withColumn("_run", running).withColumn("_sum", F.sum(weight).over(whole)).withColumn(
-        "_place", F.row_number().over(inside)
-    ).withColumn("_many", F.count("*").over(whole))
-    hi = F.when(F.col("_place") == F.col("_many"), F.lit(1.0)).otherwise(F.col("_run") / F.col("_sum"))
-    lo = F.coalesce(F.lag("hi").over(inside), F.lit(0.0))
-    bounded = summed.withColumn("hi", hi).withColumn("lo", lo).where(F.col("hi") > F.col("lo"))
+    # The last running sum of the key is its total, so its last bound is exactly 1.
+    total = F.max("_run").over(Window.partitionBy(*keys))
+    summed = used.withColumn("_run", running).withColumn("hi", F.col("_run") / total)
+    bounded = summed.withColumn("lo", F.coalesce(F.lag("hi").over(inside), F.lit(0.0)))
     touched = F.sequence(
         F.floor(F.col("lo") * bins).cast("int"), F.least(F.floor(F.col("hi") * bins).cast("int"), F.lit(bins - 1))
     )
-    return bounded.withColumn("bin", F.explode(touched)).drop("_run", "_sum", "_place", "_many", weight)
+    placed = bounded.where(F.col("hi") > F.col("lo")).withColumn("bin", F.explode(touched))
+    return cut(placed.select(_slot(keys, bins).alias("slot"), "lo", "hi", *values))
 
 
-def choose(df: DataFrame, table: DataFrame, keys: list[str], draw: Column, how: str = "inner", bins: int = 32) -> DataFrame:
-    """Add the columns of the table row whose interval holds the draw."""
-    drawn = df.withColumn("_u", draw).withColumn("bin", F.floor(F.col("_u") * bins).cast("int"))
-    # One candidate list per bin, so that the interval test needs no fan-out.
-    values = [c for c in table.columns if c not in (*keys, "bin", "lo", "hi")]
-    packed = table.groupBy(*keys, "bin").agg(
-        F.array_sort(F.collect_list(F.struct("hi", *values))).alias("_options")
-    )
-    joined = lookup_join(drawn, packed, [*keys, "bin"], how)
-    hit = F.element_at(F.filter("_options", lambda o: o["hi"] >= F.col("_u")), 1)
-    picked = joined.withColumn("_hit", hit)
-    return picked.select(*df.columns, *[F.col("_hit")[v].alias(v) for v in values])
+def _slot(keys: list[str], bins: int) -> Column:
+    """Key positions, each below 64, and the bin as one number: a join on one long."""
+    at = F.lit(0).cast("long")
+    for key in keys:
+        at = at * F.lit(64) + F.col(key)
+    return at * F.lit(bins) + F.col("bin")
 
 
-# --- places ---------------------------------------------------------------------
-
-def jitter(lat: Column, lon: Column, radius: Column, scale: float, bits: Column) -> tuple[Column, Column]:
-    """Point around a centre; longitude noise grows as the circles of latitude shrink."""
-    sigma = radius * F.lit(scale)
-    shrink = F.greatest(F.cos(F.radians(lat)), F.lit(0.2))
-    new_lat = clamp_lat(lat + sigma * standard_normal(bits, 0))
-    new_lon = wrap_lon(lon + sigma * standard_normal(bits, 2) / shrink)
-    return new_lat, new_lon
+def choose(df: DataFrame, table: DataFrame, keys: list[str], draw: Column, bins: int = BINS) -> DataFrame:
+    """Add the columns of the choice whose interval holds the draw, null where a key has none."""
+    values = [c for c in table.columns if c not in ("slot", "lo", "hi")]
+    drawn = df.withColumn("_u", draw).withColumn("bin", F.floor(F.col("_u") * bins).cast("int"))
+    drawn = drawn.withColumn("_at", _slot(keys, bins))
+    if table.count() > BROADCAST_ROWS:
+        raise ValueError("a draw table has at most 64 x 64 keys")
+    held = (F.col("_at") == F.col("slot")) & (F.col("lo") < F.col("_u")) & (F.col("hi") >= F.col("_u"))
+    return drawn.join(F.broadcast(table), held, "left").select(*df.columns, *values)
 
 
 # --- parents --------------------------------------------------------------------
@@ -125,7 +129,7 @@ def parent_choices(plan: DataFrame, regions: DataFrame) -> DataFrame:
         regions.select(F.col("region_idx").alias("src_idx"), F.col("region_idx").alias("dst_idx"),
                        F.lit(0.0).alias("distance_km"))
     ).select(F.col("src_idx").alias("region_idx"), F.col("dst_idx").alias("want"),
-             gaussian_kernel(F.col("distance_km")).alias("w"))
+             F.round(gaussian_kernel(F.col("distance_km")), KERNEL_DECIMALS).alias("w")).where(F.col("w") > 0)
     offsets = F.explode(F.array(*[F.lit(o) for o in PARENT_OFFSETS]))
     wanted = (
         children.withColumn("_offset", offsets)
@@ -163,53 +167,48 @@ def parent_choices(plan: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
-def assign_parents(people: DataFrame, plan: DataFrame, regions: DataFrame, seed: int = DEFAULT_SEED) -> DataFrame:
+def assign_parents(people: DataFrame, plan: DataFrame, regions: DataFrame, draws: Draws) -> DataFrame:
     """Add two parent ids; -1 for the first periods and where no cohort can be found."""
-    table = intervals_of(parent_choices(plan, regions), ["period_idx", "region_idx"], "w",
-                         ["parent_period", "parent_region"])
+    table = draw_table(parent_choices(plan, regions), ["period_idx", "region_idx"], "w",
+                       ["parent_period", "parent_region"])
     out = people
     for number in (1, 2):
-        bits = digest(seed, f"parent{number}", F.col("period_idx"), F.col("region_idx"), F.col("i"))
-        out = out.withColumn("_bits", bits)
-        out = choose(out, table, ["period_idx", "region_idx"], uniform_wide(F.col("_bits"), 0), "left")
-        index = F.floor(uniform_wide(F.col("_bits"), 1) * F.col("parent_n")).cast("long")
+        salt = f"parent{number}"
+        out = choose(out, table, ["period_idx", "region_idx"], draws.wide(salt, 0))
+        index = F.floor(draws.wide(salt, 1) * F.col("parent_n")).cast("long")
         packed = pack_id(F.col("parent_period"), F.col("parent_region"), index)
         out = out.withColumn(
             f"parent{number}_id",
             F.when(F.col("parent_n").isNotNull(), packed).otherwise(F.lit(NO_PARENT).cast("long")),
-        ).drop("_bits", "parent_period", "parent_region", "parent_n")
+        ).drop("parent_period", "parent_region", "parent_n")
     return out
 
 
 # --- facts ----------------------------------------------------------------------
 
 def people(plan: DataFrame, regions: DataFrame, periods: Periods, seed: int = DEFAULT_SEED,
-           partitions: int | None = None) -> DataFrame:
+           source: str = "xxhash64", partitions: int | None = None) -> DataFrame:
     """One row per planned person, in the people schema."""
     key = [F.col("period_idx"), F.col("region_idx"), F.col("i")]
+    draws = Draws(seed, *key, source=source)
     centre = regions.select("region_idx", "lat", "lon", "radius_deg", "continent")
     # The region's attributes are joined to plan rows and travel along the expansion.
-    rows = expand(plan.join(centre, "region_idx"), partitions=partitions)
-    drawn = (
-        rows.withColumn("_life", digest(seed, "life", *key))
-        .withColumn("_place", digest(seed, "place", *key))
-        .withColumn("_year", digest(seed, "year", *key))
-    )
+    rows = expand(plan.join(centre, "region_idx"), ["period_idx", "region_idx"], partitions=partitions)
     first = periods.first_year(F.col("period_idx"))
-    birth = year_in_period(first, uniform(F.col("_year"), 0), periods.width)
-    lat, lon = jitter(F.col("lat"), F.col("lon"), F.col("radius_deg"), BIRTH_SPREAD, F.col("_place"))
-    made = drawn.select(
+    birth = year_in_period(first, draws.uniform("year", 0), periods.width)
+    lat, lon = jitter(F.col("lat"), F.col("lon"), F.col("radius_deg"), BIRTH_SPREAD, draws, "place")
+    made = rows.select(
         "period_idx", "region_idx", "i",
         pack_id(*key).alias("id"),
         birth.alias("birth_year"),
-        lifespan(F.col("period_idx"), periods.last, F.col("_life")).alias("_span"),
-        F.floor(uniform(F.col("_year"), 1) * 2).alias("sex"),
+        lifespan(F.col("period_idx"), periods.last, draws).alias("_span"),
+        F.floor(draws.uniform("year", 1) * 2).alias("sex"),
         lat.alias("birth_lat"),
         lon.alias("birth_lon"),
         F.col("continent").alias("birth_continent"),
     ).withColumn("death_year", death_year(F.col("birth_year"), F.col("_span"), first))
     return fit(
-        assign_parents(made, plan, regions, seed).withColumn("birth_region_idx", F.col("region_idx")), PERSON
+        assign_parents(made, plan, regions, draws).withColumn("birth_region_idx", F.col("region_idx")), PERSON
     )
 
 
@@ -229,32 +228,29 @@ def mover_choices(plan: DataFrame, flows: DataFrame) -> DataFrame:
 
 
 def moves(flows: DataFrame, plan: DataFrame, regions: DataFrame, event: DataFrame, pulls: DataFrame,
-          periods: Periods, seed: int = DEFAULT_SEED, partitions: int | None = None) -> DataFrame:
+          periods: Periods, seed: int = DEFAULT_SEED, source: str = "xxhash64",
+          partitions: int | None = None) -> DataFrame:
     """One row per planned move, in the moves schema."""
     key = [F.col("period_idx"), F.col("src_idx"), F.col("dst_idx"), F.col("i")]
+    draws = Draws(seed, *key, source=source)
     src = regions.select(F.col("region_idx").alias("src_idx"), F.col("lat").alias("src_lat"),
                          F.col("lon").alias("src_lon"), F.col("radius_deg").alias("src_radius"))
     dst = regions.select(F.col("region_idx").alias("dst_idx"), F.col("lat").alias("dst_lat"),
                          F.col("lon").alias("dst_lon"), F.col("radius_deg").alias("dst_radius"))
-    rows = expand(flows.join(src, "src_idx").join(dst, "dst_idx"), partitions=partitions)
-    drawn = (
-        rows.withColumn("_from", digest(seed, "from", *key))
-        .withColumn("_to", digest(seed, "to", *key))
-        .withColumn("_who", digest(seed, "mover", *key))
-        .withColumn("_when", digest(seed, "when", *key))
-    )
+    rows = expand(flows.join(src, "src_idx").join(dst, "dst_idx"), ["period_idx", "src_idx", "dst_idx"],
+                  partitions=partitions)
     first = periods.first_year(F.col("period_idx"))
-    dated = drawn.withColumn("year", year_in_period(first, uniform(F.col("_when"), 0), periods.width))
-    table = intervals_of(mover_choices(plan, flows), ["period_idx", "src_idx"], "w", ["mover_period"], bins=4)
-    chosen = choose(dated, table, ["period_idx", "src_idx"], uniform_wide(F.col("_who"), 0), "left", bins=4)
-    index = F.floor(uniform_wide(F.col("_who"), 1) * F.col("mover_n")).cast("long")
+    dated = rows.withColumn("year", year_in_period(first, draws.uniform("when", 0), periods.width))
+    table = draw_table(mover_choices(plan, flows), ["period_idx", "src_idx"], "w", ["mover_period"], bins=4)
+    chosen = choose(dated, table, ["period_idx", "src_idx"], draws.wide("mover", 0), bins=4)
+    index = F.floor(draws.wide("mover", 1) * F.col("mover_n")).cast("long")
     person = F.when(F.col("mover_n").isNotNull(), pack_id(F.col("mover_period"), F.col("src_idx"), index)).otherwise(
         F.lit(NO_PARENT).cast("long")
     )
     labels = cause_labels(event, pulls).join(cause_dim(event), "cause_label")
     labelled = lookup_join(chosen, labels, ["src_idx", "dst_idx", "year"], "left")
-    from_lat, from_lon = jitter(F.col("src_lat"), F.col("src_lon"), F.col("src_radius"), MOVE_SPREAD, F.col("_from"))
-    to_lat, to_lon = jitter(F.col("dst_lat"), F.col("dst_lon"), F.col("dst_radius"), MOVE_SPREAD, F.col("_to"))
+    from_lat, from_lon = jitter(F.col("src_lat"), F.col("src_lon"), F.col("src_radius"), MOVE_SPREAD, draws, "from")
+    to_lat, to_lon = jitter(F.col("dst_lat"), F.col("dst_lon"), F.col("dst_radius"), MOVE_SPREAD, draws, "to")
     return fit(
         labelled.select(
             person.alias("person_id"),

@@ -5,7 +5,7 @@ All frames here are bounded by the packed id: at most 64 regions and 64 periods.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoflow.functions.expr import clip, gravity, haversine_km, linear_schedule
@@ -74,7 +74,7 @@ def logistic_fold(steps: DataFrame, key: str, order: str, out: str = "population
 
 def population(regions: DataFrame, factors: DataFrame, periods: Periods) -> DataFrame:
     """Population index ``(period_idx, region_idx, population)`` from initial shares."""
-    initial = global_share(regions.select("region_idx", "pop_share"), "pop_share", "start")
+    initial = global_share(regions.select("region_idx", "pop_share"), "pop_share", "start", plan_sized=True)
     d = F.col("period_idx")
     births = schedule(BIRTH_RATE, periods, d) * F.lit(float(periods.width)) * F.col("birth_factor")
     deaths = schedule(DEATH_RATE, periods, d) * F.lit(float(periods.width)) * F.col("mortality_factor")
@@ -95,7 +95,7 @@ def birth_weights(pop: DataFrame, factors: DataFrame, periods: Periods) -> DataF
     weighted = mid.join(factors, ["period_idx", "region_idx"]).select(
         "period_idx", "region_idx", (F.col("midpoint") * F.col("birth_factor") * rate).alias("w")
     )
-    return global_share(weighted, "w", "weight").drop("w")
+    return global_share(weighted, "w", "weight", plan_sized=True).drop("w")
 
 
 def cohort_plan(weights: DataFrame, total) -> DataFrame:
@@ -111,31 +111,29 @@ def flow_shares(regions: DataFrame, pop: DataFrame, pulls: DataFrame, event: Dat
     ``pulls`` is the pull matrix. In a period with any pull, a source without pulls
     keeps only its gravity part.
     """
-    mass = pop.select("period_idx", "region_idx", "population", F.greatest("population", F.lit(1e-9)).alias("mass"))
-    src = mass.select("period_idx", F.col("region_idx").alias("src_idx"), F.col("mass").alias("src_mass"),
-                      F.col("population").alias("src_pop"))
-    dst = mass.select("period_idx", F.col("region_idx").alias("dst_idx"), F.col("mass").alias("dst_mass"))
+    by_period = Window.partitionBy("period_idx")
+    intensity = active_counts(event, periods, match).select("period_idx", "intensity")
+    pulled = pulls.groupBy("period_idx").agg(F.sum("pull").alias("period_pull"))
+    # Everything that depends on the source alone is settled before pairs are made.
+    leaving = F.col("population") / F.greatest(F.sum("population").over(by_period), F.lit(1e-12)) * F.col("intensity")
+    mass = F.greatest("population", F.lit(1e-9))
+    src = pop.join(intensity, "period_idx").join(pulled, "period_idx", "left").select(
+        "period_idx", F.col("region_idx").alias("src_idx"), mass.alias("src_mass"), leaving.alias("leaving"),
+        (F.coalesce("period_pull", F.lit(0.0)) > 0).alias("has_pull"),
+    )
+    dst = pop.select("period_idx", F.col("region_idx").alias("dst_idx"), mass.alias("dst_mass"))
     paired = src.join(region_pairs(regions), "src_idx").join(dst, ["period_idx", "dst_idx"])
     weighted = paired.withColumn("w", gravity(F.col("src_mass"), F.col("dst_mass"), F.col("distance_km")))
-    scaled = row_share(weighted, "w", ["period_idx"], "scaled")
-    near = row_share(scaled, "scaled", ["period_idx", "src_idx"], "near", floor=1e-12)
-    drawn = row_share(pulls, "pull", ["period_idx", "src_idx"], "drawn")
-    pulled_periods = pulls.groupBy("period_idx").agg(F.sum("pull").alias("period_pull"))
-    pop_sum = pop.groupBy("period_idx").agg(F.sum("population").alias("pop_sum"))
-    intensity = active_counts(event, periods, match).select("period_idx", "intensity")
-    joined = (
-        near.join(drawn.select("period_idx", "src_idx", "dst_idx", "drawn"), ["period_idx", "src_idx", "dst_idx"], "left")
-        .join(pulled_periods, "period_idx", "left")
-        .join(pop_sum, "period_idx")
-        .join(intensity, "period_idx")
+    scaled = row_share(weighted, "w", ["period_idx"], "scaled", plan_sized=True)
+    near = row_share(scaled, "scaled", ["period_idx", "src_idx"], "near", floor=1e-12, plan_sized=True)
+    drawn = row_share(pulls, "pull", ["period_idx", "src_idx"], "drawn", plan_sized=True)
+    joined = near.join(
+        drawn.select("period_idx", "src_idx", "dst_idx", "drawn"), ["period_idx", "src_idx", "dst_idx"], "left"
     )
-    blend = F.when(
-        F.coalesce("period_pull", F.lit(0.0)) > 0,
-        F.lit(PULL_PART) * F.coalesce("drawn", F.lit(0.0)) + F.lit(GRAVITY_PART) * F.col("near"),
-    ).otherwise(F.col("near"))
-    leaving = F.col("src_pop") / F.greatest("pop_sum", F.lit(1e-12))
-    flows = joined.select("period_idx", "src_idx", "dst_idx", (leaving * blend * F.col("intensity")).alias("w"))
-    return global_share(flows, "w").select("period_idx", "src_idx", "dst_idx", "share")
+    both = F.lit(PULL_PART) * F.coalesce("drawn", F.lit(0.0)) + F.lit(GRAVITY_PART) * F.col("near")
+    blend = F.when(F.col("has_pull"), both).otherwise(F.col("near"))
+    flows = joined.select("period_idx", "src_idx", "dst_idx", (F.col("leaving") * blend).alias("w"))
+    return global_share(flows, "w", plan_sized=True).select("period_idx", "src_idx", "dst_idx", "share")
 
 
 def flow_counts(shares: DataFrame, total, exact: bool = False) -> DataFrame:

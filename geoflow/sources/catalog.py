@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoflow.schemas import EVENT
+from geoflow.session import local_frame
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
         text = spark.read.text(path, wholetext=True).first()[0]
         rows = yaml.safe_load(text)["events"]
-        return spark.createDataFrame([_coerced(r) for r in rows], EVENT)
+        return local_frame(spark, [_coerced(r) for r in rows], EVENT)
     multi_line = not path.endswith(".jsonl")
     return spark.read.schema(EVENT).option("multiLine", multi_line).json(path)
 
@@ -82,5 +83,5 @@ def cause_dim(event: DataFrame) -> DataFrame:
         F.col("id").alias("cause_label"),
         F.row_number().over(order).cast("int").alias("cause_id"),
     )
-    first = event.sparkSession.createDataFrame([("baseline", 0)], "cause_label string, cause_id int")
+    first = local_frame(event.sparkSession, [{"cause_label": "baseline", "cause_id": 0}], named.schema)
     return first.unionByName(named)

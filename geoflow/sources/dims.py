@@ -6,9 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoflow.functions.expr import argmax_label, normalise
 from geoflow.schemas import GROUPS, MAX_REGIONS, REGION
+from geoflow.session import local_frame
 
 
 def checked_regions(df: DataFrame) -> DataFrame:
@@ -27,10 +29,8 @@ def region_dim(spark: SparkSession, rows: list) -> DataFrame:
     """
     if len(rows) > MAX_REGIONS:
         raise ValueError(f"at most {MAX_REGIONS} regions fit the packed id, not {len(rows)}")
-    names = REGION.fieldNames()
-    keyed = [tuple([i] + [r.get(n) for n in names]) for i, r in enumerate(rows)]
-    raw = spark.createDataFrame(keyed, "region_idx int, " + ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in REGION.fields))
+    keyed = T.StructType([T.StructField("region_idx", T.IntegerType(), False), *REGION.fields])
+    raw = local_frame(spark, [{**{n: r.get(n) for n in REGION.names}, "region_idx": i} for i, r in enumerate(rows)], keyed)
     groups = normalise(F.col("ethno"))
     return raw.select(
         "region_idx",
@@ -79,7 +79,8 @@ SCALES = {
 
 
 def targets(spark: SparkSession) -> DataFrame:
-    rows = [(s.name, s.initial, s.people, s.moves, s.shuffle_partitions) for s in SCALES.values()]
-    return spark.createDataFrame(
-        rows, "scale string, initial long, people long, moves long, shuffle_partitions int"
-    )
+    rows = [
+        {"scale": s.name, "initial": s.initial, "people": s.people, "moves": s.moves, "shuffle_partitions": s.shuffle_partitions}
+        for s in SCALES.values()
+    ]
+    return local_frame(spark, rows, "scale string, initial long, people long, moves long, shuffle_partitions int")
