@@ -78,6 +78,16 @@ SCALES = {
 }
 
 
+def run_size(df: DataFrame, initial: str = "initial") -> DataFrame:
+    """People and moves to make for an initial population, as ``Scale`` has it."""
+    n = F.col(initial)
+    return df.select(
+        n,
+        F.greatest(n * 30, F.lit(50_000).cast("long")).alias("people"),
+        F.greatest(n * 20, F.lit(30_000).cast("long")).alias("moves"),
+    )
+
+
 def targets(spark: SparkSession) -> DataFrame:
     rows = [
         {"scale": s.name, "initial": s.initial, "people": s.people, "moves": s.moves, "shuffle_partitions": s.shuffle_partitions}
