@@ -18,10 +18,11 @@ from geoflow.operators.density import (
 from geoflow.operators.synth import expand
 from geoflow.plans import model
 from parity.registry import case
-from parity.views import PERIODS, SEED, sql, view
+from parity.views import PERIODS, SEED, cell, sql, view
 
 # --- filters --------------------------------------------------------------------
 
+view("v_person_cell", f"select id, {cell('birth_lat', 'birth_lon')} as cell from v_person", "v_person")
 view("v_living", """
     select p.*, d.period_idx as at_idx from v_person p
     join v_period d on p.death_year >= d.period_year and p.birth_year <= d.period_year""", "v_person", "v_period")
