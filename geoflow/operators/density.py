@@ -50,15 +50,20 @@ def density(people: DataFrame, regions: DataFrame, periods: Periods, mode: str =
 
     Rows are counted by region position before anything is joined: what is shuffled
     are counts per cell, and the label is looked up for those. Both later aggregates
-    use one more exchange by period and cell.
+    use one more exchange by period and cell. In ``living`` mode people are counted
+    per cell and span of periods first, so that counts are spread over the periods
+    and not people.
     """
     if cell is None:
         cell = cell_id(F.col("birth_lat").cast("double"), F.col("birth_lon").cast("double"), res)
-    counted = label_counts(
-        living(people, periods, mode).select("period_idx", cell.alias("_cell"), "birth_region_idx"),
-        ["period_idx", "_cell"],
-        "birth_region_idx",
-    )
+    if mode == "living":
+        counted = _spread_counts(people, periods, cell)
+    else:
+        counted = label_counts(
+            living(people, periods, mode).select("period_idx", cell.alias("_cell"), "birth_region_idx"),
+            ["period_idx", "_cell"],
+            "birth_region_idx",
+        )
     named = counted.join(
         regions.select(F.col("region_idx").alias("birth_region_idx"), "continent"), "birth_region_idx"
     )
@@ -78,6 +83,17 @@ def density(people: DataFrame, regions: DataFrame, periods: Periods, mode: str =
     )
 
 
+def _spread_counts(people: DataFrame, periods: Periods, cell: Column) -> DataFrame:
+    span = periods.covered(F.col("birth_year"), F.col("death_year"), "overlap")
+    spans = people.select(cell.alias("_cell"), "birth_region_idx", span.alias("_span")).where(F.size("_span") > 0)
+    grouped = spans.groupBy("_cell", "birth_region_idx", F.col("_span")[0].alias("_from"), F.size("_span").alias("_many"))
+    counted = grouped.agg(F.count("*").alias("n"))
+    each = F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("_many") - 1))
+    return counted.withColumn("period_idx", each).groupBy("period_idx", "_cell", "birth_region_idx").agg(
+        F.sum("n").alias("n")
+    )
+
+
 def by_magnitude(df: DataFrame, value: str, ties: list[str], period: str = "period_idx") -> DataFrame:
     """Global order: by period, largest first."""
     return df.orderBy(period, F.col(value).desc(), *ties)

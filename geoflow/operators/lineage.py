@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geoflow.functions.expr import period_of_id
 from geoflow.operators.joins import BROADCAST_ROWS, skew_join
-from geoflow.schemas import NO_PARENT
+from geoflow.schemas import MAX_PERIODS, NO_PARENT
 from geoflow.session import cut
 
 
@@ -48,7 +48,10 @@ def walk_ancestors(people: DataFrame, seeds: DataFrame, max_nodes: int = 14, key
         if period is not None:
             step = step.withColumn(period, period_of_id(F.col(key)).cast(dict(people.dtypes)[period]))
         # A level never has more rows than there are seeds, whose number is known here.
-        found = people.join(F.broadcast(step), on) if few else skew_join(step, people, on)
+        if few:
+            found = people.join(F.broadcast(step), on)
+        else:
+            found = skew_join(step, _only_periods_of(people, step, period), on)
         seen = Observation()
         level = cut(found.select("lineage_id", F.lit(depth).alias("depth"), *columns).observe(seen, F.count("*").alias("n")))
         if seen.get["n"] == 0:
@@ -57,6 +60,14 @@ def walk_ancestors(people: DataFrame, seeds: DataFrame, max_nodes: int = 14, key
     return reduce(DataFrame.unionByName, levels)
 
 
+def _only_periods_of(people: DataFrame, step: DataFrame, period: str | None) -> DataFrame:
+    """Without a broadcast there is no dynamic pruning; the at most 64 periods are named instead."""
+    if period is None:
+        return people
+    found = [row[0] for row in step.select(period).distinct().limit(MAX_PERIODS).collect()]
+    return people.where(F.col(period).isin(found))
+
+
 def lineages(people: DataFrame, regions: DataFrame, n: int = 50, max_nodes: int = 14,
              first_period: int = 45) -> DataFrame:
     """Sampled late people and their ancestors with region names."""

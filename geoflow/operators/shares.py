@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geoflow.functions.draws import Draws
 from geoflow.functions.expr import safe_ratio
+from geoflow.operators.joins import lookup_join
 from geoflow.session import cut, task_count
 
 
@@ -29,13 +30,13 @@ def row_share(df: DataFrame, weight: str, keys: list[str], out: str = "share",
     """Weight over the sum of its group.
 
     A group that sums to zero keeps its weights; with ``floor`` the divisor is never
-    below that value instead. The group sums are joined back, so a large group is
-    never sorted or held in one task; plan-sized frames use a window instead.
+    below that value instead. The sums are joined back by ``lookup_join``, so a large
+    group is never gathered in one task; plan-sized frames use a window instead.
     """
     if plan_sized:
         joined = df.withColumn("_sum", F.sum(weight).over(Window.partitionBy(*keys)))
     else:
-        joined = df.join(df.groupBy(*keys).agg(F.sum(weight).alias("_sum")), keys)
+        joined = lookup_join(df, df.groupBy(*keys).agg(F.sum(weight).alias("_sum")), keys)
     if floor is None:
         part = safe_ratio(F.col(weight), F.col("_sum"))
     else:
@@ -46,11 +47,16 @@ def row_share(df: DataFrame, weight: str, keys: list[str], out: str = "share",
 def ratio_to_max(df: DataFrame, value: str, keys: list[str], out: str = "ratio") -> DataFrame:
     """Value over its group's largest; divisor 1 where that is zero or absent."""
     peaks = df.groupBy(*keys).agg(F.max(value).alias("_max"))
-    return df.join(peaks, keys).withColumn(out, safe_ratio(F.col(value).cast("double"), F.col("_max").cast("double"))).drop("_max")
+    joined = lookup_join(df, peaks, keys)
+    ratio = safe_ratio(F.col(value).cast("double"), F.col("_max").cast("double"))
+    return joined.withColumn(out, ratio).drop("_max")
 
 
 def midpoint(df: DataFrame, value: str, keys: list[str], order: str, out: str = "midpoint") -> DataFrame:
-    """Mean of the previous and the current value; the first value as it is."""
+    """Mean of the previous and the current value; the first value as it is.
+
+    A key's series has one row per period.
+    """
     before = F.lag(value).over(Window.partitionBy(*keys).orderBy(order))
     return df.withColumn(out, (F.coalesce(before, F.col(value)) + F.col(value)) / F.lit(2.0))
 

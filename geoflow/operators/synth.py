@@ -139,31 +139,35 @@ def parent_choices(plan: DataFrame, regions: DataFrame) -> DataFrame:
     )
     cohort = sized.select(F.col("period_idx").alias("at"), F.col("region_idx").alias("want"), F.col("n").alias("n_want"))
     own = sized.select(F.col("period_idx").alias("at"), "region_idx", F.col("n").alias("n_own"))
-    looked = wanted.join(cohort, ["at", "want"], "left").join(own, ["at", "region_idx"], "left")
+    here = sized.groupBy(F.col("period_idx").alias("at")).agg(F.sum("n").alias("total_here"))
+    looked = (
+        wanted.join(cohort, ["at", "want"], "left").join(own, ["at", "region_idx"], "left").join(here, "at", "left")
+    )
+    # Only where both cohorts are empty does a row meet the cohorts of a whole period.
+    settled = F.coalesce("n_want", "n_own").isNotNull()
+    before = F.greatest(F.col("at") - 1, F.lit(0))
+    resort = F.when(~settled, F.when(F.col("total_here").isNotNull(), F.col("at")).otherwise(before))
+    any_cohort = sized.join(here.withColumnRenamed("at", "period_idx"), "period_idx").select(
+        F.col("period_idx").alias("any_period"), F.col("region_idx").alias("any_region"), F.col("n").alias("any_n"),
+        (F.col("n") / F.col("total_here")).alias("any_share"),
+    )
+    met = looked.withColumn("_resort", resort).join(any_cohort, F.col("_resort") == F.col("any_period"), "left")
     base = ["period_idx", "region_idx"]
-    settled = looked.where(F.coalesce("n_want", "n_own").isNotNull()).select(
+    chosen = met.select(
         *base,
-        F.col("at").alias("parent_period"),
-        F.when(F.col("n_want").isNotNull(), F.col("want")).otherwise(F.col("region_idx")).alias("parent_region"),
-        F.coalesce("n_want", "n_own").alias("parent_n"),
-        "w",
-    )
-    # Empty cohorts on both sides: the weight goes to a whole period.
-    totals = sized.groupBy("period_idx").agg(F.sum("n").alias("total"))
-    here = totals.select(F.col("period_idx").alias("at"), F.col("total").alias("total_here"))
-    open_ = looked.where(F.coalesce("n_want", "n_own").isNull()).groupBy(*base, "at").agg(F.sum("w").alias("w"))
-    moved = open_.join(here, "at", "left").withColumn(
-        "at", F.when(F.col("total_here").isNotNull(), F.col("at")).otherwise(F.greatest(F.col("at") - 1, F.lit(0)))
-    ).drop("total_here")
-    spread = (
-        moved.join(sized.select(F.col("period_idx").alias("at"), F.col("region_idx").alias("parent_region"),
-                                F.col("n").alias("parent_n")), "at")
-        .join(here, "at")
-        .select(*base, F.col("at").alias("parent_period"), "parent_region", "parent_n",
-                (F.col("w") * F.col("parent_n") / F.col("total_here")).alias("w"))
+        F.when(settled, F.col("at")).otherwise(F.col("any_period")).alias("parent_period"),
+        F.when(F.col("n_want").isNotNull(), F.col("want"))
+        .when(settled, F.col("region_idx"))
+        .otherwise(F.col("any_region"))
+        .alias("parent_region"),
+        F.coalesce("n_want", "n_own", "any_n").alias("parent_n"),
+        (F.col("w") * F.coalesce("any_share", F.lit(1.0))).alias("w"),
     )
-    return settled.unionByName(spread).groupBy(*base, "parent_period", "parent_region").agg(
-        F.max("parent_n").alias("parent_n"), F.sum("w").alias("w")
+    return (
+        chosen.where(F.col("parent_n").isNotNull())
+        .repartition(*base)
+        .groupBy(*base, "parent_period", "parent_region")
+        .agg(F.max("parent_n").alias("parent_n"), F.sum("w").alias("w"))
     )
 
 

@@ -18,7 +18,7 @@ from geoflow.operators.intervals import event_factors, pull_matrix, resolve_pull
 from geoflow.operators.lineage import lineages
 from geoflow.plans import model
 from geoflow.schemas import MOVE, PERSON
-from geoflow.session import build_session, cut
+from geoflow.session import build_session, cut, together
 from geoflow.sources import facts, tiles
 from geoflow.sources.catalog import Catalog, load_catalog
 from geoflow.sources.dims import SCALES, Scale, read_regions
@@ -57,19 +57,23 @@ def plans(given: Inputs, people: int, moves: int, exact: bool = False) -> Plans:
     factors = cut(event_factors(catalog.event, region_events, given.regions, periods, given.match))
     pop = cut(model.population(given.regions, factors, periods))
     weights = model.birth_weights(pop, factors, periods)
-    cohorts = cut(model.cohort_plan(weights, people))
     matrix = pull_matrix(catalog.event, pulls, periods, given.match)
     shares = model.flow_shares(given.regions, pop, matrix, catalog.event, periods, given.match)
-    return Plans(cohorts, cut(model.flow_counts(shares, moves, exact)))
+    return Plans(*together(
+        lambda: cut(model.cohort_plan(weights, people)),
+        lambda: cut(model.flow_counts(shares, moves, exact)),
+    ))
 
 
 def generate(given: Inputs, out: str, scale: Scale, seed: int = synth.DEFAULT_SEED) -> None:
     made = plans(given, scale.people, scale.moves)
+    event, periods = given.catalog.event, given.periods
     pulls = resolve_pulls(given.catalog.event_pull, given.regions)
-    facts.write_facts(synth.people(made.cohorts, given.regions, given.periods, seed), f"{out}/people")
-    facts.write_facts(
-        synth.moves(made.flows, made.cohorts, given.regions, given.catalog.event, pulls, given.periods, seed),
-        f"{out}/moves",
+    together(
+        lambda: facts.write_facts(synth.people(made.cohorts, given.regions, periods, seed), f"{out}/people"),
+        lambda: facts.write_facts(
+            synth.moves(made.flows, made.cohorts, given.regions, event, pulls, periods, seed), f"{out}/moves"
+        ),
     )
 
 
@@ -77,39 +81,44 @@ def aggregate(spark: SparkSession, given: Inputs, out: str) -> None:
     opened = facts.require_inputs(
         spark, {"people": (f"{out}/people", PERSON), "moves": (f"{out}/moves", MOVE)}, "generate"
     )
-    cells = density(opened["people"], given.regions, given.periods)
-    facts.write_result(by_magnitude(cells, "pop", ["cell"]), f"{out}/density")
-    routes = corridors(opened["moves"], given.regions, given.periods, TOP_CORRIDORS)
-    facts.write_result(by_magnitude(routes, "migrations", ["src_id", "dst_id"]), f"{out}/corridors")
-    late = int(given.periods.count * LATE_SHARE)
-    walked = lineages(opened["people"], given.regions, LINEAGE_SEEDS, LINEAGE_NODES, late)
-    facts.write_result(walked.orderBy("lineage_id", "depth"), f"{out}/lineages")
+    people, moves, regions, periods = opened["people"], opened["moves"], given.regions, given.periods
+    late = int(periods.count * LATE_SHARE)
+
+    def cells() -> None:
+        facts.write_result(by_magnitude(density(people, regions, periods), "pop", ["cell"]), f"{out}/density")
+
+    def routes() -> None:
+        top = corridors(moves, regions, periods, TOP_CORRIDORS)
+        facts.write_result(by_magnitude(top, "migrations", ["src_id", "dst_id"]), f"{out}/corridors")
+
+    def walks() -> None:
+        walked = lineages(people, regions, LINEAGE_SEEDS, LINEAGE_NODES, late)
+        facts.write_result(walked.orderBy("lineage_id", "depth"), f"{out}/lineages")
+
+    together(walks, cells, routes)
 
 
 def export(spark: SparkSession, given: Inputs, out: str) -> list[str]:
     """Write the documents; an aggregate that is not there is left out. Returns what was written."""
-    done = ["meta", "timeline"]
-    periods, catalog = given.periods, given.catalog
-    tiles.write_doc(
-        tiles.meta_doc(given.regions, periods, catalog.event, catalog.event_region), f"{out}/tiles/meta"
-    )
-    tiles.write_doc(
-        tiles.timeline_doc(catalog.event, periods.start, periods.start + periods.count * periods.width),
-        f"{out}/tiles/timeline",
-    )
+    periods, event = given.periods, given.catalog.event
+    end = periods.start + periods.count * periods.width
+    meta = tiles.meta_doc(given.regions, periods, event, given.catalog.event_region)
+    timeline = tiles.timeline_doc(event, periods.start, end)
+    steps = {
+        "meta": lambda: tiles.write_doc(meta, f"{out}/tiles/meta"),
+        "timeline": lambda: tiles.write_doc(timeline, f"{out}/tiles/timeline"),
+    }
     cells = facts.read_or_none(spark, f"{out}/density")
     if cells is not None:
-        tiles.write_tiles(tiles.density_tiles(cells), f"{out}/tiles/density")
-        done.append("density")
+        steps["density"] = lambda: tiles.write_tiles(tiles.density_tiles(cells), f"{out}/tiles/density")
     routes = facts.read_or_none(spark, f"{out}/corridors")
     if routes is not None:
-        tiles.write_tiles(tiles.corridor_tiles(routes), f"{out}/tiles/corridors")
-        done.append("corridors")
+        steps["corridors"] = lambda: tiles.write_tiles(tiles.corridor_tiles(routes), f"{out}/tiles/corridors")
     walked = facts.read_or_none(spark, f"{out}/lineages")
     if walked is not None:
-        tiles.write_doc(tiles.lineage_doc(walked), f"{out}/tiles/lineages")
-        done.append("lineages")
-    return done
+        steps["lineages"] = lambda: tiles.write_doc(tiles.lineage_doc(walked), f"{out}/tiles/lineages")
+    together(*steps.values())
+    return list(steps)
 
 
 def run(spark: SparkSession, given: Inputs, out: str, scale: Scale, seed: int = synth.DEFAULT_SEED,

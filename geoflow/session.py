@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+T_co = TypeVar("T_co")
+
 #: Settings every job of this library expects. They leave partition counts to
 #: adaptive execution, which merges small shuffle blocks and splits skewed ones.
 SETTINGS = {
@@ -72,6 +77,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(*steps: Callable[[], T_co]) -> list[T_co]:
+    """Run independent jobs at the same time, so that one fills the gaps of another."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [done.result() for done in [pool.submit(step) for step in steps]]
+
+
 def task_count(spark: SparkSession) -> int:
     """Partitions for work that starts from few rows but makes many."""
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))

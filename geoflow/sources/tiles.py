@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoflow.functions.expr import grid_cell_bound
 from geoflow.functions.periods import Periods
 from geoflow.operators.intervals import names_by_year
 from geoflow.schemas import GROUPS
 
 VERSION = 1
 
+#: Most cells a document may have to hold, about 150 MB of text.
+TILE_CELLS = 3_000_000
+
 
 def _listed(order: list[Column], body: Column) -> Column:
     """Array of ``body`` sorted by ``order``."""
@@ -19,12 +23,15 @@ def _listed(order: list[Column], body: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(keyed)), lambda e: e["body"])
 
 
-def density_tiles(table: DataFrame) -> DataFrame:
+def density_tiles(table: DataFrame, res: int = 3) -> DataFrame:
     """``(period_idx, doc)``: a period's cells, fullest first.
 
     A document is one row by nature. Its length is bounded by the cells of the grid
-    at the table's resolution, not by the number of people.
+    at the table's resolution, not by the number of people; resolutions whose grid
+    would not fit one row are refused.
     """
+    if grid_cell_bound(res) > TILE_CELLS:
+        raise ValueError(f"a grid of resolution {res} has too many cells for one document")
     cell = F.struct(F.col("cell").alias("h"), F.col("pop").alias("p"), F.col("dominant_continent").alias("c"))
     listed = table.groupBy("period_idx").agg(_listed([-F.col("pop"), F.col("cell")], cell).alias("cells"))
     doc = F.to_json(F.struct(F.col("period_idx").alias("d"), "cells"))
