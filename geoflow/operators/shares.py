@@ -89,6 +89,9 @@ def apportion(df: DataFrame, weight: str, total, keys: list[str], out: str = "n"
     frame is a cohort plan, at most 64 by 64 rows, which one task may rank.
     """
     total = total if isinstance(total, Column) else F.lit(int(total))
+    if not plan_sized:
+        # Read three times: for the mass, the floors and the ranks.
+        df = cut(df)
     mass = _sum_of(df, weight, plan_sized)
     mass = F.when(mass > 0, mass).otherwise(F.raise_error(F.lit("weights sum to zero")).cast("double"))
     split = df.withColumn("_part", F.col(weight) / mass * total)

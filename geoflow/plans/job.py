@@ -18,7 +18,7 @@ from geoflow.operators.intervals import event_factors, pull_matrix, resolve_pull
 from geoflow.operators.lineage import lineages
 from geoflow.plans import model
 from geoflow.schemas import MOVE, PERSON
-from geoflow.session import build_session, cut, together
+from geoflow.session import build_session, cut, tasks_for, together
 from geoflow.sources import facts, tiles
 from geoflow.sources.catalog import Catalog, load_catalog
 from geoflow.sources.dims import SCALES, Scale, read_regions
@@ -67,12 +67,17 @@ def plans(given: Inputs, people: int, moves: int, exact: bool = False) -> Plans:
 
 def generate(given: Inputs, out: str, scale: Scale, seed: int = synth.DEFAULT_SEED) -> None:
     made = plans(given, scale.people, scale.moves)
-    event, periods = given.catalog.event, given.periods
+    spark, event, periods = given.regions.sparkSession, given.catalog.event, given.periods
     pulls = resolve_pulls(given.catalog.event_pull, given.regions)
     together(
-        lambda: facts.write_facts(synth.people(made.cohorts, given.regions, periods, seed), f"{out}/people"),
         lambda: facts.write_facts(
-            synth.moves(made.flows, made.cohorts, given.regions, event, pulls, periods, seed), f"{out}/moves"
+            synth.people(made.cohorts, given.regions, periods, seed, partitions=tasks_for(spark, scale.people)),
+            f"{out}/people",
+        ),
+        lambda: facts.write_facts(
+            synth.moves(made.flows, made.cohorts, given.regions, event, pulls, periods, seed,
+                        partitions=tasks_for(spark, scale.moves)),
+            f"{out}/moves",
         ),
     )
 

@@ -40,13 +40,13 @@ def build_session(app: str = "geoflow", shuffle_partitions: int | None = None) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local runs) is a temporary folder
-    made, and then noted in the session so that one run uses one folder.
+    Only where a local session names none is a temporary folder made, and then noted
+    in the session so that one run uses one folder. On a cluster there has to be one.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("geoflow.work.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("geoflow.work.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="geoflow-")
         spark.conf.set("geoflow.work.dir", folder)
     return folder.rstrip("/")
@@ -83,6 +83,11 @@ def together(*steps: Callable[[], T_co]) -> list[T_co]:
         return [done.result() for done in [pool.submit(step) for step in steps]]
 
 
+def tasks_for(spark: SparkSession, rows: int, rows_per_task: int = 4_000_000) -> int:
+    """Partitions for making a known number of rows."""
+    return max(2 * task_count(spark), -(-rows // rows_per_task))
+
+
 def task_count(spark: SparkSession) -> int:
     """Partitions for work that starts from few rows but makes many."""
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -215,7 +215,8 @@ view("v_people", f"""
     join v_parent1 a on a.period_idx = e.period_idx and a.region_idx = e.region_idx and a.i = e.i
     join v_parent2 b on b.period_idx = e.period_idx and b.region_idx = e.region_idx and b.i = e.i""",
     "v_expanded", "v_region", "v_parent1", "v_parent2")
-COARSE = "round(cast({0} as double), 3) as {0}"
+# Adding zero turns -0.0 into 0.0, which the two engines print apart.
+COARSE = "round(cast({0} as double), 3) + cast(0 as double) as {0}"
 
 
 def people(v, source="md5"):
@@ -223,7 +224,7 @@ def people(v, source="md5"):
 
 
 def coarse(name):
-    return F.round(F.col(name).cast("double"), 3).alias(name)
+    return (F.round(F.col(name).cast("double"), 3) + F.lit(0.0)).alias(name)
 
 
 @case("g6_people", sql(f"""
@@ -301,14 +302,14 @@ PEOPLE_WALK = "v_people_walk(lineage_id, depth, id, parent1_id, year, region_idx
 
 @case("m8_lineages", sql("""
     select w.lineage_id, w.depth, w.id as person_id, w.year, w.region_idx, r.region_id, r.name as region_name, r.continent,
-           round(cast(w.lat as double), 3) as lat, round(cast(w.lon as double), 3) as lon
+           round(cast(w.lat as double), 3) + cast(0 as double) as lat, round(cast(w.lon as double), 3) + cast(0 as double) as lon
     from v_people_walk w join v_region r on r.region_idx = w.region_idx""", PEOPLE_WALK, "v_region"))
 def m8(v):
     path = fresh_path(v.spark, "people")
     facts.write_facts(people(v), path)
     table = facts.read_facts(v.spark, path, PERSON)
     walked = lineage.lineages(table, v.region(), first_period=5)
-    return walked.withColumn("lat", F.round("lat", 3)).withColumn("lon", F.round("lon", 3))
+    return walked.withColumn("lat", coarse("lat")).withColumn("lon", coarse("lon"))
 
 
 # --- the whole run --------------------------------------------------------------
