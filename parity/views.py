@@ -8,12 +8,14 @@ All read whole tables. The event catalogue is grouped from all events into at mo
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoflow.functions.draws import Draws
 from geoflow.functions.periods import Periods
+from geoflow.session import cut
 from geoflow.sources.catalog import Catalog
 
 SEED = 7
@@ -37,14 +39,18 @@ class Views:
             (F.lit(2) + idx % 3).cast("double").alias("radius_deg"),
         )
 
-    def region_pop(self) -> DataFrame:
-        """Regions with the number of customers as their initial share."""
+    @cached_property
+    def _region_pop(self) -> DataFrame:
         people = self.table("customer").groupBy(F.col("c_nationkey").alias("region_idx")).agg(
             F.count("*").cast("double").alias("n")
         )
-        return self.region().join(people, "region_idx", "left").withColumn(
-            "pop_share", F.coalesce("n", F.lit(0.0))
-        ).drop("n")
+        return cut(
+            self.region().join(people, "region_idx", "left").withColumn("pop_share", F.coalesce("n", F.lit(0.0))).drop("n")
+        )
+
+    def region_pop(self) -> DataFrame:
+        """Regions with the number of customers as their initial share; counted once."""
+        return self._region_pop
 
     def person(self) -> DataFrame:
         draws = Draws(SEED, F.col("o_orderkey"), source="md5")
@@ -76,12 +82,19 @@ class Views:
             )
         )
 
-    def event_groups(self) -> DataFrame:
+    @cached_property
+    def _event_groups(self) -> DataFrame:
         k = (F.col("user_id") % 74).cast("int").alias("k")
-        return self.table("events").groupBy(k, "event_type").agg(
-            F.count("*").alias("n"), F.sum(F.col("event_id") % 1009).alias("s")
+        return cut(
+            self.table("events").groupBy(k, "event_type").agg(
+                F.count("*").alias("n"), F.sum(F.col("event_id") % 1009).alias("s")
+            )
         )
 
+    def event_groups(self) -> DataFrame:
+        """What the catalogue is made of; the events are read once."""
+        return self._event_groups
+
     def event(self) -> DataFrame:
         grouped = self.event_groups().groupBy("k").agg(F.sum("n").alias("n"), F.min("event_type").alias("type"))
         k = F.col("k")
