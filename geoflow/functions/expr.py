@@ -139,7 +139,7 @@ def cell_id(lat: Column, lon: Column, res: int = 3) -> Column:
     step = 180.0 / rows
     row = clip(F.floor((lat + F.lit(90.0)) / F.lit(step)).cast("int"), 0, rows - 1)
     middle = F.radians((row + F.lit(0.5)) * F.lit(step) - F.lit(90.0))
-    columns = F.greatest(F.lit(1), F.round(F.lit(360.0 / step) * F.cos(middle)).cast("int"))
+    columns = F.greatest(F.lit(1), F.floor(F.lit(360.0 / step) * F.cos(middle) + F.lit(0.5)).cast("int"))
     column = F.floor((wrap_lon(lon) + F.lit(180.0)) / F.lit(360.0) * columns).cast("int")
     column = F.greatest(F.lit(0), F.least(columns - F.lit(1), column))
     return (

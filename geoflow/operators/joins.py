@@ -10,6 +10,9 @@ from geoflow.session import cut, task_count
 #: A side is broadcast only if it was counted and has no more rows than this.
 BROADCAST_ROWS = 1_000_000
 
+#: A key with fewer rows than this is never salted.
+HOT_ROWS = 100_000
+
 
 def lookup_join(facts: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join facts to a lookup table that may have several rows per key.
@@ -30,17 +33,21 @@ def kept_join(facts: DataFrame, kept: DataFrame, on: list[str], how: str = "inne
     return skew_join(facts, kept, on, how)
 
 
-def hot_keys(df: DataFrame, on: list[str], tasks: int) -> DataFrame:
-    """Keys that hold more than a quarter of an even task share.
+def hot_keys(df: DataFrame, on: list[str], tasks: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys that hold more than a quarter of an even task share, and at least ``hot_rows``.
 
-    At most ``4 * tasks`` keys can do so, hence the result may be broadcast.
+    One pass counts rows per key; all smaller keys become one row. At most
+    ``4 * tasks`` keys can hold that much, hence the result may be broadcast.
     """
-    total = df.count()
-    limit = max(total // (4 * tasks), 1)
-    return df.groupBy(*on).count().where(F.col("count") > limit).select(*on)
+    counted = df.groupBy(*on).agg(F.count("*").alias("_n"))
+    large = F.when(F.col("_n") >= hot_rows, F.struct(*on))
+    summed = cut(counted.select(large.alias("_key"), "_n").groupBy("_key").agg(F.sum("_n").alias("_n")))
+    total = summed.agg(F.sum("_n")).first()[0] or 0
+    return summed.where(F.col("_key").isNotNull() & (F.col("_n") > total // (4 * tasks))).select("_key.*")
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = 16,
+              hot_rows: int = HOT_ROWS) -> DataFrame:
     """Shuffle join whose hot keys are spread over ``salts`` tasks.
 
     Rows of the left side with a hot key get a salt from the whole row; the right
@@ -49,7 +56,8 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     """
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins can be salted on the left side")
-    hot = F.broadcast(cut(hot_keys(left, on, task_count(left.sparkSession))).withColumn("_hot", F.lit(True)))
+    found = hot_keys(left, on, task_count(left.sparkSession), hot_rows)
+    hot = F.broadcast(found.withColumn("_hot", F.lit(True)))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     salted = left.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

@@ -163,7 +163,10 @@ def test_salted_join_equals_the_plain_one(spark):
         spark.createDataFrame([(7, -1)], "k long, v long")
     )
     for how in ("inner", "left"):
-        assert rows(joins.skew_join(left, right, ["k"], how).select("id", "k", "v")) == rows(left.join(right, ["k"], how).select("id", "k", "v"))
+        salted = joins.skew_join(left, right, ["k"], how, hot_rows=1000)
+        assert rows(salted.select("id", "k", "v")) == rows(left.join(right, ["k"], how).select("id", "k", "v"))
+    assert rows(joins.hot_keys(left, ["k"], 8, 1000)) == [(7,)]
+    assert joins.hot_keys(left, ["k"], 8).count() == 0
     with pytest.raises(ValueError):
         joins.skew_join(left, right, ["k"], "full")
 
