@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoflow.functions.expr import period_of_id
@@ -12,6 +13,12 @@ from geoflow.operators.joins import BROADCAST_ROWS, skew_join
 from geoflow.schemas import MAX_PERIODS, NO_PARENT
 from geoflow.session import cut
 
+#: A walk with at most this many seeds names its ids in the scan's filter.
+SAMPLE_ROWS = 500
+
+#: Ids per list; Parquet filters test lists up to this length value by value.
+PUSHED_IDS = 10
+
 
 def late_seeds(people: DataFrame, first_period: int = 45) -> DataFrame:
     """A filter on the partition column, so earlier periods are not read."""
@@ -30,36 +37,78 @@ def walk_ancestors(people: DataFrame, seeds: DataFrame, max_nodes: int = 14, key
                    parent: str = "parent1_id", period: str | None = None) -> DataFrame:
     """Rows met on the way from each seed along its first parent, with ``depth``.
 
-    ``seeds`` are rows of ``people`` with a ``lineage_id``. Each level joins the
-    current rows to the table once and is kept, so a walk is ``max_nodes - 1`` scans
-    at most and ends early when no seed has a parent left. Where ``period`` names
-    the partition column, ids are packed and the period is decoded from the parent's
-    id and joined too, so that only the partitions in question are read.
+    ``seeds`` are rows of ``people`` with a ``lineage_id``. Each level joins the rows
+    of the level before to the table once; the walk ends early when no seed has a
+    parent left. Where ``period`` names the partition column, ids are packed and the
+    period is decoded from the parent's id and joined too, so that only the
+    partitions in question are read.
+
+    A level never has more rows than there are seeds, and these are counted. Up to
+    ``SAMPLE_ROWS`` the parents' ids are named in the scan's filter; up to
+    ``BROADCAST_ROWS`` a level is a kept table that is broadcast; beyond that both
+    sides are shuffled.
     """
-    columns = [c for c in people.columns]
+    columns = people.columns
+    on = [key] if period is None else [period, key]
     level = cut(seeds.select("lineage_id", F.lit(0).alias("depth"), *columns))
-    few = level.count() <= BROADCAST_ROWS
+    count = level.count()
     levels = [level]
-    on = [key] if period is None else [period, key]
     for depth in range(1, max_nodes):
         step = level.where(F.col(parent).isNotNull() & (F.col(parent) != NO_PARENT)).select(
             "lineage_id", F.col(parent).alias(key)
         )
         if period is not None:
             step = step.withColumn(period, period_of_id(F.col(key)).cast(dict(people.dtypes)[period]))
-        # A level never has more rows than there are seeds, whose number is known here.
-        if few:
-            found = people.join(F.broadcast(step), on)
+        if count <= SAMPLE_ROWS:
+            level = _look_up(people, step, on, depth)
+            if level is None:
+                break
         else:
-            found = skew_join(step, _only_periods_of(people, step, period), on)
-        seen = Observation()
-        level = cut(found.select("lineage_id", F.lit(depth).alias("depth"), *columns).observe(seen, F.count("*").alias("n")))
-        if seen.get["n"] == 0:
-            break
+            if count <= BROADCAST_ROWS:
+                found = people.join(F.broadcast(step), on)
+            else:
+                found = skew_join(step, _only_periods_of(people, step, period), on)
+            level = cut(found.select("lineage_id", F.lit(depth).alias("depth"), *columns))
+            if level.isEmpty():
+                break
         levels.append(level)
     return reduce(DataFrame.unionByName, levels)
 
 
+def _look_up(people: DataFrame, step: DataFrame, on: list[str], depth: int) -> DataFrame | None:
+    """One level of a sampled walk, at most ``SAMPLE_ROWS`` rows; None if there is none.
+
+    So few rows need no table of their own. Their keys go into the scan's filter,
+    which is what makes a level read a few row groups and not whole partitions.
+    """
+    spark = people.sparkSession
+    named = step.toArrow()
+    if named.num_rows == 0:
+        return None
+    # The filter has named the partitions, so the join needs the key alone.
+    wanted = F.broadcast(spark.createDataFrame(named, step.schema).select("lineage_id", on[-1]))
+    found = people.where(_names_only(named, on)).join(wanted, on[-1]).select(
+        "lineage_id", F.lit(depth).alias("depth"), *people.columns
+    )
+    rows = found.toArrow()
+    return spark.createDataFrame(rows, found.schema) if rows.num_rows else None
+
+
+def _names_only(named: pa.Table, on: list[str]) -> Column:
+    """Filter that lets the scan skip row groups: the named keys, few at a time.
+
+    Short lists are tested against the statistics of every row group; a long one
+    would only be tested by its smallest and largest value.
+    """
+    *partition, key = on
+    ids = sorted(set(named.column(key).to_pylist()))
+    lists = [F.col(key).isin(ids[i : i + PUSHED_IDS]) for i in range(0, len(ids), PUSHED_IDS)]
+    wanted = reduce(Column.__or__, lists)
+    for name in partition:
+        wanted = F.col(name).isin(sorted(set(named.column(name).to_pylist()))) & wanted
+    return wanted
+
+
 def _only_periods_of(people: DataFrame, step: DataFrame, period: str | None) -> DataFrame:
     """Without a broadcast there is no dynamic pruning; the at most 64 periods are named instead."""
     if period is None:

@@ -274,6 +274,8 @@ def test_walk_stops_at_unknown_missing_and_null(spark, family):
 def test_walk_of_very_many_seeds_gives_the_same(family, monkeypatch):
     seeds = family.withColumn("lineage_id", F.col("id").cast("int"))
     expected = rows(lineage.walk_ancestors(family, seeds))
+    monkeypatch.setattr(lineage, "SAMPLE_ROWS", 2)
+    assert rows(lineage.walk_ancestors(family, seeds)) == expected
     monkeypatch.setattr(lineage, "BROADCAST_ROWS", 2)
     assert rows(lineage.walk_ancestors(family, seeds)) == expected
 
