@@ -3,6 +3,7 @@
 import json
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from geoflow.functions.draws import Draws
 from geoflow.functions.periods import Periods
 from geoflow.operators import synth
 from geoflow.operators.intervals import resolve_pulls
-from geoflow.operators.lineage import late_seeds, lineages, orphans
+from geoflow.operators.lineage import _names_only, late_seeds, lineages, orphans
 from geoflow.plans import job
 from geoflow.schemas import CORRIDOR_TILE, DENSITY_TILE, EVENT, MOVE, NO_PARENT, PERSON
 from geoflow.session import cut, fresh_path, local_frame
@@ -154,6 +155,10 @@ def test_walk_prunes_partitions(spark, people):
     step = table.where("period_idx = 7").select(F.col("parent1_id").alias("id"), (F.col("period_idx") - 2).alias("period_idx"))
     joined = table.join(F.broadcast(step.limit(5)), ["period_idx", "id"])
     assert "dynamicpruning" in plan(joined)
+    ids = [r[0] for r in table.where("period_idx = 7").select("parent1_id").limit(25).collect()]
+    named = pa.table({"id": ids, "period_idx": [5] * len(ids)})
+    text = plan(table.where(_names_only(named, ["period_idx", "id"])))
+    assert "PushedFilters: [Or(" in text and "In(id, [" in text and "period_idx" in text.split("PartitionFilters")[1].split("PushedFilters")[0]
     walked = lineages(table, region_dim(spark, region_rows(4)), n=5, first_period=7)
     assert walked.groupBy("lineage_id").agg(F.max("depth").alias("d")).where("d >= 2").count() == 5
 
