@@ -19,9 +19,9 @@ from geoflow.plans import job
 from geoflow.session import SETTINGS, cut, fresh_path
 from geoflow.sources.catalog import Catalog
 from geoflow.sources.dims import SCALES
+from parity import all_cases  # noqa: F401
 from parity.registry import run
 from parity.views import Views
-import parity.all_cases  # noqa: F401
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 WARM_DIR = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -183,7 +182,3 @@ def death_year(birth_year: Column, span: Column, period_year: Column) -> Column:
 
 def year_in_period(period_year: Column, draw: Column, width: int) -> Column:
     return (period_year + F.floor(draw * F.lit(width))).cast("int")
-
-
-def all_of(conditions) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -13,6 +13,7 @@ from geoflow.functions.periods import Periods
 from geoflow.operators.intervals import active_counts
 from geoflow.operators.shares import apportion, global_share, midpoint, row_share
 from geoflow.schemas import MAX_REGIONS
+from geoflow.sources.dims import checked_regions
 
 # Fixed values of the model: yearly birth and death rate and capacity growth at
 # both ends of time, and the parts of a flow that follow pulls and distance.
@@ -30,9 +31,10 @@ def schedule(ends: tuple[float, float], periods: Periods, period: Column) -> Col
 def region_pairs(regions: DataFrame) -> DataFrame:
     """Ordered pairs of different regions with their distance.
 
-    Region positions are below 64, so the second region is listed by position and
-    looked up by an equality join.
+    Region positions are below 64 (others fail), so the second region is listed by
+    position and looked up by an equality join.
     """
+    regions = checked_regions(regions)
     src = regions.select(
         F.col("region_idx").alias("src_idx"), F.col("lat").alias("src_lat"), F.col("lon").alias("src_lon"),
         F.explode(F.sequence(F.lit(0), F.lit(MAX_REGIONS - 1))).alias("dst_idx"),

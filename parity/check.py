@@ -8,8 +8,6 @@ import traceback
 
 import duckdb
 
-import parity  # noqa: F401
-
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 
