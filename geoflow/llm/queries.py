@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoflow.llm import decontaminate, licenses, ngram_join, quality_rules, secrets, sentencepiece
+from geoflow.llm import (decontaminate, licenses, ngram_join, quality_net, quality_rules, secrets, sentencepiece, substring_dedup,
+                         toxicity, warc)
 from geoflow.llm.common import table
+from geoflow.session import fresh_path
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,14 +27,40 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_net.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    pages = table(spark, sf_dir, "pages")
+    warc.write_archives(warc.page_records(pages), path)
+    kind = pages.schema["page_id"].dataType
+
+    def page(name: str):
+        return F.regexp_extract(name, "^urn:page:(.+)$", 1)
+
+    back = warc.read_archives(spark, path, payload="false", verify="true")
+    return back.select(F.when(page("record_id") != "", page("record_id")).cast(kind).alias("page_id"), "payload_bytes", "payload_digest",
+                       "record_type", F.when(F.col("refers_to").isNotNull(), page("refers_to")).cast(kind).alias("refers_to"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -78,6 +106,24 @@ select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesc
 from word left join hit using (doc_id) left join own using (doc_id)
 """
 
+OP9_SQL = r"""
+with doc as materialized (select row_number() over () r, doc_id, hex(encode(coalesce(text, ''))) h from documents),
+win as materialized (select r, i, hash(substr(h, 2 * i::int + 1, 400)) a, hash('x' || substr(h, 2 * i::int + 1, 400)) b
+  from (select r, h, unnest(range(0, len(h) // 2 - 199)) i from doc where len(h) >= 400)),
+often as (select a, b from win group by all having count(*) > 1),
+hit as materialized (select r, i from win join often using (a, b)),
+edge as (select r, i, coalesce(i > lag(i) over (partition by r order by i) + 200, true) starts from hit),
+span as materialized (select r, min(i) low, max(i) + 200 high from (select r, i, sum(starts::int) over (partition by r order by i) k from edge) group by r, k),
+gap as (
+  select r, low, high, coalesce(lag(high) over (partition by r order by low), 0) since from span),
+kept as (
+  select r, string_agg(substr(h, 2 * since::int + 1, 2 * (low - since)::int), '' order by low) front, max(high) tail, sum(high - low)::bigint n_removed, count(*) n_spans
+  from gap join doc using (r) group by r)
+select doc_id, (len(h) // 2)::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans,
+       sha256(from_hex(case when front is null then h else front || substr(h, 2 * tail::int + 1) end)) kept_sha256
+from doc left join kept using (r)
+"""
+
 OP10_SQL = r"""
 with word as materialized (
   select doc_id, coalesce(text, '') t, lang, text is not null and regexp_matches(coalesce(lang, ''), '^[a-z]{2,3}$') known,
@@ -123,12 +169,29 @@ select f.*, not base_failed and not (n_words >= 50 and coalesce(c.d, 0) > 0.3) a
 from failed f left join class_far c using (doc_id) left join word_far w using (doc_id)
 """
 
+OP7_SQL = r"""
+with page as (
+  select page_id, coalesce(html, '') body, strlen(coalesce(html, ''))::bigint payload_bytes, sha1(coalesce(html, '')) hex from pages),
+shown as (
+  select *, array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform(range(0, 4), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * g::int, 5))::int >> (15 - 5 * k::int)) & 31), 1)), '')), '') payload_digest,
+    min(page_id) over (partition by body) least from page)
+select page_id, payload_bytes, payload_digest, case when page_id = least then 'response' else 'revisit' end record_type,
+       case when page_id = least then null else least end refers_to
+from shown
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_join": op2_ngram_join,
     "op3_decontamination": op3_decontamination,
+    "op4_quality_net": op4_quality_net,
     "op5_licenses": op5_licenses,
+    "op6_toxicity": op6_toxicity,
+    "op7_warc": op7_warc,
     "op8_secrets": op8_secrets,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
-SQL: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op3_decontamination": OP3_SQL, "op10_quality_rules": OP10_SQL}
+SQL: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op3_decontamination": OP3_SQL, "op7_warc": OP7_SQL, "op9_suffix_dedup": OP9_SQL,
+                       "op10_quality_rules": OP10_SQL}
