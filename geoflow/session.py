@@ -65,16 +65,36 @@ def local_frame(spark: SparkSession, rows: list[dict], schema: T.StructType | st
     return spark.createDataFrame(table, schema)
 
 
+#: Removes a query's shuffle files when it ends, so that kept steps don't pile up on disk.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the files.
 
     This ends the lineage, survives lost executors, and gives the planner a true
-    size, so that it can choose between broadcast and shuffle by itself.
+    size, so that it can choose between broadcast and shuffle by itself. The shuffle
+    files of the write go when it is done. ``remove`` deletes the table.
     """
     spark = df.sparkSession
     path = fresh_path(spark, "cut")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_path = path
+    return kept
+
+
+def remove(*kept: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and nothing reads any more."""
+    for df in kept:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._kept_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def together(*steps: Callable[[], T_co]) -> list[T_co]:

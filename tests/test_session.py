@@ -32,6 +32,14 @@ def test_cut_keeps_rows_and_ends_the_lineage(spark):
     assert session.fresh_path(spark, "x") != session.fresh_path(spark, "x")
 
 
+def test_removed_tables_are_gone(spark):
+    kept = session.cut(spark.range(10).repartition(3))
+    assert kept.count() == 10 and spark.conf.get(session.CLEANUP) == "false"
+    session.remove(kept)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        spark.read.parquet(kept._kept_path).count()
+
+
 def test_jobs_together_return_in_order_and_pass_errors_on(spark):
     assert session.together(lambda: spark.range(3).count(), lambda: spark.range(5).count()) == [3, 5]
     with pytest.raises(ZeroDivisionError):
