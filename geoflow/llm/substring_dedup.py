@@ -26,7 +26,6 @@ lose nothing. An empty table gives an empty table.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -39,7 +38,7 @@ from pyspark.sql import types as T
 
 from geoflow.llm.common import slices, text_key
 from geoflow.llm.suffix_sort import repeated_windows
-from geoflow.session import cut
+from geoflow.session import cut, remove
 
 LENGTH, GRAM = 200, 32
 #: Occurrences of a gram from which its runs are cut into parts of so many windows.
@@ -249,30 +248,24 @@ def _kept_rows(length: int):
     return made
 
 
-def _free(df: DataFrame) -> None:
-    """Let Spark remove the shuffle files of finished steps."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
     """One row per distinct text that loses bytes: ``text_key, n_removed, n_spans, kept`` (the bytes left)."""
     keyed = docs.where(F.octet_length(text) >= length).select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
     rows = cut(keyed.mapInArrow(_run_rows(length), "text_key binary, gram long, place int, first int, windows int"))
-    often = rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    often = cut(rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))  # kept apart, so that the join can split hot grams
     part = F.lit(0)
     for least, windows in FINER:
         part = F.when(F.col("n") >= least, windows).otherwise(part)
     found = (rows.join(often, "gram").withColumn("part", part).groupBy("text_key")
              .agg(F.collect_set(F.struct("gram", "place", "first", "windows", "part")).alias("runs")))
     copies = keyed.groupBy("text_key").agg(F.count("*").alias("copies"))
-    given = found.join(copies, "text_key")
+    given = cut(found.join(copies, "text_key"))
+    remove(rows, often)
     texts = cut(keyed.join(given, "text_key").select("text_key", "text", "runs", "copies"))
-    _free(docs)
+    remove(given)
 
     parted = texts.mapInArrow(_piece_rows(length), "key long, piece binary, copies int").repartition("key").sortWithinPartitions("key")
     repeated = cut(parted.mapInArrow(_sorted_rows(length), "piece_id binary, low array<int>, high array<int>"))
-    _free(docs)
     places = texts.select("text_key", "text", "runs", "copies").mapInArrow(_place_rows(length), "text_key binary, first int, piece_id binary").distinct()
     moved = places.join(repeated, "piece_id").select(
         "text_key", F.transform("low", lambda x: x + F.col("first")).alias("low"), F.transform("high", lambda x: x + F.col("first")).alias("high"))
