@@ -29,7 +29,6 @@ as sets are told apart by content. An empty table gives an empty table.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -45,10 +44,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from geoflow.llm.common import slices, spaced_words, text_key
 from geoflow.llm.components import stars
-from geoflow.session import cut
+from geoflow.session import cut, remove
 
 #: Shingles a task counts together, and the longest list of frequent ones; both only shape the order.
 COUNTED, FREQUENT = 1 << 21, 1 << 18
+#: Ids (of eight bytes) that are sent to every task.
+BROADCAST_IDS = 1_000_000
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
@@ -172,12 +173,6 @@ def _sets(width: int):
     return made
 
 
-def _free(df: DataFrame) -> None:
-    """Let Spark remove the shuffle files of finished steps."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def _overlap(a: str, b: str, given: Similar) -> Column:
     """Whether the places of a shared shingle allow two sets to link."""
     left = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
@@ -185,7 +180,13 @@ def _overlap(a: str, b: str, given: Similar) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, given: Similar) -> DataFrame:
-    """The pairs ``(a, b)`` of set ids that link."""
+    """The pairs ``(a, b)`` of set ids that link. ``pairs`` is a kept table.
+
+    Only sets of pairs are moved. Their ids are counted, and go to every task up to
+    ``BROADCAST_IDS``; beyond that they are joined by a shuffle.
+    """
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+    sets = sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "sid", "left_semi")
     first = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("_a"))
     second = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("_b"))
     both = F.size(F.array_intersect("_a", "_b"))
@@ -223,16 +224,18 @@ def components(docs: DataFrame, given: Similar = Similar(), id_col: str = "doc_i
 
     postings = index.where("prefix is not null").select("group_key", "n", F.posexplode("prefix").alias("pos", "token"))
     seen = F.xxhash64("group_key")
-    shared = (postings.groupBy("token").agg(F.min(seen).alias("_low"), F.max(seen).alias("_high"))
-              .where("_low < _high").select("token"))
+    # Of two sets that link the smaller has the shared shingle among its first ones, of which there are even less.
+    early = (F.col("n") - F.col("pos")) * (100 + given.percent) >= 2 * given.percent * F.col("n")
+    shared = cut(postings.groupBy("token").agg(F.min(seen).alias("_low"), F.max(seen).alias("_high"), F.max(early).alias("_early"))
+                 .where("_low < _high and _early").select("token"))  # kept apart, so that the join can split hot shingles
     grouped = cut(postings.join(shared, "token").select("token", "group_key", "n", F.col("pos").cast("long").alias("pos")))
-    _free(docs)
 
     members = index.where("n > 0").groupBy("group_key", "set_key", "n").agg(F.count("*").alias("_c")).drop("_c")
     several = members.groupBy("group_key").agg(F.count("*").alias("_c")).where("_c > 1").select("group_key")
     inner = members.join(several, "group_key").select(F.xxhash64("group_key").alias("token"), "set_key", "n", F.lit(0).cast("long").alias("pos"))
     outer = grouped.join(members.select("group_key", "set_key"), "group_key").select("token", "set_key", "n", "pos")
     by_set = cut(outer.unionByName(inner).distinct())
+    remove(grouped, shared)
 
     wanted = by_set.select("set_key").distinct()
     one_text = index.join(wanted, "set_key", "left_semi").select("set_key", "text_key").distinct()
@@ -241,7 +244,7 @@ def components(docs: DataFrame, given: Similar = Similar(), id_col: str = "doc_i
     sets = cut(texts.mapInArrow(_sets(given.width), "set_key binary, tokens array<long>").withColumn("sid", F.monotonically_increasing_id()))
     names = cut(sets.groupBy("set_key").agg(F.min("sid").alias("sid")))
     lists = cut(by_set.join(names, "set_key").select("token", "sid", "n", "pos"))
-    _free(docs)
+    remove(by_set)
 
     # First round: each set against the pivot with which it shares most lists.
     best = _pivot_pairs(_open_lists(lists, None), given).groupBy("b").agg(F.max_by("a", "shared").alias("a"))
@@ -261,8 +264,7 @@ def components(docs: DataFrame, given: Similar = Similar(), id_col: str = "doc_i
         tried = tried.unionByName(new).unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b")))
         links = links.unionByName(cut(_verified(new, sets, given)))
         roots = stars(links)
-        _free(docs)
-
+    
     named = names.join(roots.withColumnRenamed("node", "sid"), "sid")
     root_key = named.join(names.select(F.col("sid").alias("root"), F.col("set_key").alias("root_key")), "root").select("set_key", "root_key")
     placed = index.select(id_col, "n", "set_key").join(root_key, "set_key", "left").withColumn("_key", F.coalesce("root_key", "set_key"))
