@@ -48,6 +48,8 @@ from geoflow.session import cut, remove
 
 #: Shingles a task counts together, and the longest list of frequent ones; both only shape the order.
 COUNTED, FREQUENT = 1 << 21, 1 << 18
+#: Shingles of a set are counted in so many bins by hash; what two sets share is at most the sum of the lesser counts.
+BINS = 128
 #: Ids (of eight bytes) that are sent to every task.
 BROADCAST_IDS = 1_000_000
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
@@ -158,7 +160,7 @@ def _indexed(given: Similar, tokens: np.ndarray, rank: np.ndarray, schema: pa.Sc
 
 
 def _sets(width: int):
-    """Rows (text_key, set_key, text) to (set_key, tokens), once per text of a task."""
+    """Rows (text_key, text) to (set_key, tokens, bins), once per text of a task."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
@@ -168,7 +170,9 @@ def _sets(width: int):
                 last = keys[-1]
                 sets = shingle_sets([texts[k] for k in new], width)
                 set_keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(set_keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["set_key", "tokens"])
+                shares = [np.bincount(s & (BINS - 1), minlength=BINS).astype(np.int32) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(shares, pa.list_(pa.int32()))],
+                                                 ["set_key", "tokens", "bins"])
 
     return made
 
@@ -182,9 +186,14 @@ def _overlap(a: str, b: str, given: Similar) -> Column:
 def _verified(pairs: DataFrame, sets: DataFrame, given: Similar) -> DataFrame:
     """The pairs ``(a, b)`` of set ids that link. ``pairs`` is a kept table.
 
-    Only sets of pairs are moved. Their ids are counted, and go to every task up to
+    An upper bound from binned counts leaves few pairs, and only their sets are moved. Their ids are counted, and go to every task up to
     ``BROADCAST_IDS``; beyond that they are joined by a shuffle.
     """
+    bins = sets.select("sid", "bins", F.size("tokens").alias("n"))
+    bounded = (pairs.join(bins.select(F.col("sid").alias("a"), F.col("bins").alias("_a"), F.col("n").alias("_n")), "a")
+               .join(bins.select(F.col("sid").alias("b"), F.col("bins").alias("_b"), F.col("n").alias("_m")), "b"))
+    most = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    pairs = cut(bounded.where(most * (100 + given.percent) >= given.percent * (F.col("_n") + F.col("_m"))).select("a", "b"))
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
     sets = sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "sid", "left_semi")
     first = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("_a"))
@@ -241,7 +250,7 @@ def components(docs: DataFrame, given: Similar = Similar(), id_col: str = "doc_i
     one_text = index.join(wanted, "set_key", "left_semi").select("set_key", "text_key").distinct()
     first = one_text.groupBy("set_key").agg(F.min("text_key").alias("text_key")).select("text_key")
     texts = keyed.select("text_key", "text").join(first, "text_key", "left_semi")
-    sets = cut(texts.mapInArrow(_sets(given.width), "set_key binary, tokens array<long>").withColumn("sid", F.monotonically_increasing_id()))
+    sets = cut(texts.mapInArrow(_sets(given.width), "set_key binary, tokens array<long>, bins array<int>").withColumn("sid", F.monotonically_increasing_id()))
     names = cut(sets.groupBy("set_key").agg(F.min("sid").alias("sid")))
     lists = cut(by_set.join(names, "set_key").select("token", "sid", "n", "pos"))
     remove(by_set)
