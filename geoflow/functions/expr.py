@@ -148,23 +148,6 @@ def cell_id(lat: Column, lon: Column, res: int = 3) -> Column:
     )
 
 
-def h3_cell(lat: Column, lon: Column, res: int = 3) -> Column:
-    """Hexagon cell as text, where the optional ``h3`` package is installed."""
-    try:
-        import h3  # noqa: F401
-    except ImportError as missing:
-        raise RuntimeError("hexagon cells need the 'h3' package on every executor") from missing
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def cells(la: pd.Series, lo: pd.Series) -> pd.Series:
-        import h3
-
-        return pd.Series([h3.latlng_to_cell(a, b, res) for a, b in zip(la, lo)], index=la.index)
-
-    return cells(lat.cast("double"), lon.cast("double"))
-
-
 def cell_name(cell: Column) -> Column:
     return F.lower(F.hex(cell))
 

@@ -42,8 +42,8 @@ def active_events_by_year(event: DataFrame, first: int, last: int, limit: int =
 
 
 def names_by_year(event: DataFrame) -> DataFrame:
-    """Names of the events active in each year, by start and id."""
-    spread = event.select(
+    """Names of the events active in each year, by start and id; an event that ends before it starts is active in none."""
+    spread = event.where("start_year <= end_year").select(
         F.explode(F.sequence("start_year", "end_year")).alias("year"), "start_year", "id", "name"
     )
     listed = F.array_sort(F.collect_list(F.struct("start_year", "id", "name")))
@@ -90,7 +90,8 @@ def cause_labels(event: DataFrame, pulls: DataFrame) -> DataFrame:
 
     Labels are settled on the catalogue's side, so the facts never fan out.
     """
-    dated = pulls.where(F.col("weight") > 0).join(event.select("id", "start_year", "end_year"), "id")
+    lasting = event.where("start_year <= end_year").select("id", "start_year", "end_year")
+    dated = pulls.where(F.col("weight") > 0).join(lasting, "id")
     yearly = dated.withColumn("year", F.explode(F.sequence("start_year", "end_year")))
     order = F.struct(-F.col("weight"), F.col("start_year"), F.col("id"))
     return yearly.groupBy("src_idx", "dst_idx", "year").agg(F.min_by("id", order).alias("cause_label"))

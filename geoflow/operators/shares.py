@@ -16,6 +16,12 @@ def _sum_of(df: DataFrame, weight: str, plan_sized: bool) -> Column:
     return F.sum(weight).over(Window.partitionBy()) if plan_sized else df.agg(F.sum(weight)).scalar()
 
 
+def _with_group(df: DataFrame, keys: list[str], aggregate: Column) -> DataFrame:
+    """Join a group's aggregate to its rows. Keys are compared as one struct, so that null is a key like any other."""
+    grouped = df.withColumn("_group", F.struct(*keys))
+    return lookup_join(grouped, grouped.groupBy("_group").agg(aggregate), ["_group"]).drop("_group")
+
+
 def global_share(df: DataFrame, weight: str, out: str = "share", plan_sized: bool = False) -> DataFrame:
     """Weight over the sum of all weights; unchanged where that is zero.
 
@@ -36,7 +42,7 @@ def row_share(df: DataFrame, weight: str, keys: list[str], out: str = "share",
     if plan_sized:
         joined = df.withColumn("_sum", F.sum(weight).over(Window.partitionBy(*keys)))
     else:
-        joined = lookup_join(df, df.groupBy(*keys).agg(F.sum(weight).alias("_sum")), keys)
+        joined = _with_group(df, keys, F.sum(weight).alias("_sum"))
     if floor is None:
         part = safe_ratio(F.col(weight), F.col("_sum"))
     else:
@@ -46,8 +52,7 @@ def row_share(df: DataFrame, weight: str, keys: list[str], out: str = "share",
 
 def ratio_to_max(df: DataFrame, value: str, keys: list[str], out: str = "ratio") -> DataFrame:
     """Value over its group's largest; divisor 1 where that is zero or absent."""
-    peaks = df.groupBy(*keys).agg(F.max(value).alias("_max"))
-    joined = lookup_join(df, peaks, keys)
+    joined = _with_group(df, keys, F.max(value).alias("_max"))
     ratio = safe_ratio(F.col(value).cast("double"), F.col("_max").cast("double"))
     return joined.withColumn(out, ratio).drop("_max")
 

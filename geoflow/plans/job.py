@@ -9,9 +9,7 @@ import argparse
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from geoflow.functions.expr import h3_cell
 from geoflow.functions.periods import Periods
 from geoflow.operators import synth
 from geoflow.operators.corridors import corridors
@@ -42,7 +40,6 @@ class Inputs:
     catalog: Catalog
     periods: Periods = PERIODS
     match: str = "start_year"
-    cells: str = "grid"
 
 
 @dataclass(frozen=True)
@@ -93,8 +90,7 @@ def aggregate(spark: SparkSession, given: Inputs, out: str) -> None:
     late = int(periods.count * LATE_SHARE)
 
     def cells() -> None:
-        hexagon = h3_cell(F.col("birth_lat"), F.col("birth_lon")) if given.cells == "h3" else None
-        counted = density(people, regions, periods, cell=hexagon)
+        counted = density(people, regions, periods)
         facts.write_result(by_magnitude(counted, "pop", ["cell"]), f"{out}/density")
 
     def routes() -> None:
@@ -148,7 +144,6 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--out", required=True, help="folder for facts, aggregates and tiles")
     parser.add_argument("--scale", default="small", choices=list(SCALES))
     parser.add_argument("--seed", type=int, default=synth.DEFAULT_SEED)
-    parser.add_argument("--cells", default="grid", choices=["grid", "h3"])
     parser.add_argument("--match", default="start_year", choices=["start_year", "overlap"])
     for stage in STAGES:
         parser.add_argument(f"--skip-{stage}", action="store_true")
@@ -156,7 +151,7 @@ def main(argv: list[str] | None = None) -> None:
     scale = SCALES[args.scale]
     spark = build_session(f"geoflow-{scale.name}", scale.shuffle_partitions)
     given = Inputs(read_regions(spark, args.regions), load_catalog(spark, args.events),
-                   match=args.match, cells=args.cells)
+                   match=args.match)
     stages = tuple(s for s in STAGES if not getattr(args, f"skip_{s}"))
     run(spark, given, args.out, scale, args.seed, stages)
 

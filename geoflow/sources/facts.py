@@ -80,10 +80,12 @@ def row_metrics(df: DataFrame, name: str, period: str = "period_idx") -> tuple[D
     """Count rows and distinct periods while ``df`` is written.
 
     Observed metrics allow no distinct aggregate; periods are below 64, so one bit
-    each in a long counts them exactly.
+    each in a long counts them exactly. Any other period fails the write.
     """
     seen = Observation(name)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(period))
+    outside = F.raise_error(F.concat(F.lit("period outside 0 to 63: "), F.col(period).cast("string"))).cast("long")
+    bit = F.when(F.col(period).between(0, 63), F.call_function("shiftleft", F.lit(1).cast("long"), F.col(period))).when(
+        F.col(period).isNotNull(), outside)
     watched = df.observe(
         seen,
         F.count(F.lit(1)).alias("rows"),

@@ -137,13 +137,3 @@ def test_lifespans_follow_the_period(spark):
     assert early[1] == pytest.approx(44.5, abs=0.7)
     assert late[1] == pytest.approx(79.4, abs=0.5)
     assert late[2] <= 100
-
-
-def test_hexagon_cells_where_installed(spark):
-    try:
-        import h3  # noqa: F401
-    except ImportError:
-        with pytest.raises(RuntimeError, match="h3"):
-            expr.h3_cell(F.lit(0.0), F.lit(0.0))
-    else:
-        assert one(spark, expr.h3_cell(F.lit(0.0), F.lit(0.0)))[0]

@@ -8,6 +8,7 @@ from geoflow.operators import blend, intervals, joins, lineage, shares
 from geoflow.operators.corridors import corridors
 from geoflow.operators.density import density, living, totals_with_dominant
 from geoflow.plans import model
+from geoflow.sources import facts
 from geoflow.sources.catalog import cause_dim, split_records
 from geoflow.schemas import EVENT
 from geoflow.session import cut, local_frame
@@ -316,3 +317,22 @@ def test_highlight_and_localize(spark):
     assert rows(blend.highlight(arcs, None).select("factor")) == [(1.0,), (1.0,)]
     labels = spark.createDataFrame([("r1", "Ost")], "key string, label string")
     assert rows(blend.localize(arcs, "id", "name", labels).select("id", "name")) == [("r1", "Ost"), ("r2", "West")]
+
+
+def test_null_groups_keep_their_rows(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 2.0), (None, 6.0)], "k string, v double")
+    for sized in (True, False):
+        out = shares.row_share(df, "v", ["k"], plan_sized=sized)
+        assert rows(out.select("k", "v", "share")) == [("a", 1.0, 0.25), ("a", 3.0, 0.75), (None, 2.0, 0.25), (None, 6.0, 0.75)]
+    assert shares.ratio_to_max(df, "v", ["k"]).count() == 4
+
+
+def test_events_that_end_before_they_start_act_in_no_year(spark):
+    event = spark.createDataFrame([("e", "E", 1990, 1985), ("f", "F", 1990, 1990)], "id string, name string, start_year int, end_year int")
+    assert rows(intervals.names_by_year(event)) == [(1990, ["F"])]
+
+
+def test_periods_beyond_one_word_fail(spark, tmp_path):
+    watched, _ = facts.row_metrics(spark.range(70).withColumnRenamed("id", "period_idx"), "wide")
+    with pytest.raises(Exception, match="period outside 0 to 63"):
+        watched.write.parquet(str(tmp_path / "x"))
