@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from geoflow.llm.common import ASCII_LOWER, SPACED, slices
+from geoflow.session import cut
 
 SYMBOLS = "#*$%&|<>"
 #: Character classes in the order of their histogram.
@@ -113,8 +114,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def references(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per language: ``lang, classes, words, word_counts, n_words`` over all documents."""
     given = docs.where(F.col(text).isNotNull() & F.col(lang).rlike(LANGUAGE)).select(lang, text)
-    counts = (given.mapInArrow(_counted, "lang string, key string, n long, is_class boolean")
-              .groupBy("lang", "is_class", "key").agg(F.sum("n").alias("n")))
+    counts = cut(given.mapInArrow(_counted, "lang string, key string, n long, is_class boolean")
+                 .groupBy("lang", "is_class", "key").agg(F.sum("n").alias("n")))  # read three times below
     by_lang = Window.partitionBy("lang", "is_class").orderBy(F.desc("n"), "key")
     first = counts.where(~F.col("is_class")).withColumn("_rank", F.row_number().over(by_lang)).where(F.col("_rank") <= limits.common)
     common = first.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("_rank", "key", "n"))).alias("_top"))
