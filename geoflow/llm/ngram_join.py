@@ -130,17 +130,17 @@ def _places(own: np.ndarray, tokens: np.ndarray, rank: np.ndarray) -> np.ndarray
 
 
 def _indexed(given: Similar, tokens: np.ndarray, rank: np.ndarray, schema: pa.Schema):
-    """Rows (id, text_key, text) to (id, text_key, n, set_key, group_key, prefix)."""
+    """Rows (id, text_key, text) to (id, text_key, n, set_key, group_key, prefix, bins)."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             for start, texts in slices(batch.column(2)):
-                n, set_keys, group_keys, prefixes = [], [], [], []
+                n, set_keys, group_keys, prefixes, bins = [], [], [], [], []
                 for own in shingle_sets(texts, given.width):
                     size = len(own)
                     n.append(size)
                     if not size:
-                        set_keys.append(None), group_keys.append(None), prefixes.append(None)
+                        set_keys.append(None), group_keys.append(None), prefixes.append(None), bins.append(None)
                         continue
                     first = size - -(-given.percent * size // 100) + 1
                     prefix = own[np.lexsort((own, _places(own, tokens, rank)))[:first]]
@@ -148,31 +148,30 @@ def _indexed(given: Similar, tokens: np.ndarray, rank: np.ndarray, schema: pa.Sc
                     set_keys.append(key)
                     group_keys.append(hashlib.blake2b(prefix.tobytes(), digest_size=16, key=size.to_bytes(8, "little")).digest())
                     prefixes.append(None if group_keys[-1] in seen else prefix)  # one of a task's copies is enough
+                    bins.append(None if key in seen else np.bincount(own & (BINS - 1), minlength=BINS).astype(np.int32))
                     if len(seen) > 1 << 18:
                         seen.clear()
-                    seen.add(group_keys[-1])
+                    seen.update((key, group_keys[-1]))
                 some = batch.slice(start, len(texts))
                 columns = [some.column(0), some.column(1), pa.array(n, pa.int64()), pa.array(set_keys, pa.binary()),
-                           pa.array(group_keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+                           pa.array(group_keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return made
 
 
 def _sets(width: int):
-    """Rows (text_key, text) to (set_key, tokens, bins), once per text of a task."""
+    """Rows (sid, text) to (sid, tokens), once per set of a task."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        seen: set[int] = set()
         for batch in batches:
             for start, texts in slices(batch.column(1)):
-                keys = batch.column(0).slice(start, len(texts)).to_pylist()
-                new = [k for k, key in enumerate(keys) if key != (keys[k - 1] if k else last)]
-                last = keys[-1]
-                sets = shingle_sets([texts[k] for k in new], width)
-                set_keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                shares = [np.bincount(s & (BINS - 1), minlength=BINS).astype(np.int32) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(set_keys, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(shares, pa.list_(pa.int32()))],
-                                                 ["set_key", "tokens", "bins"])
+                new = {sid: text for sid, text in zip(batch.column(0).slice(start, len(texts)).to_pylist(), texts) if sid not in seen}
+                if len(seen) > 1 << 18:
+                    seen.clear()
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array(shingle_sets(list(new.values()), width), pa.list_(pa.int64()))],
+                                                 ["sid", "tokens"])
 
     return made
 
@@ -183,21 +182,23 @@ def _overlap(a: str, b: str, given: Similar) -> Column:
     return left * (100 + given.percent) >= given.percent * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, given: Similar) -> DataFrame:
-    """The pairs ``(a, b)`` of set ids that link. ``pairs`` is a kept table.
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, given: Similar) -> DataFrame:
+    """The pairs ``(a, b)`` of set ids that link. ``pairs`` is a kept table, ``texts`` holds ``text_key, text``.
 
-    An upper bound from binned counts leaves few pairs, and only their sets are moved. Their ids are counted, and go to every task up to
-    ``BROADCAST_IDS``; beyond that they are joined by a shuffle.
+    An upper bound from binned counts leaves few pairs, and only their sets are made from the texts and moved. The
+    keys of these texts are counted, and go to every task up to ``BROADCAST_IDS``; beyond that they are joined by a shuffle.
     """
-    bins = sets.select("sid", "bins", F.size("tokens").alias("n"))
+    bins = sets.select("sid", "bins", "n")
     bounded = (pairs.join(bins.select(F.col("sid").alias("a"), F.col("bins").alias("_a"), F.col("n").alias("_n")), "a")
                .join(bins.select(F.col("sid").alias("b"), F.col("bins").alias("_b"), F.col("n").alias("_m")), "b"))
     most = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     pairs = cut(bounded.where(most * (100 + given.percent) >= given.percent * (F.col("_n") + F.col("_m"))).select("a", "b"))
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
-    sets = sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "sid", "left_semi")
-    first = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("_a"))
-    second = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("_b"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    keys = cut(sets.select("sid", "text_key").join(ids, "sid", "left_semi"))
+    held = texts.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, "text_key").select("sid", "text")
+    made = held.mapInArrow(_sets(given.width), "sid long, tokens array<long>").groupBy("sid").agg(F.first("tokens").alias("tokens"))
+    first = made.select(F.col("sid").alias("a"), F.col("tokens").alias("_a"))
+    second = made.select(F.col("sid").alias("b"), F.col("tokens").alias("_b"))
     both = F.size(F.array_intersect("_a", "_b"))
     return (pairs.join(first, "a").join(second, "b")
             .select("a", "b", both.alias("_both"), (F.size("_a") + F.size("_b")).alias("_sum"))
@@ -228,7 +229,7 @@ def components(docs: DataFrame, given: Similar = Similar(), id_col: str = "doc_i
     tokens, rank = frequent_shingles(docs, given.width, text)
     keyed = docs.select(F.col(id_col), text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
     schema = T.StructType([keyed.schema[id_col], keyed.schema["text_key"]]).add("n", "long").add("set_key", "binary").add(
-        "group_key", "binary").add("prefix", T.ArrayType(T.LongType()))
+        "group_key", "binary").add("prefix", T.ArrayType(T.LongType())).add("bins", T.ArrayType(T.IntegerType()))
     index = cut(keyed.mapInArrow(_indexed(given, tokens, rank, to_arrow_schema(schema)), schema))
 
     postings = index.where("prefix is not null").select("group_key", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -239,27 +240,21 @@ def components(docs: DataFrame, given: Similar = Similar(), id_col: str = "doc_i
                  .where("_low < _high and _early").select("token"))  # kept apart, so that the join can split hot shingles
     grouped = cut(postings.join(shared, "token").select("token", "group_key", "n", F.col("pos").cast("long").alias("pos")))
 
-    members = index.where("n > 0").groupBy("group_key", "set_key", "n").agg(F.count("*").alias("_c")).drop("_c")
+    # One row per set: the least of its texts, and its counts by bin.
+    of_set = index.where("bins is not null").groupBy("set_key").agg(F.min(F.struct("text_key", "group_key", "n", "bins")).alias("_s"))
+    sets = cut(of_set.select("set_key", "_s.*").withColumn("sid", F.monotonically_increasing_id()))
+    texts = keyed.select("text_key", "text")
+    members = sets.select("group_key", "sid", "n")
     several = members.groupBy("group_key").agg(F.count("*").alias("_c")).where("_c > 1").select("group_key")
-    inner = members.join(several, "group_key").select(F.xxhash64("group_key").alias("token"), "set_key", "n", F.lit(0).cast("long").alias("pos"))
-    outer = grouped.join(members.select("group_key", "set_key"), "group_key").select("token", "set_key", "n", "pos")
-    by_set = cut(outer.unionByName(inner).distinct())
+    inner = members.join(several, "group_key").select(F.xxhash64("group_key").alias("token"), "sid", "n", F.lit(0).cast("long").alias("pos"))
+    outer = grouped.join(members.select("group_key", "sid"), "group_key").select("token", "sid", "n", "pos")
+    lists = cut(outer.unionByName(inner).distinct())
     remove(grouped, shared)
 
-    wanted = by_set.select("set_key").distinct()
-    one_text = index.join(wanted, "set_key", "left_semi").select("set_key", "text_key").distinct()
-    first = one_text.groupBy("set_key").agg(F.min("text_key").alias("text_key")).select("text_key")
-    texts = keyed.select("text_key", "text").join(first, "text_key", "left_semi")
-    sets = cut(texts.mapInArrow(_sets(given.width), "set_key binary, tokens array<long>, bins array<int>").withColumn("sid", F.monotonically_increasing_id()))
-    names = cut(sets.groupBy("set_key").agg(F.min("sid").alias("sid")))
-    lists = cut(by_set.join(names, "set_key").select("token", "sid", "n", "pos"))
-    remove(by_set)
-
     # First round: each set against the pivot with which it shares most lists.
     best = _pivot_pairs(_open_lists(lists, None), given).groupBy("b").agg(F.max_by("a", "shared").alias("a"))
     tried = cut(best.select("a", "b"))
-    links = cut(_verified(tried, sets, given))
-    roots = stars(links)
+    roots = stars(cut(_verified(tried, sets, texts, given)))
     # Second: against the other pivots. Third: all candidates that are left across components.
     for every in (False, True):
         rows = cut(_open_lists(lists, roots))
@@ -271,9 +266,14 @@ def components(docs: DataFrame, given: Similar = Similar(), id_col: str = "doc_i
             pairs = _pivot_pairs(rows, given).select("a", "b")
         new = cut(pairs.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(new).unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        links = links.unionByName(cut(_verified(new, sets, given)))
-        roots = stars(links)
-    
+        remove(rows)
+        if new.isEmpty():
+            continue
+        links = cut(_verified(new, sets, texts, given))
+        if not links.isEmpty():  # what is known is stars already
+            roots = stars(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    names = sets.select("set_key", "sid")
     named = names.join(roots.withColumnRenamed("node", "sid"), "sid")
     root_key = named.join(names.select(F.col("sid").alias("root"), F.col("set_key").alias("root_key")), "root").select("set_key", "root_key")
     placed = index.select(id_col, "n", "set_key").join(root_key, "set_key", "left").withColumn("_key", F.coalesce("root_key", "set_key"))
