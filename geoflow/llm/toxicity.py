@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,7 +126,11 @@ def train(docs: DataFrame, labels: DataFrame, given: Settings = Settings(), labe
     others = first_by_hash(docs.where(~held_out(F.col(id_col), modulus, rest)), id_col, given.unlabelled).withColumn("_positive", F.lit(False))
     sample = docs.select(id_col, F.col(text).alias("_text")).join(F.broadcast(sure.unionByName(others)), id_col)
     rows = sample.select("_positive", "_text").mapInArrow(_word_sets, "positive boolean, words array<string>").toArrow()
-    found = sorted(zip(rows.column("positive").to_pylist(), rows.column("words").to_pylist()))  # any order of rows gives one scorer
+    words = rows.column("words").combine_chunks()
+    ends, every = np.cumsum(pc.list_value_length(words).to_numpy()).tolist(), words.flatten().dictionary_encode()
+    names, places = every.dictionary.to_pylist(), every.indices.to_numpy()  # each word is held once
+    lists = [[names[k] for k in places[start:end]] for start, end in zip([0, *ends], ends)]
+    found = sorted(zip(rows.column("positive").to_pylist(), lists))  # any order of rows gives one scorer
     positive, unlabelled = [w for p, w in found if p], [w for p, w in found if not p]
     if not positive or not unlabelled:
         return Scorer({}, math.log(prior / (1 - prior)))
