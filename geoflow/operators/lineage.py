@@ -13,8 +13,8 @@ from geoflow.operators.joins import BROADCAST_ROWS, skew_join
 from geoflow.schemas import MAX_PERIODS, NO_PARENT
 from geoflow.session import cut
 
-#: A walk with at most this many seeds names its ids in the scan's filter.
-SAMPLE_ROWS = 500
+#: A level with at most this many different ids names them in the scan's filter.
+NAMED_IDS = 500
 
 #: Ids per list; Parquet filters test lists up to this length value by value.
 PUSHED_IDS = 10
@@ -37,21 +37,20 @@ def walk_ancestors(people: DataFrame, seeds: DataFrame, max_nodes: int = 14, key
                    parent: str = "parent1_id", period: str | None = None) -> DataFrame:
     """Rows met on the way from each seed along its first parent, with ``depth``.
 
-    ``seeds`` are rows of ``people`` with a ``lineage_id``. Each level joins the rows
-    of the level before to the table once; the walk ends early when no seed has a
-    parent left. Where ``period`` names the partition column, ids are packed and the
-    period is decoded from the parent's id and joined too, so that only the
-    partitions in question are read.
+    ``seeds`` are rows of ``people`` with a ``lineage_id``. Each level is a kept table
+    that is joined to ``people`` once; the walk ends early when no seed has a parent
+    left. Where ``period`` names the partition column, ids are packed and the period is
+    decoded from the parent's id and joined too, so that only the partitions in question
+    are read. A row that lies outside the period of its id is therefore nobody's parent,
+    for any number of seeds. Of a repeated id every row is met.
 
-    A level never has more rows than there are seeds, and these are counted. Up to
-    ``SAMPLE_ROWS`` the parents' ids are named in the scan's filter; up to
-    ``BROADCAST_ROWS`` a level is a kept table that is broadcast; beyond that both
-    sides are shuffled.
+    Every level is counted. A level of up to ``BROADCAST_ROWS`` rows is broadcast, beyond
+    that both sides are shuffled. The keys of a short level are named in the scan's
+    filter as well, which follows from the join and only saves reading.
     """
     columns = people.columns
     on = [key] if period is None else [period, key]
     level = cut(seeds.select("lineage_id", F.lit(0).alias("depth"), *columns))
-    count = level.count()
     levels = [level]
     for depth in range(1, max_nodes):
         step = level.where(F.col(parent).isNotNull() & (F.col(parent) != NO_PARENT)).select(
@@ -59,41 +58,20 @@ def walk_ancestors(people: DataFrame, seeds: DataFrame, max_nodes: int = 14, key
         )
         if period is not None:
             step = step.withColumn(period, period_of_id(F.col(key)).cast(dict(people.dtypes)[period]))
-        if count <= SAMPLE_ROWS:
-            level = _look_up(people, step, on, depth)
-            if level is None:
-                break
+        named = step.select(*on).distinct().limit(NAMED_IDS + 1).toArrow()
+        if named.num_rows == 0:
+            break
+        few = named.num_rows <= NAMED_IDS
+        source = people.where(_names_only(named, on)) if few else people
+        if level.count() <= BROADCAST_ROWS:
+            found = source.join(F.broadcast(step), on)
         else:
-            if count <= BROADCAST_ROWS:
-                found = people.join(F.broadcast(step), on)
-            else:
-                found = skew_join(step, _only_periods_of(people, step, period), on)
-            level = cut(found.select("lineage_id", F.lit(depth).alias("depth"), *columns))
-            if level.isEmpty():
-                break
+            found = skew_join(step, source if few else _only_periods_of(people, step, period), on)
+        level = cut(found.select("lineage_id", F.lit(depth).alias("depth"), *columns))
         levels.append(level)
     return reduce(DataFrame.unionByName, levels)
 
 
-def _look_up(people: DataFrame, step: DataFrame, on: list[str], depth: int) -> DataFrame | None:
-    """One level of a sampled walk, at most ``SAMPLE_ROWS`` rows; None if there is none.
-
-    So few rows need no table of their own. Their keys go into the scan's filter,
-    which is what makes a level read a few row groups and not whole partitions.
-    """
-    spark = people.sparkSession
-    named = step.toArrow()
-    if named.num_rows == 0:
-        return None
-    # The filter has named the partitions, so the join needs the key alone.
-    wanted = F.broadcast(spark.createDataFrame(named, step.schema).select("lineage_id", on[-1]))
-    found = people.where(_names_only(named, on)).join(wanted, on[-1]).select(
-        "lineage_id", F.lit(depth).alias("depth"), *people.columns
-    )
-    rows = found.toArrow()
-    return spark.createDataFrame(rows, found.schema) if rows.num_rows else None
-
-
 def _names_only(named: pa.Table, on: list[str]) -> Column:
     """Filter that lets the scan skip row groups: the named keys, few at a time.
 
@@ -110,11 +88,11 @@ def _names_only(named: pa.Table, on: list[str]) -> Column:
 
 
 def _only_periods_of(people: DataFrame, step: DataFrame, period: str | None) -> DataFrame:
-    """Without a broadcast there is no dynamic pruning; the at most 64 periods are named instead."""
+    """Without a broadcast there is no dynamic pruning; up to 64 periods are named instead, more are not."""
     if period is None:
         return people
-    found = [row[0] for row in step.select(period).distinct().limit(MAX_PERIODS).collect()]
-    return people.where(F.col(period).isin(found))
+    found = [row[0] for row in step.select(period).distinct().limit(MAX_PERIODS + 1).collect()]
+    return people.where(F.col(period).isin(found)) if len(found) <= MAX_PERIODS else people
 
 
 def lineages(people: DataFrame, regions: DataFrame, n: int = 50, max_nodes: int = 14,

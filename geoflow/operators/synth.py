@@ -36,9 +36,10 @@ KERNEL_DECIMALS = 15
 #: Rows one chunk of a plan row makes; a large cohort becomes many chunks.
 CHUNK_ROWS = 1 << 13
 
-#: Bins of a draw table. With 64 x 64 keys of at most 128 choices each it has at most
-#: 64 * 64 * (128 + 32) rows, which is below the broadcast limit.
+#: Bins of a draw table.
 BINS = 32
+#: Names of a draw table's bin and, as a prefix, of its keys.
+BIN, KEY = "_bin", "_key_"
 
 
 # --- expanding a plan -----------------------------------------------------------
@@ -74,9 +75,8 @@ def expand(plan: DataFrame, keys: list[str], n: str = "n", out: str = "i", chunk
 def draw_table(table: DataFrame, keys: list[str], weight: str, order: list[str], bins: int = BINS) -> DataFrame:
     """Weights of each key as intervals ``(lo, hi]`` of (0, 1), listed per bin of equal width.
 
-    The bin lets a draw find its few candidates by equality. Keys and choices are
-    positions of a packed id, which bounds the table. It is kept, for it is used
-    more than once.
+    The bin lets a draw find its few candidates by equality. The table is kept, for it
+    is used more than once.
     """
     values = [c for c in table.columns if c not in (*keys, weight)]
     used = table.where(F.col(weight) > 0)
@@ -90,26 +90,21 @@ def draw_table(table: DataFrame, keys: list[str], weight: str, order: list[str],
         F.floor(F.col("lo") * bins).cast("int"), F.least(F.floor(F.col("hi") * bins).cast("int"), F.lit(bins - 1))
     )
     placed = bounded.where(F.col("hi") > F.col("lo")).withColumn("bin", F.explode(touched))
-    return cut(placed.select(_slot(keys, bins).alias("slot"), "lo", "hi", *values))
-
-
-def _slot(keys: list[str], bins: int) -> Column:
-    """Key positions, each below 64, and the bin as one number: a join on one long."""
-    at = F.lit(0).cast("long")
-    for key in keys:
-        at = at * F.lit(64) + F.col(key)
-    return at * F.lit(bins) + F.col("bin")
+    return cut(placed.select(*[F.col(k).alias(KEY + k) for k in keys], F.col("bin").alias(BIN), "lo", "hi", *values))
 
 
 def choose(df: DataFrame, table: DataFrame, keys: list[str], draw: Column, bins: int = BINS) -> DataFrame:
-    """Add the columns of the choice whose interval holds the draw, null where a key has none."""
-    values = [c for c in table.columns if c not in ("slot", "lo", "hi")]
-    drawn = df.withColumn("_u", draw).withColumn("bin", F.floor(F.col("_u") * bins).cast("int"))
-    drawn = drawn.withColumn("_at", _slot(keys, bins))
-    if table.count() > BROADCAST_ROWS:
-        raise ValueError("a draw table has at most 64 x 64 keys")
-    held = (F.col("_at") == F.col("slot")) & (F.col("lo") < F.col("_u")) & (F.col("hi") >= F.col("_u"))
-    return drawn.join(F.broadcast(table), held, "left").select(*df.columns, *values)
+    """Add the columns of the choice whose interval holds the draw, null where a key has none or is null.
+
+    A table of up to ``BROADCAST_ROWS`` rows is broadcast; beyond that the join is shuffled by key and bin.
+    """
+    values = [c for c in table.columns if c not in (BIN, "lo", "hi", *[KEY + k for k in keys])]
+    drawn = df.withColumn("_u", draw).withColumn("_at", F.floor(F.col("_u") * bins).cast("int"))
+    held = (F.col("_at") == F.col(BIN)) & (F.col("lo") < F.col("_u")) & (F.col("hi") >= F.col("_u"))
+    for key in keys:
+        held = held & (F.col(key) == F.col(KEY + key))
+    small = table.count() <= BROADCAST_ROWS
+    return drawn.join(F.broadcast(table) if small else table, held, "left").select(*df.columns, *values)
 
 
 # --- parents --------------------------------------------------------------------

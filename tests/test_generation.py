@@ -145,6 +145,15 @@ def test_choice_shares(spark):
     assert set(counts) == {(0, "a"), (0, "c"), (1, "d"), (2, None)}
 
 
+def test_choice_by_keys_of_any_size(spark):
+    """Keys (0, 64) and (1, 0) are different, and a null key has no choice."""
+    weights = spark.createDataFrame([(0, 64, "a", 1.0), (1, 0, "b", 1.0), (-5, 1 << 40, "c", 1.0)], "k int, m long, v string, w double")
+    table = synth.draw_table(weights, ["k", "m"], "w", ["v"])
+    df = spark.createDataFrame([(1, 0, 64), (2, 1, 0), (3, -5, 1 << 40), (4, 0, 0), (5, None, 0), (6, 0, 64)], "id long, k int, m long")
+    got = synth.choose(df, table, ["k", "m"], Draws(3, F.col("id")).wide("x", 0)).select("id", "v")
+    assert rows(got) == [(1, "a"), (2, "b"), (3, "c"), (4, None), (5, None), (6, "a")]
+
+
 # --- files ----------------------------------------------------------------------
 
 def test_walk_prunes_partitions(spark, people):

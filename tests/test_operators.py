@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from geoflow.functions.expr import pack_id
 from geoflow.functions.periods import Periods
 from geoflow.operators import blend, intervals, joins, lineage, shares
 from geoflow.operators.corridors import corridors
@@ -272,15 +273,44 @@ def test_walk_stops_at_unknown_missing_and_null(spark, family):
     assert short.agg(F.max("depth")).first()[0] == 1
 
 
-def test_walk_of_very_many_seeds_gives_the_same(family, monkeypatch):
+def test_walk_ways_give_the_same(family, monkeypatch):
     seeds = family.withColumn("lineage_id", F.col("id").cast("int"))
     expected = rows(lineage.walk_ancestors(family, seeds))
-    monkeypatch.setattr(lineage, "SAMPLE_ROWS", 2)
+    monkeypatch.setattr(lineage, "NAMED_IDS", 2)
     assert rows(lineage.walk_ancestors(family, seeds)) == expected
     monkeypatch.setattr(lineage, "BROADCAST_ROWS", 2)
     assert rows(lineage.walk_ancestors(family, seeds)) == expected
 
 
+def test_walk_by_period_does_not_depend_on_the_number_of_seeds(spark):
+    """Ids outside their period are nobody's parent, and of a repeated id every row is met."""
+    n, each = 8000, 400
+
+    def packed(i):
+        return pack_id(F.floor(i / each), F.lit(0), i % each)
+
+    i = F.col("i")
+    base = spark.range(n).select(F.col("id").alias("i")).select(
+        "i", packed(i).alias("id"), F.when(i >= each, packed(i - each)).otherwise(F.lit(-1)).alias("parent1_id"),
+        F.when(i % 97 == 0, 0).otherwise(F.floor(i / each)).cast("int").alias("period_idx"))
+    people = cut(base.unionByName(base.where("i % 89 = 0")))
+    # Walked on the numbers themselves: one step back per level while the parent is stored in its own period.
+    seed = sorted((r.lineage_id, r.i) for r in lineage.hash_sample(people, 6000).select("lineage_id", "i").collect())
+    expected = []
+    for number, at in seed:
+        met = 1
+        for depth in range(4):
+            expected += [(number, depth, at)] * met
+            at -= each
+            if at < 0 or (at % 97 == 0 and at >= each):
+                break
+            met *= 2 if at % 89 == 0 else 1
+    for size in (50, 600, 6000):
+        seeds = lineage.hash_sample(people, size)
+        got = lineage.walk_ancestors(people, seeds, 4, period="period_idx").select("lineage_id", "depth", "i").collect()
+        assert sorted(map(tuple, got)) == sorted(x for x in expected if x[0] < size)
+
+
 def test_orphans_are_counted_per_parent(family):
     more = family.unionByName(family.where("id = 5").withColumn("id", F.lit(7).cast("long")))
     assert rows(lineage.orphans(more, more, "parent1_id")) == [(99, 2)]
