@@ -155,6 +155,29 @@ def test_licenses(docs):
     assert [m[0] for m in licenses.Recogniser().licences(wrapped)[1]] == ["BSD-2-Clause"]
 
 
+@pytest.mark.parametrize("text, expected", [
+    ("This project is licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("Licensed under the Apache License 2.0", "Apache-2.0"),
+    ("The code of Foo is released under the Apache License v2.", "Apache-2.0"),
+    ("The ASF licenses this file to You under the Apache License, Version 2.0", "Apache-2.0"),
+    ("Licensed under either of the MIT license or the Apache License, Version 2.0, at your option.", "Apache-2.0,MIT"),
+    ("SPDX-License-Identifier: (MIT OR GPL-2.0-or-later)", "GPL-2-or-later,MIT"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+    ("Shared under a Creative Commons\nAttribution-NonCommercial-ShareAlike 4.0 licence, http://creativecommons.org/licenses/by-nc-sa/4.0/", "CC-BY-NC-SA-4.0"),
+    ("Released under CC0 1.0 Universal", "CC0-1.0"),
+    ("To the extent possible under law, Jo has waived all copyright and related or neighboring rights.", "CC0"),
+    ("# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published by"
+     " the Free Software Foundation; either\n# version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1-or-later"),
+    ("Foo is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free"
+     " Software Foundation, either version 3 of the License, or (at your option) any later version.", "AGPL-3-or-later"),
+    ("Distributed under the terms of the GPLv3", "GPL-3"), ("Available under version 2 of the GNU General Public License", "GPL-2"),
+    ("Released under the MIT License. 2020 Foo", "MIT"),
+    ("This is not licensed under the MIT License.", ""), ("provided by Apache helicopters, available under MIT supervision", ""),
+])
+def test_license_notices(text, expected):
+    assert ",".join(sorted({m[0] for m in licenses.Recogniser().licences("Some words. " + text)[1]})) == expected
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(5, "http://a/ü", "<p>é</p>"), (2, None, "<p>é</p>"), (9, "u", None), (8, "v", ""), (None, "w", "lone"), (3, "x", "y" * 400_000), (2, None, "<p>é</p>")],
                                   "page_id long, url string, html string")
