@@ -6,13 +6,16 @@ into units between which no piece of the vocabulary can reach (checked when the
 read). A unit is encoded by an agenda of candidate merges: the best score first, the
 leftmost on ties. With a dropout above 0 a candidate is skipped if a keyed hash of its
 place falls below the dropout; the candidate is back only when a neighbour has grown. The
-key is (seed, variant of the unit in its document, start, middle, end), so the same seed,
-id and text give the same pieces wherever and whenever a row is processed. A unit's
-variant, from 0 to ``variants`` - 1, is a hash of seed, document id and place.
-
-Units of a slice are encoded together: each distinct (unit, variant) once, all agendas in
-lock step as arrays. A unit longer than ``LOCK_STEP`` characters has a heap of its own. Both
-follow the same order, which the tests check against each other and, without dropout,
+key is (seed, document id, place of the unit in its document, unit, start, middle, end), so
+that every occurrence draws by itself, and the same seed, id and text give the same pieces
+wherever and whenever a row is processed.
+
+Units of a slice are encoded together, all agendas in lock step as arrays. Work is shared
+where draws agree: each distinct unit is merged once without a skip, and an occurrence that
+skips none of these merges has its pieces. Those whose first skip is the same merge are
+merged once more without it, and so on; where little is left to share, each occurrence is
+stepped by itself. A unit longer than ``LOCK_STEP`` characters has a heap of its own. All
+ways follow the same order, which the tests check against each other and, without dropout,
 against the library.
 
 Decoding gives the text back byte for byte, whatever was dropped: a literal space mark is
@@ -23,9 +26,11 @@ Null texts give null, empty texts no ids. A null id counts as 0. Equal rows are
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +46,8 @@ SPACE = "▁"
 LOCK_STEP = 48
 #: Distinct units that are stepped at a time, and bytes of text that are encoded together.
 TOGETHER, SLICE = 1 << 13, 6 << 20
+#: Occurrences whose draws are made at a time.
+DRAWN = 1 << 17
 _NONE = np.int32(2**31 - 1)
 _M = (1 << 64) - 1
 
@@ -66,7 +73,6 @@ class Dropout:
 
     rate: float = 0.1
     seed: int = 17
-    variants: int = 16
 
 
 class Model:
@@ -165,21 +171,25 @@ class Model:
         return (data[1:] if self.dummy and ids else data).decode()
 
 
-def _key(seed: int, variant: int) -> int:
-    return _mixed((seed * 0x10001 + variant) & _M)
+def _key(seed: int, own: int) -> int:
+    return _mixed((seed * 0x10001 + own) & _M)
+
+
+def _keys(seed: int, own: np.ndarray) -> np.ndarray:
+    return _mixed_array(np.uint64(seed * 0x10001 & _M) + own.astype(np.uint64))
 
 
 def _skip_limit(rate: float) -> int:
     return min(_M, int(rate * 2.0**64))
 
 
-def encode_unit(model: Model, unit: str, variant: int, drop: Dropout) -> list[int]:
-    """One unit by a heap of candidate merges."""
+def encode_unit(model: Model, unit: str, own: int, drop: Dropout) -> list[int]:
+    """One unit by a heap of candidate merges; ``own`` is the key of the occurrence."""
     symbols = model.start(unit).tolist()
     n = len(symbols)
     end = list(range(1, n + 1))  # where the symbol that starts here ends
     before = list(range(-1, n - 1))
-    limit, key = _skip_limit(drop.rate), _key(drop.seed, variant)
+    limit, key = _skip_limit(drop.rate), _key(drop.seed, own)
     agenda: list[tuple] = []
 
     def offer(start: int) -> None:
@@ -210,11 +220,12 @@ def encode_unit(model: Model, unit: str, variant: int, drop: Dropout) -> list[in
 _GONE = np.int32(-(2**31))
 
 
-def _lock_step(model: Model, units: list[str], variants: np.ndarray, drop: Dropout) -> tuple[np.ndarray, np.ndarray]:
+def _lock_step(model: Model, units: list[str], skipped: Callable | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The same for units of at most ``LOCK_STEP`` characters, one merge of each per round.
 
-    Symbols stay where they start; ``after`` and ``before`` link them. Returns all symbols
-    in a row and how many each unit has.
+    ``skipped`` says which candidates (row, place) are skipped. Symbols stay where they
+    start; ``after`` and ``before`` link them. Returns all symbols in a row and how many
+    each unit has, and the places of all merges in their order and how many each unit has.
     """
     n, width = len(units), max(map(len, units)) + 1
     lengths = np.fromiter(map(len, units), np.int32, n)
@@ -226,8 +237,7 @@ def _lock_step(model: Model, units: list[str], variants: np.ndarray, drop: Dropo
     before = np.tile(np.arange(-1, width - 1, dtype=np.int32), n)
     rank, made = np.full((n, width), _NONE, np.int32), np.zeros(n * width, np.int32)
     flat_rank = rank.ravel()
-    limit = _skip_limit(drop.rate)
-    key = np.array([_key(drop.seed, int(v)) for v in range(drop.variants)], np.uint64)[variants]
+    merges: list[tuple[np.ndarray, np.ndarray]] = []
 
     def offer(row: np.ndarray, start: np.ndarray) -> None:
         """Put the candidate that begins at each (row, start) on its agenda, or take it off."""
@@ -238,11 +248,10 @@ def _lock_step(model: Model, units: list[str], variants: np.ndarray, drop: Dropo
         flat_rank[at[~has]] = _NONE
         row, start, middle, base, at = row[has], start[has], middle[has], base[has], at[has]
         found, id_ = model.look_up(symbols[at], symbols[base + middle])
-        if limit:
+        if skipped:
             good = np.flatnonzero(found != _NONE)
             place = start[good] << 42 ^ middle[good] << 21 ^ after[base[good] + middle[good]].astype(np.int64)
-            drawn = _mixed_array(key[row[good]] ^ _mixed_array(place.astype(np.uint64)))
-            found[good[drawn < np.uint64(limit)]] = _NONE
+            found[good[skipped(row[good], place)]] = _NONE
         flat_rank[at], made[at] = found, id_
 
     row, start = np.nonzero(inside)
@@ -260,6 +269,7 @@ def _lock_step(model: Model, units: list[str], variants: np.ndarray, drop: Dropo
         at = base + best
         right = base + after[at]
         end = after[right].astype(np.int64)
+        merges.append((live, best.astype(np.int64) << 42 ^ (right - base) << 21 ^ end))
         symbols[at], symbols[right], flat_rank[right] = made[at], _GONE, _NONE
         after[at] = end
         linked = end < lengths[live]
@@ -270,7 +280,9 @@ def _lock_step(model: Model, units: list[str], variants: np.ndarray, drop: Dropo
         offer(live[some], left[some])
         agenda = rank[live]
     kept = symbols != _GONE
-    return symbols[kept], kept.reshape(n, width).sum(axis=1)
+    rows = np.concatenate([np.zeros(0, np.int64), *(r for r, _ in merges)])
+    places = np.concatenate([np.zeros(0, np.int64), *(p for _, p in merges)])
+    return symbols[kept], kept.reshape(n, width).sum(axis=1), places[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=n)
 
 
 def _ragged(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,38 +291,85 @@ def _ragged(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[n
     return values[np.repeat(begin[which] - (np.cumsum(own) - own), own) + np.arange(own.sum())], own
 
 
-def encode_units(model: Model, units: list[str], variants: np.ndarray, drop: Dropout) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of every (unit, variant) in a row and how many each has; units of like length go together."""
+def _as_bytes(model: Model, got: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Characters without a piece become bytes."""
+    if not (got < 0).any():
+        return got, own
+    per = np.ones(len(got), np.int64)
+    bare = np.flatnonzero(got < 0)
+    as_bytes = [model.finish([int(x)]) for x in got[bare]]
+    per[bare] = [len(x) for x in as_bytes]
+    wide = np.repeat(got, per)
+    begin = np.cumsum(per) - per
+    for k, x in zip(begin[bare].tolist(), as_bytes):
+        wide[k:k + len(x)] = x
+    return wide, np.add.reduceat(per, np.cumsum(own) - own)
+
+
+def _stepped(model: Model, units: list[str], skipped: Callable | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``_lock_step`` for any number of units, ``TOGETHER`` of like length at a time; ``skipped`` gets rows of ``units``."""
+    order = np.argsort(np.fromiter(map(len, units), np.int64, len(units)), kind="stable")
+    parts = []
+    for at in range(0, len(order), TOGETHER):
+        some = order[at:at + TOGETHER]
+        got, own, *merges = _lock_step(model, [units[k] for k in some.tolist()], skipped and (lambda row, place, some=some: skipped(some[row], place)))
+        parts.append((*_as_bytes(model, got, own), *merges))
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    values, sizes, places, n_merges = map(np.concatenate, zip(*parts))
+    return *_ragged(values, sizes, back), *_ragged(places, n_merges, back)
+
+
+def encode_units(model: Model, units: list[str], own: np.ndarray, drop: Dropout, unit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of every occurrence in a row and how many each has; an occurrence is its key ``own`` and the place of its ``unit`` in ``units``."""
+    if unit is None:
+        unit = np.arange(len(units))
+    limit, key = _skip_limit(drop.rate), _keys(drop.seed, own)
     lengths = np.fromiter(map(len, units), np.int64, len(units))
-    order = np.argsort(lengths, kind="stable")
-    short = order[lengths[order] <= LOCK_STEP]
-    values, sizes = [], []
-    for at in range(0, len(short), TOGETHER):
-        some = short[at:at + TOGETHER]
-        got, own = _lock_step(model, [units[k] for k in some.tolist()], variants[some], drop)
-        if (got < 0).any():  # characters without a piece become bytes
-            first = np.cumsum(own) - own
-            per = np.ones(len(got), np.int64)
-            bare = np.flatnonzero(got < 0)
-            as_bytes = [model.finish([int(x)]) for x in got[bare]]
-            per[bare] = [len(x) for x in as_bytes]
-            wide = np.repeat(got, per)
-            begin = np.cumsum(per) - per
-            for k, x in zip(begin[bare].tolist(), as_bytes):
-                wide[k:k + len(x)] = x
-            own = np.add.reduceat(per, first)
-            got = wide
+    values, sizes, n_made = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+    which = np.empty(len(unit), np.int64)
+
+    def drawn(key: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return _mixed_array(key ^ _mixed_array(place.astype(np.uint64))) < np.uint64(limit)
+
+    open_ = np.flatnonzero(lengths[unit] <= LOCK_STEP)
+    nodes, node = np.unique(unit[open_], return_inverse=True)  # a node is a unit and the candidates that its occurrences skip
+    skips = np.zeros((len(nodes), 0), np.int64)
+    while len(open_):
+        alone = 2 * len(nodes) > len(open_) and limit > 0
+        if alone:
+            nodes, node = unit[open_], np.arange(len(open_))
+            keys = key[open_]
+            skipped = lambda row, place: drawn(keys[row], place)
+        else:
+            skipped = (lambda row, place: (skips[row] == place[:, None]).any(axis=1)) if skips.shape[1] else None
+        got, n, places, n_merges = _stepped(model, [units[k] for k in nodes.tolist()], skipped)
         values.append(got)
-        sizes.append(own)
-    for k in order[len(short):].tolist():
-        got = encode_unit(model, units[k], int(variants[k]), drop)
+        sizes.append(n)
+        which[open_] = n_made + node
+        n_made += len(nodes)
+        if alone or not limit:
+            break
+        begin, missed, first = np.cumsum(n_merges) - n_merges, [], []
+        for at in range(0, len(open_), DRAWN):
+            some, per = node[at:at + DRAWN], n_merges[node[at:at + DRAWN]]
+            row = np.repeat(np.arange(len(some)), per)
+            merge = np.repeat(begin[some] - (np.cumsum(per) - per), per) + np.arange(len(row))
+            hit = np.flatnonzero(drawn(key[open_[at:at + DRAWN]][row], places[merge]))
+            hit = hit[np.diff(row[hit], prepend=-1) > 0]  # the first of each occurrence
+            missed.append(at + row[hit])
+            first.append(merge[hit])
+        open_ = open_[np.concatenate(missed)]
+        merge, node = np.unique(np.concatenate(first), return_inverse=True)
+        parent = np.searchsorted(begin + n_merges, merge, side="right")
+        nodes, skips = nodes[parent], np.column_stack([skips[parent], places[merge]])
+    for k in np.flatnonzero(lengths[unit] > LOCK_STEP).tolist():
+        got = encode_unit(model, units[unit[k]], int(own[k]), drop)
         values.append(np.array(got, np.int32))
         sizes.append(np.array([len(got)], np.int64))
-    if not values:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    return _ragged(np.concatenate(values), np.concatenate(sizes), back)
+        which[k] = n_made
+        n_made += 1
+    return _ragged(np.concatenate(values), np.concatenate(sizes), which)
 
 
 def encode_texts(model: Model, ids: list[int | None], texts: list[str | None], drop: Dropout) -> tuple[np.ndarray, np.ndarray]:
@@ -323,16 +382,15 @@ def encode_texts(model: Model, ids: list[int | None], texts: list[str | None], d
         places.extend(map(numbers.__getitem__, units))
         counts.append(len(units))
     unit, n = np.array(places, np.int64), np.array(counts, np.int64)
+    names = list(numbers)
     if drop.rate > 0 and len(unit):
         seeds = np.array([_mixed(((i or 0) & _M) ^ _mixed(drop.seed & _M)) for i in ids], np.uint64)
         place = np.arange(len(unit)) - np.repeat(np.cumsum(n) - n, n)
-        variant = (_mixed_array(np.repeat(seeds, n) ^ place.astype(np.uint64)) % np.uint64(drop.variants)).astype(np.int64)
+        hashes = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in names], np.uint64)
+        own = _mixed_array(_mixed_array(np.repeat(seeds, n) ^ place.astype(np.uint64)) ^ hashes[unit])
     else:
-        variant = np.zeros(len(unit), np.int64)
-    pairs, which = np.unique(unit * drop.variants + variant, return_inverse=True)
-    names = list(numbers)
-    done = encode_units(model, [names[k] for k in (pairs // drop.variants).tolist()], pairs % drop.variants, drop)
-    values, sizes = _ragged(*done, which)
+        own = np.zeros(len(unit), np.uint64)
+    values, sizes = encode_units(model, names, own, drop, unit)
     ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(n)])]
     return values, np.diff(ends)
 

@@ -123,6 +123,23 @@ def test_sentencepiece(docs):
     assert keyed(sentencepiece.round_trip(docs, sentencepiece.Dropout(seed=2))) != keyed(sentencepiece.round_trip(docs))
 
 
+def test_sentencepiece_draws():
+    """Every occurrence draws by itself, and what is shared is what a heap of its own gives."""
+    model, drop = sentencepiece.model_of(sentencepiece.MODEL), sentencepiece.Dropout()
+    units = [" information", " straße", "x", " the", "\U0001f600q", " " + "y" * 60]
+    unit, own = np.arange(6_000) % 6, np.arange(6_000, dtype=np.uint64) * np.uint64(2**61 + 1)
+    values, sizes = sentencepiece.encode_units(model, units, own, drop, unit)
+    heap = [sentencepiece.encode_unit(model, units[u], k, drop) for u, k in zip(unit.tolist(), own.tolist())]
+    assert [x.tolist() for x in np.split(values, np.cumsum(sizes)[:-1])] == heap
+    values, sizes = sentencepiece.encode_texts(model, list(range(3_000)), ["information information"] * 3_000, drop)
+    assert len(set(map(lambda x: tuple(x.tolist()), np.split(values, np.cumsum(sizes)[:-1])))) > 256  # sixteen masks for two words give no more
+    assert " a".replace(" ", sentencepiece.SPACE) in model.normal
+    for texts in (["a " * 20_000], ["a"] * 20_000):  # one merge for each word
+        sizes = sentencepiece.encode_texts(model, list(range(len(texts))), texts, drop)[1]
+        assert abs(sizes.sum() / 20_000 - 1.1) < 0.01
+    assert sentencepiece.encode_texts(model, [None] * 2, ["a " * 99, "b " * 99], drop)[1].tolist() != [99, 99]
+
+
 def test_secrets(docs):
     found = {r.doc_id: r for r in secrets.scan_documents(docs).collect()}
     r = found[13]
