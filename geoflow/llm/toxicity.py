@@ -14,7 +14,8 @@ in numpy.
 
 Fitting takes at most ``positives`` confirmed rows and ``unlabelled`` rows outside the fold,
 those with the smallest hash of their id, and of these only words that ``least`` confirmed
-rows have, ``lift`` times as often as unlabelled rows. Weights are not negative, so that a
+rows have, ``lift`` times as often as clean rows. The clean rate of a word is its unlabelled
+rate less the part p of its toxic rate, so a word that only toxic rows use stays at any p. Weights are not negative, so that a
 long text doesn't outweigh its insults. Scoring takes the words of whole texts.
 
 Null and empty texts have no words and get the score of the bias. Without confirmed rows
@@ -76,8 +77,12 @@ class Scorer:
 def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float, given: Settings = Settings()) -> Scorer:
     """Minimise the non-negative risk with the logistic loss."""
     counts, common = Counter(w for words in positive for w in words), Counter(w for words in unlabelled for w in words)
-    least = given.lift * len(positive) / len(unlabelled)
-    names = sorted(w for w, n in counts.items() if n >= given.least and n >= least * common[w])
+
+    def clean(w: str) -> float:
+        """The rate of a word among clean rows, as unlabelled rows hold the toxic share themselves."""
+        return max(0.0, common[w] / len(unlabelled) - prior * counts[w] / len(positive)) / (1 - prior)
+
+    names = sorted(w for w, n in counts.items() if n >= given.least and n / len(positive) >= given.lift * clean(w))
     place = {w: k for k, w in enumerate(names)}
     rows = [[place[w] for w in words if w in place] for words in positive + unlabelled]
     index = np.array([k for r in rows for k in r], np.int64)
@@ -121,7 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, given: Settings = Settings(), labe
     total, toxic = known.agg(F.count("*"), F.coalesce(F.sum("_label"), F.lit(0))).first()
     if not toxic:
         return Scorer({}, -60.0)
-    prior = given.prior if given.prior is not None else min(max(toxic / total, 1e-4), 0.5)
+    # Labels without a clean row don't tell the share.
+    prior = given.prior if given.prior is not None else min(max(toxic / total, 1e-4), 0.99 if toxic < total else 0.5)
     sure = first_by_hash(known.where("_label = 1"), id_col, given.positives).withColumn("_positive", F.lit(True))
     others = first_by_hash(docs.where(~held_out(F.col(id_col), modulus, rest)), id_col, given.unlabelled).withColumn("_positive", F.lit(False))
     sample = docs.select(id_col, F.col(text).alias("_text")).join(F.broadcast(sure.unionByName(others)), id_col)

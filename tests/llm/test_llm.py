@@ -228,3 +228,19 @@ def test_classifiers(spark, docs):
         assert all(rows[r[0]].held_out for r in held) and all(0 <= r.score <= 1 for r in rows.values())
         assert np.mean([rows[r[0]].predicted == r[at] for r in held]) > 0.9
         assert module.classify(table.limit(0).drop("quality", "toxic"), labels.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.34, 0.5, 0.7])
+def test_toxic_words_at_any_share(prior):
+    draw = random.Random(5)
+    letters = [a + b for a in "abcdefghij" for b in "abcdefghijklmnopqrst"]
+    vile, plain = ["v" + x for x in letters[:50]], ["p" + x for x in letters]
+
+    def row(toxic):
+        return sorted({*draw.sample(plain, 20), *(draw.sample(vile, 3) if toxic else ())})
+
+    positive, unlabelled = [row(True) for _ in range(2_000)], [row(k < prior * 6_000) for k in range(6_000)]
+    scorer = toxicity.fit(positive, unlabelled, prior)
+    assert len(set(vile) & set(scorer.weights)) >= 40
+    assert np.mean([scorer.score(" ".join(row(True))) >= 0.5 for _ in range(200)]) > 0.95
+    assert np.mean([scorer.score(" ".join(row(False))) < 0.5 for _ in range(200)]) > 0.95
