@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoflow.llm import (decontaminate, licenses, ngram_join, quality_net, quality_rules, secrets, sentencepiece, substring_dedup,
-                         toxicity, warc)
+from geoflow.llm import (decontaminate, lexical_search, licenses, ngram_join, phrases, quality_net, quality_rules, secrets, sentencepiece,
+                         substring_dedup, threshold_search, toxicity, warc)
 from geoflow.llm.common import table
 from geoflow.session import fresh_path
 
@@ -66,6 +66,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_search.top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP2_SQL = r"""
 with recursive words as materialized (
   select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w
@@ -181,6 +193,69 @@ select page_id, payload_bytes, payload_digest, case when page_id = least then 'r
 from shown
 """
 
+OP11_SQL = r"""
+with v as materialized (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+score as (
+  select q.vec_id query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint score
+  from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int rank, vec_id, score
+from score qualify rank <= 5
+"""
+
+OP12_SQL = r"""
+with piece as (
+  select coalesce(lang, 'und') lang, unnest(string_split_regex(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) p
+  from documents where text is not null),
+word as materialized (select lang, regexp_extract_all(p, '[^\x20\x09]+') w from piece),
+total as materialized (select lang, sum(len(w))::bigint n from word group by lang),
+gram as materialized (
+  select lang, k, phrase, count(*) f from (
+    select lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') phrase from (
+      select lang, w, k, unnest(range(1, len(w) - k + 2)) i from (select lang, w, unnest([1, 2, 3, 4, 5]) k from word) where len(w) >= k))
+  group by all having count(*) >= 100),
+cand as materialized (select lang, k, phrase, f a, string_split(phrase, ' ') w from gram where k > 1),
+inside as (
+  select lang, sub, max(a) f from (
+    select lang, a, array_to_string(list_slice(w, i, i + m - 1), ' ') sub from (
+      select lang, a, w, m, unnest(range(1, k - m + 2)) i from (select *, unnest(range(2, k)) m from cand)))
+  group by all),
+cuts as (
+  select lang, phrase, a, c, array_to_string(list_slice(w, 1, c), ' ') first, array_to_string(list_slice(w, c + 1, k), ' ') rest
+  from (select *, unnest(range(1, k)) c from cand)),
+scored as (
+  select cuts.lang, cuts.phrase, a, x.f l, y.f r, n, ((1000::hugeint * a * n) // (x.f::hugeint * y.f))::bigint score
+  from cuts join gram x on x.lang = cuts.lang and x.phrase = first join gram y on y.lang = cuts.lang and y.phrase = rest join total on total.lang = cuts.lang
+  qualify row_number() over (partition by cuts.lang, cuts.phrase order by score, c) = 1)
+select s.lang, row_number() over (partition by s.lang order by score desc, a desc, phrase) rank, phrase, a, l, r, n, score
+from scored s left join inside i on i.lang = s.lang and i.sub = s.phrase
+where not coalesce(100 * i.f >= 100 * a, false)
+qualify rank <= 2000
+"""
+
+OP13_SQL = r"""
+with doc as materialized (
+  select * from (
+    select row_number() over () r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents where text is not null) where len(w) > 0),
+item as materialized (
+  select i, item_id, t, count(*) repeats from (
+    select row_number() over () i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) t from benchmark where text is not null)
+  group by all),
+total as materialized (select count(*)::bigint n_docs, sum(len(w))::bigint n_terms from doc),
+size as (select r, doc_id, 25 + (75 * len(w) * n_docs) // n_terms m from doc, total),
+tf as materialized (select r, t, count(*) tf from (select r, unnest(w) t from doc) where t in (select t from item) group by all),
+weight as (select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint w from tf, total group by t, n_docs),
+score as (
+  select i, item_id, r, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint score
+  from item join weight using (t) join tf using (t) join size using (r) group by i, item_id, r, doc_id)
+select item_id, (row_number() over (partition by i order by score desc, doc_id, r))::int rank, doc_id, score
+from score where score > 0 qualify rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_join": op2_ngram_join,
@@ -192,6 +267,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_threshold_search": op11_threshold_search,
+    "op12_phrases": op12_phrases,
+    "op13_lexical_search": op13_lexical_search,
 }
 SQL: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op3_decontamination": OP3_SQL, "op7_warc": OP7_SQL, "op9_suffix_dedup": OP9_SQL,
-                       "op10_quality_rules": OP10_SQL}
+                       "op10_quality_rules": OP10_SQL, "op11_threshold_search": OP11_SQL, "op12_phrases": OP12_SQL,
+                       "op13_lexical_search": OP13_SQL}
