@@ -23,18 +23,19 @@ def blend_density(current: DataFrame, following: DataFrame, t: float, max_cells:
 
     A full outer join on the cell, written as one aggregate over both sides so that
     cells are shuffled once. A cell's label is the later one if the cell is new or
-    its later part is more than half.
+    its later part is more than half. A cell that is there without a label is not new.
     """
     t = _unit(t)
     now = current.select("cell", (F.col("pop") * F.lit(1 - t)).alias("p0"), F.lit(None).cast("double").alias("p1"),
-                         F.col("dominant_continent").alias("c0"), F.lit(None).cast("string").alias("c1"))
+                         F.col("dominant_continent").alias("c0"), F.lit(None).cast("string").alias("c1"), F.lit(True).alias("known"))
     then = following.select("cell", F.lit(None).cast("double").alias("p0"), (F.col("pop") * F.lit(t)).alias("p1"),
-                            F.lit(None).cast("string").alias("c0"), F.col("dominant_continent").alias("c1"))
+                            F.lit(None).cast("string").alias("c0"), F.col("dominant_continent").alias("c1"), F.lit(False).alias("known"))
     both = now.unionByName(then).groupBy("cell").agg(
-        F.sum("p0").alias("p0"), F.sum("p1").alias("p1"), F.max("c0").alias("c0"), F.max("c1").alias("c1")
+        F.sum("p0").alias("p0"), F.sum("p1").alias("p1"), F.max("c0").alias("c0"), F.max("c1").alias("c1"),
+        F.max("known").alias("known")
     )
     pop = F.coalesce("p0", F.lit(0.0)) + F.coalesce("p1", F.lit(0.0))
-    later = F.col("c0").isNull() | (F.coalesce("p1", F.lit(0.0)) > pop * F.lit(0.5))
+    later = ~F.col("known") | (F.coalesce("p1", F.lit(0.0)) > pop * F.lit(0.5))
     blended = both.select("cell", pop.alias("pop"), F.when(later, F.col("c1")).otherwise(F.col("c0")).alias("label"))
     shown = at_least(blended, "pop")
     return shown if max_cells is None else top_cells(shown, max_cells)

@@ -7,14 +7,18 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoflow.functions.expr import period_of_id
-from geoflow.operators.joins import BROADCAST_ROWS, skew_join
-from geoflow.schemas import MAX_PERIODS, NO_PARENT
-from geoflow.session import cut
+from geoflow.operators.shares import global_rank
+from geoflow.schemas import NO_PARENT
+from geoflow.session import cut, local_frame
 
-#: A level with at most this many different ids names them in the scan's filter.
-NAMED_IDS = 500
+#: A level of at most this many ids names them in the scan's filter, and takes at most so many rows back.
+NAMED_IDS, FOUND_ROWS = 500, 10_000
+
+#: A sample of at most this many rows is numbered in one task.
+RANKED_ROWS = 10_000
 
 #: Ids per list; Parquet filters test lists up to this length value by value.
 PUSHED_IDS = 10
@@ -26,50 +30,116 @@ def late_seeds(people: DataFrame, first_period: int = 45) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, n: int = 50, key: str = "id", out: str = "lineage_id") -> DataFrame:
-    """Repeatable sample: the n rows with the lowest hash of their key, numbered from 0."""
+    """Repeatable sample: the n rows with the lowest hash of their key, numbered from 0.
+
+    Up to ``RANKED_ROWS`` rows are picked and numbered in one task. For more, rows are counted by the first
+    four digits of their hash, what may be among the first n is kept, and that is numbered by range.
+    """
     mark = F.md5(F.col(key).cast("string"))
-    picked = df.withColumn("_mark", mark).orderBy("_mark", key).limit(n)
-    number = F.row_number().over(Window.orderBy("_mark", key)) - 1
-    return picked.withColumn(out, number.cast("int")).drop("_mark")
+    marked = df.withColumn("_mark", mark)
+    if n <= RANKED_ROWS:
+        number = F.row_number().over(Window.orderBy("_mark", key)) - 1
+        return marked.orderBy("_mark", key).limit(n).withColumn(out, number.cast("int")).drop("_mark")
+    digits = F.substring("_mark", 1, 4)
+    counts = marked.groupBy(digits.alias("digits")).agg(F.count("*").alias("c")).orderBy(F.col("digits").asc_nulls_first()).collect()  # at most 65,537
+    last, before = None, 0
+    for row in counts:
+        last, before = row["digits"], before + row["c"]
+        if before >= n:
+            break
+    may_be = F.lit(False) if last is None else digits <= last
+    ranked = global_rank(marked.where(may_be | F.col("_mark").isNull()), [F.col("_mark").asc_nulls_first(), F.col(key)], "_rank")
+    return ranked.where(F.col("_rank") <= n).withColumn(out, (F.col("_rank") - 1).cast("int")).drop("_mark", "_rank")
 
 
 def walk_ancestors(people: DataFrame, seeds: DataFrame, max_nodes: int = 14, key: str = "id",
                    parent: str = "parent1_id", period: str | None = None) -> DataFrame:
     """Rows met on the way from each seed along its first parent, with ``depth``.
 
-    ``seeds`` are rows of ``people`` with a ``lineage_id``. Each level is a kept table
-    that is joined to ``people`` once; the walk ends early when no seed has a parent
-    left. Where ``period`` names the partition column, ids are packed and the period is
-    decoded from the parent's id and joined too, so that only the partitions in question
-    are read. A row that lies outside the period of its id is therefore nobody's parent,
-    for any number of seeds. Of a repeated id every row is met.
+    ``seeds`` are rows of ``people`` with a ``lineage_id``. Only ids are walked; the rows are joined to what
+    was met once, at the end. Where ``period`` names the partition column, ids are packed and the period is
+    decoded from the parent's id, so that only the partitions in question are read. A row that
+    lies outside the period of its id is therefore nobody's parent. Of a repeated id every row is met.
 
-    Every level is counted. A level of up to ``BROADCAST_ROWS`` rows is broadcast, beyond
-    that both sides are shuffled. The keys of a short level are named in the scan's
-    filter as well, which follows from the join and only saves reading.
+    Up to ``NAMED_IDS`` ids are followed by name: each level is one scan that skips row groups by their statistics, and
+    the links of these ids come back to the driver. More are followed by doubling: a two-column table of ids and
+    their ancestors at 1, 2, 4 and 8 steps is joined to what was met, so that 14 nodes take four rounds, and only
+    the tables of 1, 2 and 4 steps are kept. The rows do not depend on the way.
     """
-    columns = people.columns
-    on = [key] if period is None else [period, key]
-    level = cut(seeds.select("lineage_id", F.lit(0).alias("depth"), *columns))
-    levels = [level]
+    names = people.columns
+    start = cut(seeds.select("lineage_id", F.lit(0).alias("depth"), *names))
+    link = _Links(people, key, parent, period)
+    met = None
+    if max_nodes > 1:
+        first = start.where(link.has_parent).select("lineage_id", *link.up)
+        named = first.limit(NAMED_IDS + 1).toArrow()
+        if named.num_rows <= NAMED_IDS:
+            met = _walk_by_name(link, named, max_nodes, start.schema["lineage_id"])
+        if met is None:
+            met = _walk_by_doubling(link, first, max_nodes)
+    if met is None:
+        return start
+    found = link.own.join(met, link.on).select("lineage_id", "depth", *names)
+    return start.unionByName(found)
+
+
+class _Links:
+    """The links of a table: of each row its key and its parent, with their periods where there are any."""
+
+    def __init__(self, people: DataFrame, key: str, parent: str, period: str | None) -> None:
+        self.on = [key] if period is None else [period, key]
+        self.has_parent = F.col(parent).isNotNull() & (F.col(parent) != NO_PARENT)
+        kind = None if period is None else dict(people.dtypes)[period]
+        self.up = [F.col(parent).alias("_up")] + ([] if period is None else [period_of_id(F.col(parent)).cast(kind).alias("_up_period")])
+        #: Rows that can be somebody's parent.
+        self.own = people.where(F.col(key).isNotNull() if period is None else F.col(period) == period_of_id(F.col(key)).cast(kind))
+        self.fields = [people.schema[name] for name in self.on]
+        self.key, self.period, self.period_of = key, period, lambda c: period_of_id(c).cast(kind)
+
+
+def _walk_by_name(link: _Links, named: pa.Table, max_nodes: int, lineage: T.StructField) -> DataFrame | None:
+    """``lineage_id, depth`` and the ids met, or nothing if they are too many to be named."""
+    def ids(table: pa.Table) -> list[tuple]:
+        return list(zip(*[table.column(c).to_pylist() for c in ("_up_period", "_up") if c in table.column_names]))
+
+    level = list(zip(named.column("lineage_id").to_pylist(), ids(named)))
+    met: list[tuple] = []
     for depth in range(1, max_nodes):
-        step = level.where(F.col(parent).isNotNull() & (F.col(parent) != NO_PARENT)).select(
-            "lineage_id", F.col(parent).alias(key)
-        )
-        if period is not None:
-            step = step.withColumn(period, period_of_id(F.col(key)).cast(dict(people.dtypes)[period]))
-        named = step.select(*on).distinct().limit(NAMED_IDS + 1).toArrow()
-        if named.num_rows == 0:
+        met += [(one, depth, *at) for one, at in level]
+        if not level or depth == max_nodes - 1:
             break
-        few = named.num_rows <= NAMED_IDS
-        source = people.where(_names_only(named, on)) if few else people
-        if level.count() <= BROADCAST_ROWS:
-            found = source.join(F.broadcast(step), on)
-        else:
-            found = skew_join(step, source if few else _only_periods_of(people, step, period), on)
-        level = cut(found.select("lineage_id", F.lit(depth).alias("depth"), *columns))
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+        asked = pa.Table.from_pylist([dict(zip(link.on, at)) for at in set(at for _, at in level)])
+        rows = link.own.where(_names_only(asked, link.on)).where(link.has_parent)
+        found = rows.select(*link.on, *link.up).limit(FOUND_ROWS + 1).toArrow()
+        if found.num_rows > FOUND_ROWS:
+            return None
+        parents: dict[tuple, list[tuple]] = {}
+        for at, up in zip(zip(*[found.column(c).to_pylist() for c in link.on]), ids(found)):
+            parents.setdefault(at, []).append(up)
+        level = [(one, up) for one, at in level for up in parents.get(at, ())]
+        if len(level) > NAMED_IDS:
+            return None
+    if not met:
+        return None
+    schema = T.StructType([lineage, T.StructField("depth", T.IntegerType()), *link.fields])
+    # At most NAMED_IDS rows for each level.
+    return F.broadcast(local_frame(link.own.sparkSession, [dict(zip(schema.names, row)) for row in met], schema))
+
+
+def _walk_by_doubling(link: _Links, first: DataFrame, max_nodes: int) -> DataFrame:
+    """``lineage_id, depth`` and the ids met, by tables of ancestors at 1, 2, 4 ... steps."""
+    jump = cut(link.own.where(link.has_parent).select(F.col(link.key).alias("_at"), link.up[0]))
+    met = first.select("lineage_id", F.lit(1).alias("depth"), F.col("_up").alias("_id"))
+    span = 1
+    while span < max_nodes - 1:
+        further = met.join(jump, F.col("_id") == F.col("_at")).select("lineage_id", (F.col("depth") + span).alias("depth"), F.col("_up").alias("_id"))
+        met = met.unionByName(further.where(F.col("depth") < max_nodes))
+        span *= 2
+        if span < max_nodes - 1:
+            twice = jump.alias("a").join(jump.alias("b"), F.col("a._up") == F.col("b._at")).select("a._at", "b._up")
+            jump = cut(twice) if 2 * span < max_nodes - 1 else twice  # the last one is read once
+    at = [F.col("_id").alias(link.key)] + ([] if link.period is None else [link.period_of(F.col("_id")).alias(link.period)])
+    return met.select("lineage_id", "depth", *at)
 
 
 def _names_only(named: pa.Table, on: list[str]) -> Column:
@@ -87,14 +157,6 @@ def _names_only(named: pa.Table, on: list[str]) -> Column:
     return wanted
 
 
-def _only_periods_of(people: DataFrame, step: DataFrame, period: str | None) -> DataFrame:
-    """Without a broadcast there is no dynamic pruning; up to 64 periods are named instead, more are not."""
-    if period is None:
-        return people
-    found = [row[0] for row in step.select(period).distinct().limit(MAX_PERIODS + 1).collect()]
-    return people.where(F.col(period).isin(found)) if len(found) <= MAX_PERIODS else people
-
-
 def lineages(people: DataFrame, regions: DataFrame, n: int = 50, max_nodes: int = 14,
              first_period: int = 45) -> DataFrame:
     """Sampled late people and their ancestors with region names."""

@@ -86,17 +86,47 @@ def global_rank(df: DataFrame, order: list[Column], out: str = "rank") -> DataFr
     )
 
 
+#: Remainders are compared at nine decimals, as whole numbers below this one.
+REST_UNITS = 1_000_000_000
+#: The first and the second half of such a number; both have few enough values to be counted in the driver.
+REST_LOW = 1 << 15
+
+
+def _cutting_rest(based: DataFrame, wanted: int) -> tuple[int, int]:
+    """(r, n): all rows with a remainder above r, and n of those equal to it, are the ``wanted`` largest.
+
+    Remainders are counted by their first half, and those of the cutting one by their second
+    half, so that neither rows nor values are sorted. At most 30,518 and 32,768 counts are collected.
+    """
+    above, high = wanted, None
+    for part, own in ((F.expr(f"_rest div {REST_LOW}"), based), (F.col("_rest") % REST_LOW, None)):
+        if own is None:
+            own = based.where(F.expr(f"_rest div {REST_LOW}") == high)
+        counts = own.groupBy(part.alias("v")).agg(F.count("*").alias("c")).toArrow()
+        for value, n in sorted(zip(counts.column("v").to_pylist(), counts.column("c").to_pylist()), reverse=True):
+            if above <= n:
+                break
+            above -= n
+        if high is not None:
+            return high * REST_LOW + value, above
+        high = value
+    raise AssertionError("unreachable")
+
+
 def apportion(df: DataFrame, weight: str, total, keys: list[str], out: str = "n", plan_sized: bool = False) -> DataFrame:
     """Split an integer total by weight so that the parts sum to it exactly.
 
     Every row gets the floor of its part, and the largest remainders get one more;
     equal remainders (at nine decimals) go by ``keys``. ``plan_sized`` says that the
     frame is a cohort plan, at most 64 by 64 rows, which one task may rank.
+
+    Otherwise the rows are kept once and the sum of the weights is taken once. The remainder
+    from which a row gets one more is found by counting remainders; only rows that have exactly
+    this one are ranked, and only if not all of them get one more. ``total`` is a number then.
     """
-    total = total if isinstance(total, Column) else F.lit(int(total))
     if not plan_sized:
-        # Read three times: for the mass, the floors and the ranks.
-        df = cut(df)
+        return _apportion_by_threshold(cut(df), weight, int(total), keys, out)
+    total = total if isinstance(total, Column) else F.lit(int(total))
     mass = _sum_of(df, weight, plan_sized)
     mass = F.when(mass > 0, mass).otherwise(F.raise_error(F.lit("weights sum to zero")).cast("double"))
     split = df.withColumn("_part", F.col(weight) / mass * total)
@@ -105,15 +135,38 @@ def apportion(df: DataFrame, weight: str, total, keys: list[str], out: str = "n"
     ).drop("_part")
     given = _sum_of(based, "_base", plan_sized)
     order = [F.col("_rest").desc(), *[F.col(k) for k in keys]]
-    if plan_sized:
-        ranked = based.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
-    else:
-        ranked = global_rank(based, order, "_rank")
-    left = ranked.withColumn("_left", total - given)
+    left = based.withColumn("_rank", F.row_number().over(Window.orderBy(*order))).withColumn("_left", total - given)
     extra = F.when(F.col("_rank") <= F.col("_left"), F.lit(1)).otherwise(F.lit(0))
     return left.withColumn(out, (F.col("_base") + extra).cast("long")).drop("_base", "_rest", "_rank", "_left")
 
 
+def _apportion_by_threshold(kept: DataFrame, weight: str, total: int, keys: list[str], out: str) -> DataFrame:
+    names = kept.columns
+    mass = kept.agg(F.sum(F.col(weight).cast("double"))).first()[0]
+    if mass is None:  # no rows
+        return kept.withColumn(out, F.lit(0).cast("long"))
+    if mass <= 0:
+        raise ValueError("weights sum to zero")
+    part = F.col(weight) / F.lit(mass) * F.lit(total)
+    rest = F.round(F.round(part - F.floor(part), 9) * REST_UNITS).cast("long")
+    based = kept.select("*", F.floor(part).cast("long").alias("_base"), rest.alias("_rest"))
+    n, given = based.agg(F.count("*"), F.sum("_base")).first()
+    # Rounding can leave more than one for a row, or less than none; every row takes its share of that.
+    each, left = divmod(total - given, n)
+    extra = F.lit(0)
+    if left:
+        cutting, wanted = _cutting_rest(based, left)
+        extra = F.when(F.col("_rest") > cutting, 1).otherwise(0)
+        ties = based.where(F.col("_rest") == cutting)
+        if wanted < ties.count():
+            ranked = global_rank(ties, [F.col(k) for k in keys], "_rank").withColumn("_extra", F.when(F.col("_rank") <= wanted, 1).otherwise(0)).drop("_rank")
+            based = based.where((F.col("_rest") != cutting) | F.col("_rest").isNull()).withColumn("_extra", extra).unionByName(ranked)
+            extra = F.col("_extra")
+        else:
+            extra = F.when(F.col("_rest") >= cutting, 1).otherwise(0)
+    return based.select(*[F.col(f"`{c}`") for c in names], (F.col("_base") + F.lit(each) + extra).cast("long").alias(out))
+
+
 def split_evenly(df: DataFrame, mass: str, keys: list[str], seed: int, parts: int = 10,
                  source: str = "xxhash64") -> DataFrame:
     """Split each row's integer mass over ``parts`` sub-periods, exactly.

@@ -18,7 +18,7 @@ from geoflow.operators.intervals import event_factors, pull_matrix, resolve_pull
 from geoflow.operators.lineage import lineages
 from geoflow.plans import model
 from geoflow.schemas import MOVE, PERSON
-from geoflow.session import build_session, cut, tasks_for, together
+from geoflow.session import build_session, cut, scope, tasks_for, together
 from geoflow.sources import facts, tiles
 from geoflow.sources.catalog import Catalog, load_catalog
 from geoflow.sources.dims import SCALES, Scale, read_regions
@@ -129,6 +129,12 @@ def export(spark: SparkSession, given: Inputs, out: str) -> list[str]:
 
 def run(spark: SparkSession, given: Inputs, out: str, scale: Scale, seed: int = synth.DEFAULT_SEED,
         stages: tuple[str, ...] = STAGES) -> None:
+    """The stages one after the other; what they keep on the way is deleted when the run ends."""
+    with scope():
+        _stages(spark, given, out, scale, seed, stages)
+
+
+def _stages(spark: SparkSession, given: Inputs, out: str, scale: Scale, seed: int, stages: tuple[str, ...]) -> None:
     if "generate" in stages:
         generate(given, out, scale, seed)
     if "aggregate" in stages:

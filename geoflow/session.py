@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
+from functools import wraps
 from typing import TypeVar
 
 import pyarrow as pa
@@ -68,39 +72,96 @@ def local_frame(spark: SparkSession, rows: list[dict], schema: T.StructType | st
 #: Removes a query's shuffle files when it ends, so that kept steps don't pile up on disk.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+_cleaning = threading.Lock()
+#: Session settings in use by writes of several threads: how many there are, and the value before the first of them.
+_users: dict[int, tuple[int, str]] = {}
+
+#: Tables of the open scope; steps of ``together`` share the scope of their caller.
+_scope: ContextVar[list[DataFrame] | None] = ContextVar("kept tables", default=None)
+
+
+@contextmanager
+def _cleanup(spark: SparkSession) -> Iterator[None]:
+    """Cleanup is on while any thread is inside, and as it was before when the last one leaves."""
+    key = id(spark._jsparkSession)
+    with _cleaning:
+        n, before = _users.get(key) or (0, spark.conf.get(CLEANUP))
+        _users[key] = n + 1, before
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _cleaning:
+            n, before = _users.pop(key)
+            if n > 1:
+                _users[key] = n - 1, before
+            else:
+                spark.conf.set(CLEANUP, before)
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the files.
 
     This ends the lineage, survives lost executors, and gives the planner a true
     size, so that it can choose between broadcast and shuffle by itself. The shuffle
-    files of the write go when it is done. ``remove`` deletes the table.
+    files of the write go when it is done. The table belongs to the open ``scope``, if there is one;
+    ``remove`` deletes it at any time.
     """
     spark = df.sparkSession
     path = fresh_path(spark, "cut")
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleanup(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_path = path
+    owner = _scope.get()
+    if owner is not None:
+        owner.append(kept)
     return kept
 
 
 def remove(*kept: DataFrame) -> None:
-    """Delete tables that ``cut`` wrote and nothing reads any more."""
+    """Delete tables that ``cut`` wrote and nothing reads any more. Deleting twice does no harm."""
     for df in kept:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._kept_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables that ``cut`` writes inside are deleted at the end, also after an error."""
+    mine: list[DataFrame] = []
+    token = _scope.set(mine)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        remove(*mine)
+
+
+def owned(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A step whose result is one kept table; what it kept on the way is deleted when that is written.
+
+    The result belongs to the caller: to the scope around the call, or to whoever passes it to ``remove``.
+    """
+    @wraps(step)
+    def run(*args, **kwargs) -> DataFrame:
+        around = _scope.get()
+        with scope():
+            inner = step(*args, **kwargs)
+            token = _scope.set(around)
+            try:
+                return cut(inner)
+            finally:
+                _scope.reset(token)
+
+    return run
+
+
 def together(*steps: Callable[[], T_co]) -> list[T_co]:
     """Run independent jobs at the same time, so that one fills the gaps of another."""
     with ThreadPoolExecutor(len(steps)) as pool:
-        return [done.result() for done in [pool.submit(step) for step in steps]]
+        return [done.result() for done in [pool.submit(copy_context().run, step) for step in steps]]
 
 
 def tasks_for(spark: SparkSession, rows: int, rows_per_task: int = 4_000_000) -> int:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoflow.functions.expr import gravity
+from geoflow.functions.expr import gravity, pack_id
 from geoflow.operators import blend, intervals, lineage, shares
 from geoflow.operators.corridors import ROUTE, corridor_totals, corridors, strongest_corridor, top_per_period
 from geoflow.operators.density import (
@@ -17,8 +17,10 @@ from geoflow.operators.density import (
 )
 from geoflow.operators.synth import expand
 from geoflow.plans import model
+from geoflow.session import fresh_path
+from geoflow.sources.facts import write_facts
 from parity.registry import case
-from parity.views import PERIODS, SEED, cell, sql, view
+from parity.views import PERIODS, SEED, cell, packed, sql, view
 
 # --- filters --------------------------------------------------------------------
 
@@ -122,6 +124,23 @@ def j9(v):
     return blend.blend_density(*two_periods(v), BLEND_T, None).select("cell", F.round("pop", 6).alias("pop"), "label")
 
 
+view("v_blend_null", f"""
+    select coalesce(a.cell, b.cell) as cell,
+           coalesce(a.pop * cast({1 - BLEND_T} as double), 0) + coalesce(b.pop * cast({BLEND_T} as double), 0) as pop,
+           case when a.cell is null or coalesce(b.pop * cast({BLEND_T} as double), 0) > coalesce(a.pop * cast({1 - BLEND_T} as double), 0)
+                then b.dominant_continent else a.label end as label
+    from (select *, case when pop % 3 <> 0 then dominant_continent end as label from v_density where period_idx = 3) a
+    full outer join (select * from v_density where period_idx = 4) b on a.cell = b.cell""", "v_density")
+
+
+@case("j9_blend_null", sql("select cell, round(pop, 6) as pop, label from v_blend_null where pop >= 0.5", "v_blend_null"))
+def j9_null(v):
+    """Cells of the first period without a label are there all the same."""
+    now, then = two_periods(v)
+    unnamed = now.withColumn("dominant_continent", F.when(F.col("pop") % 3 != 0, F.col("dominant_continent")))
+    return blend.blend_density(unnamed, then, BLEND_T, None).select("cell", F.round("pop", 6).alias("pop"), "label")
+
+
 @case("p8_at_least", sql("select cell, round(pop, 6) as pop from v_blend where pop >= 1.2", "v_blend"))
 def p8(v):
     shown = blend.at_least(blend.blend_density(*two_periods(v), BLEND_T, None), "pop", 1.2)
@@ -250,6 +269,53 @@ def j8(v):
     return lineage.walk_ancestors(v.link(), lineage.hash_sample(v.link(), 50)).select("lineage_id", "depth", "id")
 
 
+# Events as ids of 50 periods: some are stored outside their period, some twice.
+view("v_packed", f"""
+    select {packed('event_id % 50', '0', 'event_id // 50')} as id, event_id as number,
+           case when event_id < 7 + user_id % 40 then -1
+                else {packed('(event_id - 7 - user_id % 40) % 50', '0', '(event_id - 7 - user_id % 40) // 50')} end as parent1_id,
+           cast(case when event_id % 97 = 0 then 0 else event_id % 50 end as int) as period_idx
+    from (select event_id, user_id from events union all select event_id, user_id from events where event_id % 89 = 0)""")
+PACKED_WALK = """
+    select cast(w.lineage_id as int) as lineage_id, 0 as depth, w.number, w.parent1_id
+    from (select row_number() over (order by number) - 1 as lineage_id, * from v_packed where number % 40 = 5 and number % 89 <> 0) w
+    union all
+    select w.lineage_id, w.depth + 1, p.number, p.parent1_id from v_packed_walk w join v_packed p on p.id = w.parent1_id
+    where w.depth < 13 and w.parent1_id <> -1 and p.period_idx = p.number % 50"""
+view("v_packed_walk(lineage_id, depth, number, parent1_id)", PACKED_WALK, "v_packed")
+
+
+def packed_links(v):
+    at = F.col("event_id")
+    up = at - 7 - F.col("user_id") % 40
+    rows = v.table("events").select("event_id", "user_id")
+    both = rows.unionByName(rows.where("event_id % 89 = 0"))
+    return both.select(
+        pack_id(at % 50, F.lit(0), F.floor(at / 50)).alias("id"), at.alias("number"),
+        F.when(up < 0, F.lit(-1).cast("long")).otherwise(pack_id(up % 50, F.lit(0), F.floor(up / 50))).alias("parent1_id"),
+        F.when(at % 97 == 0, 0).otherwise(at % 50).cast("int").alias("period_idx"))
+
+
+@case("j8_walk_by_period", sql("select lineage_id, depth, number from v_packed_walk", "v_packed_walk(lineage_id, depth, number, parent1_id)"))
+def j8_by_period(v):
+    """A table by period, written as one, and a seed for every fortieth number."""
+    path = fresh_path(v.spark, "links")
+    write_facts(packed_links(v), path)
+    links = v.spark.read.parquet(path)
+    asked = links.where("number % 40 = 5 and number % 89 <> 0")
+    seeds = shares.global_rank(asked, [F.col("number")], "_rank").withColumn("lineage_id", (F.col("_rank") - 1).cast("int")).drop("_rank")
+    return lineage.walk_ancestors(links, seeds, period="period_idx").select("lineage_id", "depth", "number")
+
+
+@case("o2_hash_sample_many", sql("""
+    select cast(row_number() over (order by md5(cast(id as varchar)), id) - 1 as int) as lineage_id, id from (
+      select l_orderkey * 10 + l_linenumber as id from lineitem) qualify lineage_id < 20000"""))
+def o2_many(v):
+    """More rows than one task numbers."""
+    lines = v.table("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    return lineage.hash_sample(lines, 20_000).select("lineage_id", "id")
+
+
 view("v_label_year", """
     select p.src_idx, p.dst_idx, y.year, arg_min(p.id, {'a': -p.weight, 'b': y.start_year, 'c': p.id}) as cause_label
     from v_pull p join v_event_year y on y.id = p.id where p.weight > 0 group by 1, 2, 3""", "v_pull", "v_event_year")
@@ -513,6 +579,23 @@ def w4(v):
     return shares.apportion(weighted, "w", 1_000_003, ["c_custkey"]).select("c_custkey", "n")
 
 
+@case("w4_apportion_equal", sql("select c_custkey, cast(3 as bigint) as n from customer"))
+def w4_equal(v):
+    """Equal weights and a total that they divide: no row is ranked."""
+    weighted = v.table("customer").select("c_custkey", F.lit(0.1).cast("double").alias("w"))
+    return shares.apportion(weighted, "w", 3 * weighted.count(), ["c_custkey"]).select("c_custkey", "n")
+
+
+@case("w4_apportion_ties", sql("""
+    select c_custkey, cast(2 + case when row_number() over (order by c_custkey) <= (select count(*) // 3 from customer) then 1 else 0 end as bigint) as n
+    from customer"""))
+def w4_ties(v):
+    """Equal weights and a total that they do not divide: the keys decide."""
+    weighted = v.table("customer").select("c_custkey", F.lit(1.0).alias("w"))
+    rows = weighted.count()
+    return shares.apportion(weighted, "w", 2 * rows + rows // 3, ["c_custkey"]).select("c_custkey", "n")
+
+
 def gamma_sql() -> str:
     from parity.views import u
 

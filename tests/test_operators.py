@@ -122,10 +122,25 @@ def test_apportion_is_exact_and_breaks_ties_by_key(spark, plan_sized):
     assert got == [(0, 2), (1, 2), (2, 2), (3, 1), (4, 1), (5, 1), (6, 1)]
 
 
+def test_apportion_by_threshold_equals_a_full_ranking(spark):
+    from geoflow.session import cut as keep
+
+    df = keep(spark.range(5000).select(F.col("id").alias("k"), (F.pmod(F.xxhash64("id"), F.lit(50)) / 7 + 0.01).alias("w")))
+    for total in (0, 3, 4999, 100_003):
+        by_rank = rows(shares.apportion(df, "w", total, ["k"], plan_sized=True).select("k", "n"))
+        assert rows(shares.apportion(df, "w", total, ["k"]).select("k", "n")) == by_rank
+        assert sum(n for _, n in by_rank) == total
+    even = shares.apportion(df.withColumn("w", F.lit(0.1)), "w", 15_000, ["k"])
+    assert "Sort" not in plan(even) and "Exchange" not in plan(even) and {r.n for r in even.collect()} == {3}
+    assert shares.apportion(df.limit(0), "w", 5, ["k"]).count() == 0
+
+
 def test_apportion_without_weight_fails(spark):
     df = spark.createDataFrame([(1, 0.0)], "k int, w double")
     with pytest.raises(Exception, match="weights sum to zero"):
         shares.apportion(df, "w", 10, ["k"], plan_sized=True).collect()
+    with pytest.raises(ValueError, match="weights sum to zero"):
+        shares.apportion(df, "w", 10, ["k"])
 
 
 def test_global_rank_is_the_position_in_one_order(spark):
@@ -167,12 +182,31 @@ def test_salted_join_equals_the_plain_one(spark):
     for how in ("inner", "left"):
         salted = joins.skew_join(left, right, ["k"], how, hot_rows=1000)
         assert rows(salted.select("id", "k", "v")) == rows(left.join(right, ["k"], how).select("id", "k", "v"))
-    assert rows(joins.hot_keys(left, ["k"], 8, 1000)) == [(7,)]
+    assert rows(joins.hot_keys(left, ["k"], 8, 1000)) == [(7, 6681)]
     assert joins.hot_keys(left, ["k"], 8).count() == 0
     with pytest.raises(ValueError):
         joins.skew_join(left, right, ["k"], "full")
 
 
+def test_equal_rows_and_nulls_of_hot_keys_are_spread(spark, monkeypatch):
+    """A third of the rows are the same row, a third has no key, and one key has 30 % of the rest."""
+    left = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, None).when(F.col("id") % 10 < 3, 8).otherwise(F.col("id") % 400).alias("k"))
+    right = spark.createDataFrame([(7, "a"), (8, "b"), (8, "c"), (None, "no"), (12, "d")], "k long, v string")
+    sizes = []
+    monkeypatch.setattr(joins.F, "broadcast", lambda df: df, raising=True)
+    for how in ("inner", "left"):
+        salted = joins.skew_join(left, right, ["k"], how, hot_rows=1000, rows_per_salt=1000)
+        assert rows(salted.groupBy("k", "v").count()) == rows(left.join(right, ["k"], how).groupBy("k", "v").count())
+    kept = cut(left)
+    found = {r.k: r["rows"] for r in joins.hot_keys(kept, ["k"], 8, 1000).collect()}
+    assert found[7] >= 10_000 and None not in found
+    dealt = kept.where("k = 7").select(F.pmod(F.monotonically_increasing_id(), F.lit(10)).alias("s")).groupBy("s").count().collect()
+    sizes = [r["count"] for r in dealt]
+    assert len(sizes) == 10 and max(sizes) < 1.2 * min(sizes)
+    assert joins.skew_join(left.limit(0), right, ["k"], "left").count() == 0
+
+
 def test_lookup_beyond_the_broadcast_limit(spark, monkeypatch):
     left = spark.range(1000).select("id", (F.col("id") % 10).alias("k"))
     table = spark.range(8).select(F.col("id").alias("k"), F.col("id").alias("v"))
@@ -278,8 +312,31 @@ def test_walk_ways_give_the_same(family, monkeypatch):
     expected = rows(lineage.walk_ancestors(family, seeds))
     monkeypatch.setattr(lineage, "NAMED_IDS", 2)
     assert rows(lineage.walk_ancestors(family, seeds)) == expected
-    monkeypatch.setattr(lineage, "BROADCAST_ROWS", 2)
-    assert rows(lineage.walk_ancestors(family, seeds)) == expected
+    for nodes in (1, 2, 3, 4, 9, 30):
+        monkeypatch.setattr(lineage, "NAMED_IDS", 2)
+        doubled = rows(lineage.walk_ancestors(family, seeds, nodes))
+        monkeypatch.setattr(lineage, "NAMED_IDS", 500)
+        assert rows(lineage.walk_ancestors(family, seeds, nodes)) == doubled
+
+
+def test_walk_keeps_at_most_four_tables(family, monkeypatch):
+    kept = []
+    monkeypatch.setattr(lineage, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    monkeypatch.setattr(lineage, "NAMED_IDS", 2)
+    lineage.walk_ancestors(family, family.withColumn("lineage_id", F.col("id").cast("int"))).count()
+    assert len(kept) == 4
+    lineage.walk_ancestors(family, family.limit(1).withColumn("lineage_id", F.col("id").cast("int"))).count()
+    assert len(kept) == 5
+
+
+def test_large_samples_are_numbered_without_one_task(spark, monkeypatch):
+    people = spark.range(3000).select(F.when(F.col("id") % 500 != 3, F.col("id") % 2500).alias("id"), F.lit(1).alias("x"))
+    few = [lineage.hash_sample(people, n).select("lineage_id", "id").collect() for n in (1, 700, 3000, 5000)]
+    monkeypatch.setattr(lineage, "RANKED_ROWS", 0)
+    for n, expected in zip((1, 700, 3000, 5000), few):
+        got = lineage.hash_sample(people, n).select("lineage_id", "id")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected))
+        assert "SinglePartition" not in plan(lineage.hash_sample(people, n)).split("BroadcastExchange")[0]
 
 
 def test_walk_by_period_does_not_depend_on_the_number_of_seeds(spark):
@@ -335,6 +392,8 @@ def test_blend_of_cells(spark):
     then = cells(spark, ("a", 30, "Y"), ("b", 2, "Y"), ("d", 4, "Y"), ("e", 1, "Y"))
     got = rows(blend.blend_density(now, then, 0.5), "as is")
     assert got == [("a", 20.0, "Y"), ("b", 6.0, "X"), ("d", 2.0, "Y"), ("c", 0.5, "X"), ("e", 0.5, "Y")]
+    unnamed = cells(spark, ("a", 100, None))
+    assert rows(blend.blend_density(unnamed, cells(spark, ("a", 10, "ASIA")), 0.1), "as is") == [("a", 91.0, None)]
     assert len(blend.blend_density(now, then, 0.5, 2).collect()) == 2
     assert rows(blend.blend_density(now, then, 7.0).select("cell")) == [("a",), ("b",), ("d",), ("e",)]
     assert blend.visible_peak(blend.blend_density(now, then, 0.5)).first()[0] == 20.0

@@ -40,6 +40,36 @@ def test_removed_tables_are_gone(spark):
         spark.read.parquet(kept._kept_path).count()
 
 
+def test_threads_leave_the_setting_as_it_was(spark):
+    before = spark.conf.get(session.CLEANUP)
+    for _ in range(3):
+        session.together(*[lambda n=n: session.cut(spark.range(n).repartition(2)).count() for n in (5, 50, 500)])
+        assert spark.conf.get(session.CLEANUP) == before
+
+
+def test_kept_tables_have_an_owner(spark):
+    tables = []
+
+    @session.owned
+    def step():
+        tables.append(session.cut(spark.range(4)))
+        session.together(lambda: tables.append(session.cut(spark.range(3))), lambda: tables.append(session.cut(spark.range(2))))
+        return tables[0].where("id > 1")
+
+    def there(df):
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._kept_path)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    with session.scope():
+        result = step()
+        assert result.count() == 2 and there(result) and not any(map(there, tables))
+        with pytest.raises(ZeroDivisionError), session.scope():
+            tables.append(session.cut(spark.range(1)))
+            1 // 0
+        assert not there(tables[-1])
+    assert not there(result)
+
+
 def test_jobs_together_return_in_order_and_pass_errors_on(spark):
     assert session.together(lambda: spark.range(3).count(), lambda: spark.range(5).count()) == [3, 5]
     with pytest.raises(ZeroDivisionError):
