@@ -46,8 +46,8 @@ LEAST, LONGEST_PHRASE, PERCENT, SHOWN = 100, 5, 100, 2000
 OVERLAP, MODULUS, SHORTEST, LONGEST = LONGEST_PHRASE - 1, 64, 16, 512
 #: Bits of a bitmap of frequent words or bigrams: eight megabytes.
 BITS = 1 << 26
-#: Bytes of chunks, words, phrases and counted hashes that a task holds before it hands them on.
-CHUNK_BYTES, WORDS, PHRASES, HASHES = 8 << 20, 300_000, 200_000, 1 << 21
+#: Bytes of chunks, words, numbers of phrases and counted hashes that a task holds before it hands them on.
+CHUNK_BYTES, WORDS, PHRASE_NUMBERS, HASHES = 8 << 20, 300_000, 1 << 23, 1 << 21
 #: A piece end as a word of its own; it parts words, so no word is like it.
 BREAK = b"."
 _BYTES = bytes(0x2E if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -256,43 +256,53 @@ def _bigrams(frequent: np.ndarray):
     return made
 
 
+def _summed(columns: list[np.ndarray], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different row of the columns is first, and the sum of its times."""
+    code = columns[0].astype(np.int64)
+    for column in columns[1:]:  # numbers of what is there so far, with the next column: one number for each different row
+        code = np.unique((np.unique(code, return_inverse=True)[1] << 32) + column, return_inverse=True)[1]
+    first = np.zeros(int(code.max()) + 1 if len(code) else 0, np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    sums = np.zeros(len(first), np.int64)
+    np.add.at(sums, code, times)
+    return first, sums
+
+
 def _phrases(frequent: np.ndarray, longest: int):
     """Rows of the dictionary to (lang, phrase, f) of phrases whose bigrams are all frequent."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, langs = Numbers(), {}
-        held: Counter[tuple[str, bytes]] = Counter()
-
-        def out() -> pa.RecordBatch:
-            lang, phrase = zip(*held) if held else ((), ())
-            batch = pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array([p.decode() for p in phrase], pa.string()),
-                                                pa.array(list(held.values()), pa.int64())], ["lang", "phrase", "f"])
-            held.clear()
-            return batch
+        numbers, langs, size = Numbers(), {}, 0
+        held: dict[int, list[np.ndarray]] = {n: [] for n in range(2, longest + 1)}  # lang, words, times
+
+        def out(n: int) -> pa.RecordBatch:
+            rows = np.concatenate([np.zeros((0, n + 2), np.int64), *held[n]])
+            held[n].clear()
+            first, sums = _summed([rows[:, k] for k in range(n + 1)], rows[:, n + 1])
+            names, rows = list(langs), rows[first]
+            phrase = [b" ".join([numbers.words[w] for w in row]).decode() for row in rows[:, 1:n + 1].tolist()]
+            return pa.RecordBatch.from_arrays([pa.array([names[k] for k in rows[:, 0].tolist()], pa.string()), pa.array(phrase, pa.string()),
+                                               pa.array(sums, pa.int64())], ["lang", "phrase", "f"])
 
         for batch in batches:
             for some in _flat(batch):
                 flat = Flat(some, numbers, langs)
-                names = list(langs)
                 both, pair = flat.bigrams(flat.hashes(numbers, langs))
                 both &= has(frequent, pair)
                 at = np.flatnonzero(both & flat.starts)
-                code = (flat.lang[at] << 40) + flat.word[at]
                 for n in range(2, longest + 1):
-                    # Numbers of what is there so far, with the next word: one number for each different phrase.
-                    code = np.unique((np.unique(code, return_inverse=True)[1] << 32) + flat.word[at + n - 1], return_inverse=True)[1]
-                    first = np.zeros(int(code.max()) + 1 if len(code) else 0, np.int64)
-                    first[code] = at
-                    sums = np.zeros(len(first), np.int64)
-                    np.add.at(sums, code, flat.times[at])
-                    for begin, times in zip(first.tolist(), sums.tolist()):
-                        held[names[flat.lang[begin]], b" ".join([numbers.words[w] for w in flat.word[begin:begin + n].tolist()])] += times
-                    more = both[at + n - 1]
-                    at, code = at[more], code[more]
-                if len(held) > PHRASES:
-                    yield out()
+                    columns = np.column_stack([flat.lang[at], *[flat.word[at + k] for k in range(n)], flat.times[at]])
+                    first, sums = _summed([columns[:, k] for k in range(n + 1)], columns[:, n + 1])
+                    columns = columns[first]
+                    columns[:, n + 1] = sums
+                    held[n].append(columns)
+                    size += columns.size
+                    at = at[both[at + n - 1]]
+                if size > PHRASE_NUMBERS or len(numbers.words) > WORDS:
+                    yield from map(out, held)
+                    size = 0
                 if len(numbers.words) > WORDS:
                     numbers, langs = Numbers(), {}
-        yield out()
+        yield from map(out, held)
 
     return made
 
@@ -324,10 +334,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     words = cut(chunks.mapInArrow(_words, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
                 .where((F.col("f") >= least) | F.col("phrase").isNull()))
     often = bitmap(words.where("phrase is not null").select("lang", "phrase").mapInArrow(_hashed, "hash long"))
-    pairs = bitmap(chunks.mapInArrow(_bigrams(often), "hash long, f long").groupBy("hash").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+    counted = cut(chunks.mapInArrow(_bigrams(often), "hash long, f long").groupBy("hash").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+    pairs = bitmap(counted)
     phrases = cut(chunks.mapInArrow(_phrases(pairs, longest), "lang string, phrase string, f long").groupBy("lang", "phrase")
                   .agg(F.sum("f").alias("f")).where(F.col("f") >= least))
-    remove(chunks)
+    remove(chunks, counted)
     return words.unionByName(phrases)
 
 
