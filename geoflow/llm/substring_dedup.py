@@ -3,25 +3,26 @@
 Every byte is removed that lies in a string of ``length`` bytes which also starts anywhere
 else, in the same document or another.
 
-1. Each window of ``length`` bytes is owned by one of its ``GRAM``-byte grams, the least by
+1. Texts that are equal are one text with a number of copies.
+2. Each window of ``length`` bytes is owned by one of its ``GRAM``-byte grams, the least by
    hash, the leftmost on ties. Equal windows have equal owners at equal places, so they meet
-   under the owner's hash. A gram owns a run of windows; the gram's hash, the text and the
-   run's bounds are one row, about one for every 85 bytes.
-2. Rows whose gram occurs once in the corpus are dropped: their windows occur once.
-3. For the rest the bytes of the run (a piece) are shuffled by the gram's hash. Each task
-   brings its pieces into suffix order by two-stage sorting and computes the prefixes that
-   neighbours share; windows that share ``length`` bytes and occur twice are repeated.
-4. The repeated windows go back to the texts by the piece's digest, and the bytes they
-   cover are taken out.
-
-A gram that many texts have would gather its pieces in one task. The more often it occurs
+   under the owner's hash. A gram owns a run of windows, about one for every 85 bytes; a run is a row: text, gram,
+   place, and the digest of its bytes. Rows whose gram occurs once in the corpus are dropped: their windows occur once.
+3. Runs with the same bytes are one run with a number of copies. Each distinct run's bytes (a piece) are taken
+   from one of its texts and shuffled by the gram's hash. Each task brings its pieces into suffix
+   order by two-stage sorting and computes the prefixes that neighbours share; windows that share
+   ``length`` bytes and occur twice are repeated.
+4. The repeated windows of a run are joined to its places, one row for a run of a text, and the bytes they cover are taken out.
+
+A gram that many distinct runs have would gather its pieces in one task. The more of them it has
 the finer its runs are cut, into parts of 32 windows and then single windows, and each part
-is shuffled by the bytes that all its windows share. Equal pieces are sent once or twice per
-task, whatever the number of copies. That changes where windows meet, not the result.
+is shuffled by the bytes that all its windows share. Equal parts are sent once or twice per
+task. The repeated windows of parts are put together by run before they are joined to places. That changes where
+windows meet, not the result.
 
-Texts are told apart by their digest, so copies are worked on once and ids may be null or
-repeated. Null texts are empty: 0 bytes, nothing removed. Texts shorter than ``length``
-lose nothing. An empty table gives an empty table.
+Ids may be null or repeated. Null texts are empty: 0 bytes, nothing removed. Texts shorter than ``length``
+lose nothing; a text of 2^30 bytes or more fails, as places have 30 bits. An empty table gives an empty table.
+Further columns are not touched.
 """
 
 from __future__ import annotations
@@ -41,12 +42,12 @@ from geoflow.llm.suffix_sort import repeated_windows
 from geoflow.session import cut, remove
 
 LENGTH, GRAM = 200, 32
-#: Occurrences of a gram from which its runs are cut into parts of so many windows.
+#: Distinct runs of a gram from which they are cut into parts of so many windows.
 FINER = ((512, 32), (32_768, 1))
 #: Bytes of pieces that are sorted together; one gram's pieces are never parted.
 SORTED_BYTES = 1 << 18
-#: Digests of pieces a task keeps to send equal ones no more than twice.
-REMEMBERED = 1 << 18
+#: Digests of pieces a task keeps to send equal ones no more than twice, and bytes of text that it works on together.
+REMEMBERED, TOGETHER_BYTES = 1 << 16, 1 << 20
 _PLACE_BITS = np.uint64(30)
 
 
@@ -76,6 +77,8 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """(text, gram hash, place of the gram, first window, number of windows) of every run of windows with one owner."""
     sizes = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
+    if len(data) >= 1 << 30:
+        raise ValueError("a text of 2^30 bytes or more has no places for its grams")
     if len(data) < length:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     h = grams(data)
@@ -93,23 +96,22 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return text[starts], h[owner[starts]].view(np.int64), owner[starts] - base, starts - base, np.flatnonzero(last) - starts + 1
 
 
+RUN = "text long, gram long, place int, first int, windows int, run binary, copies int"
+
+
 def _run_rows(length: int):
+    """Rows (text number, text, copies) to the runs of each text."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
         for batch in batches:
-            for start, some in slices(batch.column(1)):
-                keys, texts = [], []
-                for key, text in zip(batch.column(0).slice(start, len(some)).to_pylist(), some):
-                    if len(seen) > REMEMBERED:
-                        seen.clear()
-                    seen[key] = seen.get(key, 0) + 1
-                    if text and seen[key] <= 2:  # two of a task's copies say that it repeats
-                        keys.append(key), texts.append(text.encode())
-                if texts:
-                    which, gram, place, first, count = runs(texts, length)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys, pa.binary()).take(pa.array(which)), pa.array(gram), pa.array(place, pa.int32()),
-                         pa.array(first, pa.int32()), pa.array(count, pa.int32())], ["text_key", "gram", "place", "first", "windows"])
+            for start, some in slices(batch.column(1), TOGETHER_BYTES):
+                texts = [t.encode() for t in some]
+                which, gram, place, first, count = runs(texts, length)
+                ends = (first + count + length - 1).tolist()
+                digests = [_piece_id(texts[t][a:b]) for t, a, b in zip(which.tolist(), first.tolist(), ends)]
+                number, copies = (batch.column(k).slice(start, len(some)).take(pa.array(which)) for k in (0, 2))
+                yield pa.RecordBatch.from_arrays(
+                    [number, pa.array(gram), pa.array(place, pa.int32()), pa.array(first, pa.int32()), pa.array(count, pa.int32()),
+                     pa.array(digests, pa.binary()), copies], ["text", "gram", "place", "first", "windows", "run", "copies"])
 
     return made
 
@@ -134,52 +136,55 @@ def _piece_id(piece: bytes) -> bytes:
     return hashlib.blake2b(piece, digest_size=16).digest()
 
 
-def _each(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, list[dict], int]]:
-    """(text_key, text, runs, copies) of every row, a slice of texts at a time."""
-    for start, texts in slices(batch.column(1), 1 << 20):
-        n = len(texts)
-        keys, runs_, copies = (batch.column(k).slice(start, n).to_pylist() for k in (0, 2, 3))
-        yield from zip(keys, (t.encode() for t in texts), runs_, copies)
+def _runs_of(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[dict]]]:
+    """(text, runs) of every row, a slice of texts at a time."""
+    for start, texts in slices(batch.column(0), TOGETHER_BYTES):
+        yield from zip((t.encode() for t in texts), batch.column(1).slice(start, len(texts)).to_pylist())
+
+
+_PIECE = pa.schema([("key", pa.int64()), ("piece", pa.binary()), ("copies", pa.int32())])
 
 
 def _piece_rows(length: int):
+    """Rows (text, its runs) to the pieces of these runs, equal ones no more than twice per task."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
+        out: list[tuple] = []
+        held = 0
         for batch in batches:
-            out: list[tuple] = []
-            held = 0
-            for _, data, found, copies in _each(batch):
-                for _, key, piece in pieces(data, found, length):
-                    name = _piece_id(piece)
-                    times = seen.get(name, 0)
-                    if times >= 2:
-                        continue
-                    if len(seen) > REMEMBERED:
-                        seen.clear()
-                    seen[name] = times + (2 if copies > 1 else 1)
-                    out.append((key, piece, min(copies, 2)))
-                    held += len(piece)
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _PIECE)], ["key", "piece", "copies"])
+            for data, found in _runs_of(batch):
+                for run in found:
+                    for _, key, piece in pieces(data, [run], length):
+                        if run["part"]:  # whole runs differ already
+                            name = _piece_id(piece)
+                            times = seen.get(name, 0)
+                            if times >= 2:
+                                continue
+                            if len(seen) > REMEMBERED:
+                                seen.clear()
+                            seen[name] = times + run["copies"]
+                        out.append((key, piece, run["copies"]))
+                        held += len(piece)
+                if held > TOGETHER_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECE)], schema=_PIECE)
                     out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _PIECE)], ["key", "piece", "copies"])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECE)], schema=_PIECE)
 
     return made
 
 
-_PIECE = (pa.int64(), pa.binary(), pa.int32())
-
-
-def _place_rows(length: int):
+def _part_rows(length: int):
+    """The same rows to (run, offset, piece_id) of the parts of runs that are cut."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, firsts, names = [], [], []
-            for key, data, found, _ in _each(batch):
-                for first, _, piece in pieces(data, found, length):
-                    keys.append(key), firsts.append(first), names.append(_piece_id(piece))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(firsts, pa.int32()), pa.array(names, pa.binary())],
-                                             ["text_key", "first", "piece_id"])
+            names, offsets, ids = [], [], []
+            for data, found in _runs_of(batch):
+                for run in found:
+                    for first, _, piece in pieces(data, [run], length):
+                        names.append(run["run"]), offsets.append(first - run["first"]), ids.append(_piece_id(piece))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(offsets, pa.int32()), pa.array(ids, pa.binary())],
+                                             ["run", "offset", "piece_id"])
 
     return made
 
@@ -248,29 +253,48 @@ def _kept_rows(length: int):
     return made
 
 
+def distinct_texts(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
+    """``number, text_key, text, copies`` of the texts that are long enough."""
+    keyed = docs.where(F.octet_length(text) >= length).select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
+    each = keyed.groupBy("text_key").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    return each.select(F.monotonically_increasing_id().alias("number"), "text_key", "text", F.least("n", F.lit(2)).cast("int").alias("copies"))
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
     """One row per distinct text that loses bytes: ``text_key, n_removed, n_spans, kept`` (the bytes left)."""
-    keyed = docs.where(F.octet_length(text) >= length).select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
-    rows = cut(keyed.mapInArrow(_run_rows(length), "text_key binary, gram long, place int, first int, windows int"))
-    often = cut(rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))  # kept apart, so that the join can split hot grams
+    texts = cut(distinct_texts(docs, length, text))
+    every = cut(texts.select("number", "text", "copies").mapInArrow(_run_rows(length), RUN))
+    often = cut(every.groupBy("gram").agg(F.sum("copies").alias("n")).where("n > 1").select("gram"))  # kept apart, so that the join can split hot grams
+    rows = cut(every.join(often, "gram"))
+    remove(every, often)
+
+    of_run = F.min(F.struct("text", "first", "place", "windows", "gram"))
+    distinct = cut(rows.groupBy("run").agg(of_run.alias("_r"), F.least(F.sum("copies"), F.lit(2)).cast("int").alias("copies")).select("run", "_r.*", "copies"))
+    several = distinct.groupBy("gram").agg(F.count("*").alias("_n")).where(F.col("_n") >= FINER[0][0])
     part = F.lit(0)
     for least, windows in FINER:
-        part = F.when(F.col("n") >= least, windows).otherwise(part)
-    found = (rows.join(often, "gram").withColumn("part", part).groupBy("text_key")
-             .agg(F.collect_set(F.struct("gram", "place", "first", "windows", "part")).alias("runs")))
-    copies = keyed.groupBy("text_key").agg(F.count("*").alias("copies"))
-    given = cut(found.join(copies, "text_key"))
-    remove(rows, often)
-    texts = cut(keyed.join(given, "text_key").select("text_key", "text", "runs", "copies"))
-    remove(given)
-
-    parted = texts.mapInArrow(_piece_rows(length), "key long, piece binary, copies int").repartition("key").sortWithinPartitions("key")
-    repeated = cut(parted.mapInArrow(_sorted_rows(length), "piece_id binary, low array<int>, high array<int>"))
-    places = texts.select("text_key", "text", "runs", "copies").mapInArrow(_place_rows(length), "text_key binary, first int, piece_id binary").distinct()
-    moved = places.join(repeated, "piece_id").select(
-        "text_key", F.transform("low", lambda x: x + F.col("first")).alias("low"), F.transform("high", lambda x: x + F.col("first")).alias("high"))
-    marks = moved.groupBy("text_key").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high"))
-    return texts.select("text_key", "text").join(marks, "text_key").mapInArrow(_kept_rows(length), DIGEST)
+        part = F.when(F.col("_n") >= least, windows).otherwise(part)
+    parted = distinct.join(several, "gram", "left").withColumn("part", F.coalesce(part, F.lit(0)))
+    each = F.struct("run", "gram", "place", "first", "windows", "copies", "part")
+    # A text's runs do not overlap in their first windows, so there are fewer than it has bytes.
+    listed = parted.groupBy("text").agg(F.collect_list(each).alias("runs"))
+    given = cut(texts.select(F.col("number").alias("text"), F.col("text").alias("data")).join(listed, "text").select("data", "runs"))
+
+    pieces_ = given.mapInArrow(_piece_rows(length), "key long, piece binary, copies int").repartition("key").sortWithinPartitions("key")
+    repeated = cut(pieces_.mapInArrow(_sorted_rows(length), "piece_id binary, low array<int>, high array<int>"))
+    finer = given.select("data", F.filter("runs", lambda r: r["part"] > 0).alias("runs")).where(F.size("runs") > 0)
+    parts = finer.mapInArrow(_part_rows(length), "run binary, offset int, piece_id binary").join(repeated, "piece_id")
+    moved = parts.select("run", F.transform("low", lambda x: x + F.col("offset")).alias("low"), F.transform("high", lambda x: x + F.col("offset")).alias("high"))
+    of_parts = moved.groupBy("run").agg(F.flatten(F.collect_list("low")).alias("low"), F.flatten(F.collect_list("high")).alias("high"))
+    whole = repeated.withColumnRenamed("piece_id", "run")  # of runs that are not cut; other pieces meet no place
+    marks = cut(whole.unionByName(of_parts).groupBy("run").agg(F.flatten(F.collect_list("low")).alias("low"), F.flatten(F.collect_list("high")).alias("high")))
+    remove(given, repeated, distinct)
+
+    placed = rows.select("run", "text", "first").join(marks, "run").select(
+        "text", F.transform("low", lambda x: x + F.col("first")).alias("low"), F.transform("high", lambda x: x + F.col("first")).alias("high"))
+    gathered = placed.groupBy("text").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high"))
+    return (texts.select(F.col("number"), "text_key", F.col("text").alias("data")).join(gathered, F.col("number") == F.col("text"))
+            .select("text_key", "data", "low", "high").mapInArrow(_kept_rows(length), DIGEST))
 
 
 def removed(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text: str = "text") -> DataFrame:
