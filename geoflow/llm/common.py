@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 from collections.abc import Iterator
@@ -34,6 +35,22 @@ def spaced_words(text: str | None) -> list[str]:
     return SPACED.findall(lowered(text)) if text else []
 
 
+def spaced_bytes(text: str | None) -> list[bytes]:
+    """The same words in UTF-8. White space of ``bytes.split`` is what ``SPACED`` parts words at."""
+    return text.encode().translate(ASCII_LOWER).split() if text else []
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All batches of a task; then its worker, which lives on for the next one, gives its free memory back."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+        if trim:
+            trim(0)
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, list[str | None]]]:
     """Runs of values with about ``most`` bytes each, with the place of the first."""
     start, held = 0, 0
@@ -56,5 +73,13 @@ def hex_sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has (upper or lower case alike)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
