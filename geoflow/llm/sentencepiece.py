@@ -21,7 +21,8 @@ against the library.
 Decoding gives the text back byte for byte, whatever was dropped: a literal space mark is
 written as byte pieces, so that it is not taken for a space.
 
-Null texts give null, empty texts no ids. A null id counts as 0. Equal rows are equal.
+Null texts give null, empty texts no ids. A null id counts as 0. Equal rows are equal. Very long texts are encoded whole,
+and alone. An empty table gives an empty table; further columns are not touched.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,16 +40,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from geoflow.llm.common import hex_sha256, slices
+from geoflow.llm.common import hex_sha256, released, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LOCK_STEP = 48
 #: Distinct units that are stepped at a time, and bytes of text that are encoded together.
-TOGETHER, SLICE = 1 << 13, 6 << 20
+TOGETHER, SLICE = 1 << 12, 1 << 20
 #: Occurrences whose draws are made at a time.
-DRAWN = 1 << 17
+DRAWN = 1 << 15
 _NONE = np.int32(2**31 - 1)
 _M = (1 << 64) - 1
 
@@ -376,12 +379,12 @@ def encode_texts(model: Model, ids: list[int | None], texts: list[str | None], d
     """Ids of all texts in a row (int32), and how many each text has; null counts as empty."""
     numbers: defaultdict[str, int] = defaultdict()
     numbers.default_factory = numbers.__len__
-    places, counts = [], []
+    places, counts = array("q"), []
     for text in texts:
         units = model.units.findall((" " if model.dummy else "") + text) if text else []
         places.extend(map(numbers.__getitem__, units))
         counts.append(len(units))
-    unit, n = np.array(places, np.int64), np.array(counts, np.int64)
+    unit, n = np.frombuffer(places, np.int64) if places else np.zeros(0, np.int64), np.array(counts, np.int64)
     names = list(numbers)
     if drop.rate > 0 and len(unit):
         seeds = np.array([_mixed(((i or 0) & _M) ^ _mixed(drop.seed & _M)) for i in ids], np.uint64)
@@ -431,10 +434,25 @@ def decode(pieces: Column, path: str = MODEL) -> Column:
     return decoded(pieces)
 
 
-ROUND_TRIP = T.StructType([
-    T.StructField("n_pieces", T.LongType()), T.StructField("pieces_sha256", T.StringType()),
-    T.StructField("decoded_sha256", T.StringType()), T.StructField("lossless", T.BooleanType()),
-])
+def encode_documents(docs: DataFrame, drop: Dropout = Dropout(), id_col: str = "doc_id", text: str = "text", path: str = MODEL) -> DataFrame:
+    """``id_col, pieces`` of every row. Pieces are handed on a slice of texts at a time, so that a task holds no more."""
+    schema = T.StructType([docs.schema[id_col], T.StructField("pieces", T.ArrayType(T.IntegerType()))])
+    held = to_arrow_schema(schema)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_of(path)
+        for batch in batches:
+            for start, some in slices(batch.column(2), SLICE):
+                values, sizes = encode_texts(model, batch.column(1).slice(start, len(some)).to_pylist(), some, drop)
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                pieces = pa.ListArray.from_arrays(ends, pa.array(values, pa.int32()), mask=pa.array([t is None for t in some]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(some)).cast(held[0].type), pieces.cast(held[1].type)], schema=held)
+
+    given = docs.select(F.col(id_col), F.col(id_col).cast("long").alias("_key"), F.col(text).alias("_text"))
+    return given.mapInArrow(lambda batches: released(encoded(batches)), schema)
+
+
+ROUND_TRIP = "n_pieces long, pieces_sha256 string, decoded_sha256 string, lossless boolean"
 
 
 def round_trip(docs: DataFrame, drop: Dropout = Dropout(), id_col: str = "doc_id", text: str = "text", path: str = MODEL) -> DataFrame:
@@ -442,20 +460,23 @@ def round_trip(docs: DataFrame, drop: Dropout = Dropout(), id_col: str = "doc_id
 
     A null text has null digests and is lossless, since null is what it decodes to.
     """
-    schema = pa.struct([("n_pieces", pa.int64()), ("pieces_sha256", pa.string()), ("decoded_sha256", pa.string()), ("lossless", pa.bool_())])
+    schema = T.StructType([docs.schema[id_col], *T.StructType.fromDDL(ROUND_TRIP)])
+    held = to_arrow_schema(schema)
 
-    @F.arrow_udf(ROUND_TRIP)
-    def both(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        model, rows = model_of(path), []
-        for start, some in slices(texts, SLICE):
-            values, sizes = encode_texts(model, ids.slice(start, len(some)).to_pylist(), some, drop)
-            for given, pieces in zip(some, np.split(values, np.cumsum(sizes)[:-1])):
-                if given is None:
-                    rows.append({"n_pieces": None, "pieces_sha256": None, "decoded_sha256": None, "lossless": True})
-                    continue
-                back = model.decode(pieces.tolist())
-                rows.append({"n_pieces": len(pieces), "pieces_sha256": hex_sha256(pieces.astype("<i4").tobytes()),
-                             "decoded_sha256": hex_sha256(back.encode()), "lossless": back == given})
-        return pa.array(rows, schema)
-
-    return docs.select(F.col(id_col), both(F.col(id_col).cast("long"), F.col(text)).alias("_r")).select(id_col, "_r.*")
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_of(path)
+        for batch in batches:
+            for start, some in slices(batch.column(2), SLICE):
+                values, sizes = encode_texts(model, batch.column(1).slice(start, len(some)).to_pylist(), some, drop)
+                rows: list[tuple] = []
+                for given, pieces in zip(some, np.split(values, np.cumsum(sizes)[:-1])):
+                    if given is None:
+                        rows.append((None, None, None, True))
+                        continue
+                    back = model.decode(pieces.tolist())
+                    rows.append((len(pieces), hex_sha256(pieces.astype("<i4").tobytes()), hex_sha256(back.encode()), back == given))
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(held)[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(some)).cast(held[0].type), *columns], schema=held)
+
+    given = docs.select(F.col(id_col), F.col(id_col).cast("long").alias("_key"), F.col(text).alias("_text"))
+    return given.mapInArrow(lambda batches: released(both(batches)), schema)
