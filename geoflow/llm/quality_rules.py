@@ -4,12 +4,15 @@ For every language two histograms are summed over the whole corpus: characters b
 and the language's ``common`` most frequent words with one bin for all others. A document
 is measured against both by the Jensen-Shannon distance (base 2, from 0 to 1).
 
+* The language of a document is the primary part of its tag in lower case (``en`` for ``EN`` and ``en-US``).
+  A document with a null tag, or one that does not begin with two or three letters, is measured
+  against all references, and the nearest one counts.
 * A document below a rule's least number of words is not judged by that rule, since short
   texts lie far from any reference by chance. The same holds for a language with fewer
-  words than ``least_reference``, and for a null ``lang`` or one that is not a code of two
-  or three letters.
+  words than ``least_reference``.
 * Null and empty texts have no words: all counts are 0 and the base rule rejects them.
 * Equal rows are measured each on its own; ties among common words go to the smaller word.
+* Very long texts are measured whole. An empty table gives an empty table. Further columns are not touched, whatever their names.
 * References hold 2 or 3 letter codes only, hence at most 18,252 rows of bounded size,
   which is what makes it right to send them to every task.
 """
@@ -17,8 +20,7 @@ is measured against both by the Jensen-Shannon distance (base 2, from 0 to 1).
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,13 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from geoflow.llm.common import ASCII_LOWER, SPACED, slices
+from geoflow.llm.common import ASCII_LOWER, free_name, slices
 from geoflow.session import cut
 
 SYMBOLS = "#*$%&|<>"
 #: Character classes in the order of their histogram.
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "other_ascii", "beyond_ascii")
-LANGUAGE = r"^[a-z]{2,3}$"
+#: The primary part of a language tag.
+LANGUAGE = r"^([A-Za-z]{2,3})(?:[-_].*)?$"
 
 #: Words a task counts before it hands its counts on.
 HELD_WORDS = 200_000
@@ -71,7 +74,12 @@ def _class_of(byte: int) -> int:
 
 
 _CLASS = np.array([_class_of(b) for b in range(256)], dtype=np.uint8)
-_SYMBOL = re.compile("[" + re.escape(SYMBOLS) + "]")
+
+
+def language(tag: Column) -> Column:
+    """The language that a tag names, or null."""
+    found = F.lower(F.regexp_extract(tag, LANGUAGE, 1))
+    return F.when(found != "", found)
 
 
 def char_histogram(data: bytes) -> np.ndarray:
@@ -88,11 +96,11 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chars: dict[str, np.ndarray] = {}
-    words: dict[str, Counter] = {}
+    words: dict[str, Counter[bytes]] = {}
 
     def out() -> pa.RecordBatch:
         rows = [(lang, f"class {k}", int(n), True) for lang, h in chars.items() for k, n in enumerate(h)]
-        rows += [(lang, word, n, False) for lang, c in words.items() for word, n in c.items()]
+        rows += [(lang, word.decode(), n, False) for lang, c in words.items() for word, n in c.items()]
         chars.clear(), words.clear()
         lang, key, n, is_class = zip(*rows) if rows else ((), (), (), ())
         return pa.RecordBatch.from_arrays(
@@ -105,7 +113,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lang, text in zip(langs.slice(start, len(texts)).to_pylist(), texts):
                 data = text.encode()
                 chars[lang] = chars.get(lang, 0) + char_histogram(data)
-                words.setdefault(lang, Counter()).update(SPACED.findall(data.translate(ASCII_LOWER).decode()))
+                words.setdefault(lang, Counter()).update(data.translate(ASCII_LOWER).split())
             if sum(map(len, words.values())) > HELD_WORDS:
                 yield out()
     yield out()
@@ -113,7 +121,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def references(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per language: ``lang, classes, words, word_counts, n_words`` over all documents."""
-    given = docs.where(F.col(text).isNotNull() & F.col(lang).rlike(LANGUAGE)).select(lang, text)
+    given = docs.select(language(F.col(lang)).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     counts = cut(given.mapInArrow(_counted, "lang string, key string, n long, is_class boolean")
                  .groupBy("lang", "is_class", "key").agg(F.sum("n").alias("n")))  # read three times below
     by_lang = Window.partitionBy("lang", "is_class").orderBy(F.desc("n"), "key")
@@ -135,50 +143,61 @@ VERDICT = T.StructType([
 ])
 
 
-def repeated(words: list[str]) -> int:
+def repeated(words: list) -> int:
     """Words inside three-word windows that the text has at least twice."""
-    windows = list(zip(words, words[1:], words[2:]))
-    counts = Counter(windows)
-    if len(counts) == len(windows):
+    if len(words) < 4:
         return 0
-    marks = bytearray(len(words))
-    for at, window in enumerate(windows):
-        if counts[window] > 1:
-            marks[at:at + 3] = b"\1\1\1"
-    return sum(marks)
-
-
-def measure(text: str | None, reference: tuple | None, limits: Limits) -> tuple:
-    """The fields of ``VERDICT`` for one text. ``reference``: class shares, places of the common words, their shares."""
-    text = text or ""
-    words = SPACED.findall(text)
-    lines = [x for x in text.split("\n") if SPACED.search(x)]
+    numbers: defaultdict = defaultdict()
+    numbers.default_factory = numbers.__len__
+    own = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+    pair = np.unique(own[:-1] * len(numbers) + own[1:], return_inverse=True)[1]
+    window, n = np.unique(pair[:-1] * len(numbers) + own[2:], return_inverse=True, return_counts=True)[1:]
+    again = n[window] > 1
+    marks = np.zeros(len(words), bool)
+    for k in range(3):
+        marks[k:len(again) + k] |= again
+    return int(marks.sum())
+
+
+def measure(text: str | None, references_: list[tuple], limits: Limits) -> tuple:
+    """The fields of ``VERDICT`` for one text. A reference: class shares, places of the common words, their shares.
+
+    Of several references the nearest one counts, for each rule by itself. White space of ``bytes.split`` and
+    ``bytes.strip`` is what parts words.
+    """
+    data = (text or "").encode()
+    words = data.split()
+    lines = [x for x in data.split(b"\n") if x.strip()]
+    histogram = char_histogram(data)
     n, n_repeat = len(words), repeated(words)
     base_failed = n < 50 or 100 * n_repeat > 50 * n
     char_distance = word_distance = None
-    if reference is not None:
-        class_shares, places, word_shares = reference
-        data = text.encode()
-        if n >= limits.char_words:
-            histogram = char_histogram(data)
-            char_distance = distance(histogram / histogram.sum(), class_shares)
-        if n >= limits.word_words:
-            own = np.zeros(len(word_shares))
-            for word, count in Counter(SPACED.findall(data.translate(ASCII_LOWER).decode())).items():
-                own[places.get(word, -1)] += count
-            word_distance = distance(own / n, word_shares)
+    if references_ and n >= limits.char_words:
+        char_distance = min(distance(histogram / histogram.sum(), class_shares) for class_shares, _, _ in references_)
+    if references_ and n >= limits.word_words:
+        counts = Counter(data.translate(ASCII_LOWER).split())
+        word_distance = min(distance(_common(counts, places, len(shares)) / n, shares) for _, places, shares in references_)
     far = (char_distance or 0) > limits.char_distance or (word_distance or 0) > limits.word_distance
-    return (n, sum(map(len, words)), len(_SYMBOL.findall(text)), len(lines) - len(set(lines)), n_repeat, base_failed,
+    return (n, int(histogram.sum() - histogram[3]), int(histogram[4]), len(lines) - len(set(lines)), n_repeat, base_failed,
             char_distance, word_distance, not base_failed and not far)
 
 
+def _common(counts: Counter, places: dict[bytes, int], bins: int) -> np.ndarray:
+    """Counts of the common words, and of all others in the last bin."""
+    own = np.zeros(bins)
+    for word, place in places.items():
+        own[place] = counts.get(word, 0)
+    own[-1] = counts.total() - own[:-1].sum()
+    return own
+
+
 def prepared(rows: list) -> dict[str, tuple]:
     """References in the form that ``measure`` takes; the last bin is that of all other words."""
     out = {}
     for r in rows:
         classes, counts = np.array(r["classes"], float), np.array(r["word_counts"], float)
         shares = np.append(counts, r["n_words"] - counts.sum()) / r["n_words"]
-        out[r["lang"]] = (classes / classes.sum(), {w: k for k, w in enumerate(r["words"])}, shares)
+        out[r["lang"]] = (classes / classes.sum(), {w.encode(): k for k, w in enumerate(r["words"])}, shares)
     return out
 
 
@@ -188,16 +207,17 @@ def verdict(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang
     Building it runs the job that sums the references.
     """
     known = prepared(references(docs, limits, text, lang).collect())
+    every = list(known.values())
     schema = pa.struct(list(to_arrow_schema(VERDICT)))
 
     @F.arrow_udf(VERDICT)
     def judged(texts: pa.Array, langs: pa.Array) -> pa.Array:
         rows = []
         for start, some in slices(texts):
-            rows += [measure(t, known.get(lg), limits) for t, lg in zip(some, langs.slice(start, len(some)).to_pylist())]
+            rows += [measure(t, every if lg is None else [known[lg]] if lg in known else [], limits) for t, lg in zip(some, langs.slice(start, len(some)).to_pylist())]
         return pa.array([dict(zip(VERDICT.names, r)) for r in rows], schema)
 
-    return judged(F.col(text), F.col(lang))
+    return judged(F.col(text), language(F.col(lang)))
 
 
 def judge(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -208,7 +228,5 @@ def judge(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", te
 def keep_good(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows that pass, with their columns as they were."""
     names = docs.columns
-    mark = "_kept"
-    while mark in names:
-        mark += "_"
+    mark = free_name(docs, "_kept")
     return docs.withColumn(mark, verdict(docs, limits, text, lang)["kept"]).where(F.col(mark)).select(*[F.col(f"`{n}`") for n in names])

@@ -138,7 +138,8 @@ from doc left join kept using (r)
 
 OP10_SQL = r"""
 with word as materialized (
-  select doc_id, coalesce(text, '') t, lang, text is not null and regexp_matches(coalesce(lang, ''), '^[a-z]{2,3}$') known,
+  select doc_id, coalesce(text, '') t, lower(regexp_extract(coalesce(lang, ''), '^([A-Za-z]{2,3})([-_].*)?$', 1)) lang,
+         text is not null and regexp_matches(coalesce(lang, ''), '^([A-Za-z]{2,3})([-_].*)?$') known,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') low
   from documents),
@@ -162,16 +163,22 @@ common as materialized (
 word_ref as (
   select lang, x, c.n / t.n q from common c join total t using (lang)
   union all select lang, '', 1 - sum(c.n) / any_value(t.n) from common c join total t using (lang) group by lang),
+ref as materialized (  -- an unknown language is measured against all
+  select doc_id, total.lang ref from word join total on total.lang = word.lang or word.lang = ''),
 class_far as (
-  select doc_id, sqrt(greatest(sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) / 2, 0)) d
-  from (select doc_id, lang, k, n / sum(n) over (partition by doc_id) p from class where lang in (select lang from total)) join class_ref using (lang, k) group by doc_id),
+  select doc_id, min(d) d from (
+    select doc_id, ref, sqrt(greatest(sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) / 2, 0)) d
+    from (select doc_id, k, n / sum(n) over (partition by doc_id) p from class) x join ref using (doc_id) join class_ref r on r.lang = ref and r.k = x.k
+    group by doc_id, ref) group by doc_id),
 own as (
-  select doc_id, lang, case when c.x is null then '' else x end x, sum(t.n) n from token t left join common c using (lang, x)
-  where lang in (select lang from total) group by all),
-each as (select doc_id, lang, x, q from (select distinct doc_id, lang from own) join word_ref using (lang)),
+  select doc_id, ref, case when c.x is null then '' else t.x end x, sum(t.n) n
+  from token t join ref using (doc_id) left join common c on c.lang = ref and c.x = t.x group by all),
+each as (select doc_id, ref, x, q from (select distinct doc_id, ref from own) join word_ref on word_ref.lang = ref),
 word_far as (
-  select doc_id, sqrt(greatest(sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) / 2, 0)) d
-  from (select doc_id, q, coalesce(n, 0) / sum(coalesce(n, 0)) over (partition by doc_id) p from each left join own using (doc_id, lang, x)) group by doc_id),
+  select doc_id, min(d) d from (
+    select doc_id, ref, sqrt(greatest(sum(case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) / 2, 0)) d
+    from (select doc_id, ref, q, coalesce(n, 0) / sum(coalesce(n, 0)) over (partition by doc_id, ref) p from each left join own using (doc_id, ref, x))
+    group by doc_id, ref) group by doc_id),
 base as (
   select doc_id, len(w)::bigint n_words, coalesce(len(array_to_string(w, '')), 0)::bigint word_chars,
          len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols, coalesce(line.n, 0)::bigint n_dup_lines, coalesce(rep.n, 0)::bigint n_repeat_words
