@@ -7,13 +7,14 @@ candidate are slid over by a window; counts and the sum of ``c * log2(c)`` are k
 date as one character enters and one leaves, so a step costs the same at any width. A run
 is a secret when a window reaches the class's bits per character, and its span is the run.
 
-Suppressed by the allow list: runs without both a letter and a digit (words, numbers),
-runs of the alphabet or digits in order, placeholders of few characters (the entropy limit
-itself), and anything that matches ``ALLOWED`` (UUIDs, dates, versions, file paths of
-words).
+Suppressed by the allow list: UUIDs; words, numbers, dates and versions at either end of a candidate (parts between
+``/ _ = + -`` that are digits, or letters as words have them with up to four digits), where what remains is
+scanned; runs of words, digits, or the alphabet or digits in order; placeholders of few characters (the entropy limit
+itself). Letters without a digit are words if they are of one case or of capitals before two or more small letters.
 
 Null and empty texts have no spans. Very long texts are scanned whole. Equal rows give
-equal spans. Two spans that start at one place are ordered by kind as listed in ``KINDS``.
+equal spans. Two spans that start at one place are ordered by kind as listed in ``KINDS``. An empty table gives an
+empty table; further columns are not touched by ``mask_documents``.
 """
 
 from __future__ import annotations
@@ -45,13 +46,14 @@ CLASS_LIMITS = (
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.9),
 )
 
-ALLOWED = tuple(re.compile(x) for x in (
-    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r"[0-9]{4}[-/_][0-9]{2}[-/_][0-9]{2}.*",
-    r"v?[0-9]+(?:[-_][0-9a-z]+)*",
-    r"(?:[A-Za-z]+[0-9]{0,4}[/_=+-]+)+[A-Za-z]*[0-9]{0,4}",
-))
-_IN_ORDER = ("abcdefghijklmnopqrstuvwxyz" * 2, "01234567890123456789")
+UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
+#: Letters as words have them, and parts of a candidate that are words, numbers or both.
+WORDS = r"(?:[a-z]+|[A-Z]+|(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z]))+)"
+WORD = re.compile(rf"[0-9]+|{WORDS}[0-9]{{0,4}}")
+_PART = re.compile(r"[A-Za-z0-9]+")
+#: Parts of one or two characters that are numbers or versions; others belong to what they stand at.
+_SHORT = re.compile(r"[vV]?[0-9]+")
+_IN_ORDER = ("abcdefghijklmnopqrstuvwxyz0123456789" * 3, "abcdefghijklmnopqrstuvwxyz" * 4, "0123456789abcdef" * 8)
 
 
 @dataclass(frozen=True)
@@ -80,14 +82,21 @@ def greatest_entropy(run: str, window: int) -> float:
     return math.log2(window) - least / window
 
 
+def core(candidate: str) -> tuple[int, int]:
+    """Where the part of a candidate begins and ends that the allow list does not cover."""
+    if UUID.fullmatch(candidate):
+        return 0, 0
+    parts = [(m.start(), m.end(), WORD.fullmatch(m[0]) is not None and (len(m[0]) > 2 or _SHORT.fullmatch(m[0]) is not None)) for m in _PART.finditer(candidate)]
+    odd = [(start, end) for start, end, is_word in parts if not is_word]
+    return (odd[0][0], odd[-1][1]) if odd else (0, 0)
+
+
 def allowed(run: str) -> bool:
     """Whether the allow list suppresses a run."""
-    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
+    if WORD.fullmatch(run) or UUID.fullmatch(run):
         return True
     low = run.lower()
-    if any(low[:8] in row and low[-8:] in row for row in _IN_ORDER):
-        return True
-    return any(x.fullmatch(run) for x in ALLOWED)
+    return any(low in row for row in _IN_ORDER)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -106,12 +115,14 @@ def entropy_spans(text: str, given: Entropy = Entropy()) -> list[tuple[int, int,
     """Spans of high entropy; those of several classes that overlap are joined."""
     found = []
     for candidate in _CANDIDATE.finditer(text):
-        if allowed(candidate[0]):
+        begin, end = core(candidate[0])
+        if end - begin < given.window:
             continue
+        base, rest = candidate.start() + begin, candidate[0][begin:end]
         for _, pattern, limit in given.limits:
-            for run in pattern.finditer(candidate[0]):
+            for run in pattern.finditer(rest):
                 if len(run[0]) >= given.window and not allowed(run[0]) and greatest_entropy(run[0], given.window) >= limit:
-                    found.append((candidate.start() + run.start(), candidate.start() + run.end()))
+                    found.append((base + run.start(), base + run.end()))
     joined: list[list[int]] = []
     for start, end in sorted(found):
         if joined and start < joined[-1][1]:
