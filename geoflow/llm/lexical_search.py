@@ -43,7 +43,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from geoflow.llm.common import slices
 from geoflow.llm.dense import EXACT
-from geoflow.session import cut, local_frame, remove
+from geoflow.session import cut, local_frame, owned, remove
 
 K = 10
 #: Items and bytes of item text of a block.
@@ -202,6 +202,7 @@ def _ranked(docs: DataFrame, block: Block, k: int, id_col: str, text: str) -> Da
     return out
 
 
+@owned
 def rank(docs: DataFrame, items: DataFrame, k: int = K, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id",
          item_text: str = "text") -> DataFrame:
     """``item_id, rank, id_col, score``: the ``k`` best documents of each item, those with a score above 0."""

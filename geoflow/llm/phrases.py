@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoflow.llm.common import slices
-from geoflow.session import cut, remove
+from geoflow.session import cut, owned, remove
 
 LEAST, LONGEST_PHRASE, PERCENT, SHOWN = 100, 5, 100, 2000
 OVERLAP, MODULUS, SHORTEST, LONGEST = LONGEST_PHRASE - 1, 64, 16, 512
@@ -346,6 +346,7 @@ def _part(words: Column | str, start: Column | int, length: Column) -> Column:
     return F.array_join(F.slice(words, start, length), " ")
 
 
+@owned
 def collocations(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, shown: int = SHOWN, longest: int = LONGEST_PHRASE,
                  lang: str = "lang", text: str = "text") -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``shown`` best phrases of each language."""

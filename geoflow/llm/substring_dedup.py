@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from geoflow.llm.common import slices, text_key
 from geoflow.llm.suffix_sort import repeated_windows
-from geoflow.session import cut, remove
+from geoflow.session import cut, owned, remove
 
 LENGTH, GRAM = 200, 32
 #: Distinct runs of a gram from which they are cut into parts of so many windows.
@@ -297,8 +297,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFr
             .select("text_key", "data", "low", "high").mapInArrow(_kept_rows(length), DIGEST))
 
 
+@owned
 def removed(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``id_col, n_bytes, n_removed, n_spans, kept_sha256``."""
+    """One row per document: ``id_col, n_bytes, n_removed, n_spans, kept_sha256``. A kept table."""
     found = cut(repeats(docs, length, text).select("text_key", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).dropDuplicates(["text_key"]))
     value = F.coalesce(F.col(text), F.lit(""))
     own = docs.select(F.col(id_col), text_key(F.col(text)).alias("text_key"), F.octet_length(value).cast("long").alias("n_bytes"),

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoflow.llm.dense import exact_product, largest
-from geoflow.session import cut, local_frame, remove
+from geoflow.session import cut, local_frame, owned, remove
 
 #: Vectors of a tile, queries of a round, and queries that a task scores together.
 TILE, ROUND, TOGETHER = 4096, 4096, 256
@@ -222,6 +222,7 @@ def _round(tiles: DataFrame, members: DataFrame, asked: np.ndarray, bounds: list
     return out
 
 
+@owned
 def top(vectors: DataFrame, asks: Column, given: Search = Search(), id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, id_col, score`` of the rows of ``vectors`` for which ``asks`` holds, against all others."""
     spark, place = vectors.sparkSession, given.k + 1
