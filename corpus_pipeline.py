@@ -1,4 +1,10 @@
-"""From raw documents to token ids, in stages that are each written and read again."""
+"""From raw documents to token ids, in stages that are each written and read again.
+
+Every stage takes all rows that its predecessor kept. Null and empty texts go with the quality rules, which ask for
+fifty words; what a stage says of nulls, ties, repeated rows and long texts is in its module. Rows that repeat a
+``doc_id`` count as one document among near copies. Further columns come through all stages but the last, whatever their
+names. An empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +13,9 @@ from pyspark.sql import functions as F
 
 from geoflow.llm import decontaminate, ngram_join, quality_rules, secrets, sentencepiece
 from geoflow.llm.common import table
-from geoflow.session import cut
+from geoflow.session import cut, owned, remove
 
-#: SQL cannot express the last stage; the stages are tested against brute force.
+#: SQL cannot express the last stage; ``run`` is tested against a plain form of all stages.
 ORACLE_SQL = None
 
 
@@ -35,7 +41,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, piece ids and their number."""
-    out = docs.select("doc_id", sentencepiece.encode(F.col("doc_id"), F.col("text")).alias("pieces"))
+    out = sentencepiece.encode_documents(docs)
     return out.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"))
 
 
@@ -49,7 +55,18 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    """The last stage's rows as a kept table; what the stages kept before it is deleted."""
+    return _run(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
+@owned
+def _run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    before = None
+    for number, (_, stage) in enumerate(STAGES):
+        if number == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
         docs = cut(stage(spark, docs, sf_dir))
+        if before is not None:
+            remove(before)
+        before = docs
     return docs
