@@ -51,19 +51,18 @@ def density(people: DataFrame, regions: DataFrame, periods: Periods, mode: str =
     Rows are counted by region position before anything is joined: what is shuffled
     are counts per cell, and the label is looked up for those. Both later aggregates
     use one more exchange by period and cell. In ``living`` mode people are counted
-    per cell and span of periods first, so that counts are spread over the periods
-    and not people.
+    per cell and span of periods, a span is two changes of a count, and a cell's changes are summed
+    up period by period in its own row.
     """
     if cell is None:
         cell = cell_id(F.col("birth_lat").cast("double"), F.col("birth_lon").cast("double"), res)
     if mode == "living":
-        counted = _spread_counts(people, periods, cell)
-    else:
-        counted = label_counts(
-            living(people, periods, mode).select("period_idx", cell.alias("_cell"), "birth_region_idx"),
-            ["period_idx", "_cell"],
-            "birth_region_idx",
-        )
+        return _named_cells(_summed_changes(people, regions, periods, cell), periods)
+    counted = label_counts(
+        living(people, periods, mode).select("period_idx", cell.alias("_cell"), "birth_region_idx"),
+        ["period_idx", "_cell"],
+        "birth_region_idx",
+    )
     named = counted.join(
         regions.select(F.col("region_idx").alias("birth_region_idx"), "continent"), "birth_region_idx"
     )
@@ -73,6 +72,10 @@ def density(people: DataFrame, regions: DataFrame, periods: Periods, mode: str =
         .agg(F.sum("n").alias("n"))
     )
     out = totals_with_dominant(by_label, ["period_idx", "_cell"], "continent", "pop", "dominant_continent")
+    return _named_cells(out, periods)
+
+
+def _named_cells(out: DataFrame, periods: Periods) -> DataFrame:
     name = cell_name(F.col("_cell")) if dict(out.dtypes)["_cell"] == "bigint" else F.col("_cell")
     return out.select(
         "period_idx",
@@ -83,15 +86,39 @@ def density(people: DataFrame, regions: DataFrame, periods: Periods, mode: str =
     )
 
 
-def _spread_counts(people: DataFrame, periods: Periods, cell: Column) -> DataFrame:
+def changes(people: DataFrame, regions: DataFrame, periods: Periods, cell: Column) -> DataFrame:
+    """``_cell, continent, at, d``: how the number of living people changes, two rows for every span of a cell and label at most."""
     span = periods.covered(F.col("birth_year"), F.col("death_year"), "overlap")
     spans = people.select(cell.alias("_cell"), "birth_region_idx", span.alias("_span")).where(F.size("_span") > 0)
-    grouped = spans.groupBy("_cell", "birth_region_idx", F.col("_span")[0].alias("_from"), F.size("_span").alias("_many"))
-    counted = grouped.agg(F.count("*").alias("n"))
-    each = F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("_many") - 1))
-    return counted.withColumn("period_idx", each).groupBy("period_idx", "_cell", "birth_region_idx").agg(
-        F.sum("n").alias("n")
+    first, end = F.col("_span")[0], F.element_at("_span", -1) + 1
+    counted = spans.groupBy("_cell", "birth_region_idx", first.alias("_first"), end.alias("_end")).agg(F.count("*").alias("n"))
+    named = counted.join(regions.select(F.col("region_idx").alias("birth_region_idx"), "continent"), "birth_region_idx")
+    both = F.array(F.struct(F.col("_first").alias("at"), F.col("n").alias("d")), F.struct(F.col("_end").alias("at"), (-F.col("n")).alias("d")))
+    return named.select("_cell", "continent", F.explode(both).alias("_x")).select("_cell", "continent", "_x.at", "_x.d")
+
+
+def _summed_changes(people: DataFrame, regions: DataFrame, periods: Periods, cell: Column) -> DataFrame:
+    """``period_idx, _cell, pop, dominant_continent`` from changes.
+
+    A cell has at most one change for each label and period, so that its row is bounded by the labels and 64 periods.
+    """
+    by_label = (
+        changes(people, regions, periods, cell)
+        .repartition("_cell")
+        .groupBy("_cell", "continent", "at").agg(F.sum("d").alias("d"))
+        .groupBy("_cell", "continent").agg(F.collect_list(F.struct("at", "d")).alias("steps"))
+        .groupBy("_cell").agg(F.collect_list(F.struct("continent", "steps")).alias("labels"))
     )
+    each = by_label.withColumn("period_idx", F.explode(periods.indexes()))
+
+    def so_far(steps: Column) -> Column:
+        counts = lambda n, x: n + F.when(x["at"] <= F.col("period_idx"), x["d"]).otherwise(F.lit(0).cast("long"))
+        return F.aggregate(steps, F.lit(0).cast("long"), counts)
+
+    counted = F.transform("labels", lambda x: F.struct((-so_far(x["steps"])).alias("less"), x["continent"].alias("continent")))
+    alive = each.withColumn("_alive", F.filter(counted, lambda x: x["less"] < 0)).where(F.size("_alive") > 0)
+    total = -F.aggregate("_alive", F.lit(0).cast("long"), lambda n, x: n + x["less"])
+    return alive.select("period_idx", "_cell", total.alias("pop"), F.array_min("_alive")["continent"].alias("dominant_continent"))
 
 
 def by_magnitude(df: DataFrame, value: str, ties: list[str], period: str = "period_idx") -> DataFrame:

@@ -110,15 +110,22 @@ def label_cause(moves: DataFrame, event: DataFrame, pulls: DataFrame,
 # --- aggregates -----------------------------------------------------------------
 
 def active_counts(event: DataFrame, periods: Periods, match: str = "start_year") -> DataFrame:
-    """Active events and flow intensity of every period, quiet ones included."""
-    counted = events_in_period(event, periods, match).groupBy("period_idx").agg(F.count("*").alias("n"))
+    """Active events and flow intensity of every period, quiet ones included.
+
+    An event is two changes of the number of active ones, whatever its length; they are summed up over the
+    periods, of which there are 64 at most.
+    """
+    covered = event.select(periods.covered(F.col("start_year"), F.col("end_year"), match).alias("_c")).where(F.size("_c") > 0)
+    both = F.array(F.struct(F.col("_c")[0].alias("period_idx"), F.lit(1).alias("d")),
+                   F.struct((F.element_at("_c", -1) + 1).alias("period_idx"), F.lit(-1).alias("d")))
+    changed = covered.select(F.explode(both).alias("_x")).groupBy("_x.period_idx").agg(F.sum("_x.d").alias("d"))
     all_periods = periods.frame(event.sparkSession)
-    n = F.coalesce("n", F.lit(0).cast("long"))
-    return all_periods.join(counted, "period_idx", "left").select(
+    n = F.sum(F.coalesce("d", F.lit(0).cast("long"))).over(Window.orderBy("period_idx"))
+    return all_periods.join(changed, "period_idx", "left").withColumn("n", n).select(
         "period_idx",
         "period_year",
-        n.alias("active_events"),
-        (F.lit(BASE_INTENSITY) + F.lit(EVENT_INTENSITY) * n).alias("intensity"),
+        F.col("n").alias("active_events"),
+        (F.lit(BASE_INTENSITY) + F.lit(EVENT_INTENSITY) * F.col("n")).alias("intensity"),
     )
 
 

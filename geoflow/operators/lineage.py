@@ -174,15 +174,42 @@ def lineages(people: DataFrame, regions: DataFrame, n: int = 50, max_nodes: int
     )
 
 
-def orphans(child: DataFrame, parent_table: DataFrame, parent: str, key: str = "id") -> DataFrame:
+#: Ids of a bitmap, and rows for each from which bitmaps are smaller than ids.
+BITMAP_IDS, DENSE_ROWS = 1 << 15, 512
+
+
+def _bitmaps(ids: DataFrame) -> DataFrame:
+    """``bucket, bits``: which ids there are, a bit each."""
+    return ids.where("id is not null").groupBy(F.expr("bitmap_bucket_number(id)").alias("bucket")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(id))").alias("bits"))
+
+
+def orphans(child: DataFrame, parent_table: DataFrame, parent: str, key: str = "id", dense: bool | None = None) -> DataFrame:
     """Parent ids that no row has, with the number of children naming them.
 
+    Packed ids of one period and region are numbered without gaps, so that ``BITMAP_IDS`` of them are one bitmap. Both
+    sides are brought to bitmaps before anything is shuffled, and a bucket whose bits are all there has no orphan; only the
+    ids of the other buckets are counted and joined. Where ids are ``dense`` is measured unless it is said: with
+    fewer than ``DENSE_ROWS`` rows for a bucket all buckets are taken. The rows are the same.
+
     Children are counted per parent first, so a parent with very many children is
     one row when the shuffle starts.
     """
-    named = child.where(F.col(parent).isNotNull() & (F.col(parent) != NO_PARENT))
-    counted = named.groupBy(F.col(parent).alias(key)).agg(F.count("*").alias("children"))
-    return counted.join(parent_table.select(key), key, "left_anti")
+    named = child.where(F.col(parent).isNotNull() & (F.col(parent) != NO_PARENT)).select(F.col(parent).alias("id"))
+    there = parent_table.select(F.col(key).alias("id"))
+    if dense is None:
+        rows, buckets = there.agg(F.count("*"), F.approx_count_distinct(F.shiftright("id", 15))).first()
+        dense = rows >= DENSE_ROWS * max(1, buckets)
+    if dense:
+        bucket = F.expr("bitmap_bucket_number(id)")
+        known = _bitmaps(there).select("bucket", "bits", F.expr("bitmap_count(bits)").alias("n"))
+        asked = _bitmaps(named).select("bucket", "bits", F.lit(0).cast("long").alias("n"))
+        open_ = cut(known.unionByName(asked).groupBy("bucket").agg(F.expr("bitmap_count(bitmap_or_agg(bits))").alias("_all"), F.max("n").alias("_known"))
+                    .where("_all > _known").select(F.col("bucket").alias("_bucket")))
+        named = named.join(open_, bucket == F.col("_bucket"), "left_semi")
+        there = there.join(open_, bucket == F.col("_bucket"), "left_semi")
+    counted = named.groupBy("id").agg(F.count("*").alias("children"))
+    return counted.join(there, "id", "left_anti").withColumnRenamed("id", key)
 
 
 def lineage_spans(df: DataFrame, min_nodes: int = 2) -> DataFrame:

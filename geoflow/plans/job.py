@@ -6,6 +6,8 @@
 from __future__ import annotations
 
 import argparse
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,43 +67,51 @@ def plans(given: Inputs, people: int, moves: int, exact: bool = False) -> Plans:
     ))
 
 
-def generate(given: Inputs, out: str, scale: Scale, seed: int = synth.DEFAULT_SEED) -> None:
+def generate(given: Inputs, out: str, scale: Scale, seed: int = synth.DEFAULT_SEED) -> dict[str, dict]:
+    """Write people and moves; returns the rows and periods of each."""
     made = plans(given, scale.people, scale.moves)
     spark, event, periods = given.regions.sparkSession, given.catalog.event, given.periods
     pulls = resolve_pulls(given.catalog.event_pull, given.regions)
+    people = synth.people(made.cohorts, given.regions, periods, seed, partitions=tasks_for(spark, scale.people))
+    moves = synth.moves(made.flows, made.cohorts, given.regions, event, pulls, periods, seed, partitions=tasks_for(spark, scale.moves))
+    report: dict[str, dict] = {}
     together(
-        lambda: facts.write_facts(
-            synth.people(made.cohorts, given.regions, periods, seed, partitions=tasks_for(spark, scale.people)),
-            f"{out}/people",
-        ),
-        lambda: facts.write_facts(
-            synth.moves(made.flows, made.cohorts, given.regions, event, pulls, periods, seed,
-                        partitions=tasks_for(spark, scale.moves)),
-            f"{out}/moves",
-        ),
+        lambda: _counted(report, "people", people, lambda df: facts.write_facts(df, f"{out}/people", lookup="id")),
+        lambda: _counted(report, "moves", moves, lambda df: facts.write_facts(df, f"{out}/moves")),
     )
+    return report
 
 
-def aggregate(spark: SparkSession, given: Inputs, out: str) -> None:
+def _counted(report: dict[str, dict], name: str, df: DataFrame, write: Callable[[DataFrame], None], period: str | None = "period_idx") -> None:
+    """Write a table and note its rows and periods, counted on the way."""
+    watched, seen = facts.row_metrics(df, name, period)
+    write(watched)
+    report[name] = seen.get
+
+
+def aggregate(spark: SparkSession, given: Inputs, out: str) -> dict[str, dict]:
+    """Write the aggregates; returns the rows and periods of each."""
     opened = facts.require_inputs(
         spark, {"people": (f"{out}/people", PERSON), "moves": (f"{out}/moves", MOVE)}, "generate"
     )
     people, moves, regions, periods = opened["people"], opened["moves"], given.regions, given.periods
     late = int(periods.count * LATE_SHARE)
+    report: dict[str, dict] = {}
 
     def cells() -> None:
         counted = density(people, regions, periods)
-        facts.write_result(by_magnitude(counted, "pop", ["cell"]), f"{out}/density")
+        _counted(report, "density", by_magnitude(counted, "pop", ["cell"]), lambda df: facts.write_result(df, f"{out}/density"))
 
     def routes() -> None:
         top = corridors(moves, regions, periods, TOP_CORRIDORS)
-        facts.write_result(by_magnitude(top, "migrations", ["src_id", "dst_id"]), f"{out}/corridors")
+        _counted(report, "corridors", by_magnitude(top, "migrations", ["src_id", "dst_id"]), lambda df: facts.write_result(df, f"{out}/corridors"))
 
     def walks() -> None:
         walked = lineages(people, regions, LINEAGE_SEEDS, LINEAGE_NODES, late)
-        facts.write_result(walked.orderBy("lineage_id", "depth"), f"{out}/lineages")
+        _counted(report, "lineages", walked.orderBy("lineage_id", "depth"), lambda df: facts.write_result(df, f"{out}/lineages"), None)
 
     together(walks, cells, routes)
+    return report
 
 
 def export(spark: SparkSession, given: Inputs, out: str) -> list[str]:
@@ -122,25 +132,26 @@ def export(spark: SparkSession, given: Inputs, out: str) -> list[str]:
         steps["corridors"] = lambda: tiles.write_tiles(tiles.corridor_tiles(routes), f"{out}/tiles/corridors")
     walked = facts.read_or_none(spark, f"{out}/lineages")
     if walked is not None:
-        steps["lineages"] = lambda: tiles.write_doc(tiles.lineage_doc(walked), f"{out}/tiles/lineages")
+        steps["lineages"] = lambda: tiles.write_lines(tiles.lineage_docs(walked), f"{out}/tiles/lineages")
     together(*steps.values())
     return list(steps)
 
 
 def run(spark: SparkSession, given: Inputs, out: str, scale: Scale, seed: int = synth.DEFAULT_SEED,
-        stages: tuple[str, ...] = STAGES) -> None:
-    """The stages one after the other; what they keep on the way is deleted when the run ends."""
-    with scope():
-        _stages(spark, given, out, scale, seed, stages)
+        stages: tuple[str, ...] = STAGES) -> dict[str, dict]:
+    """The stages one after the other; what they keep on the way is deleted when the run ends.
 
-
-def _stages(spark: SparkSession, given: Inputs, out: str, scale: Scale, seed: int, stages: tuple[str, ...]) -> None:
-    if "generate" in stages:
-        generate(given, out, scale, seed)
-    if "aggregate" in stages:
-        aggregate(spark, given, out)
-    if "export" in stages:
-        export(spark, given, out)
+    Returns the rows, and where there are any the periods, of every table that was written.
+    """
+    report: dict[str, dict] = {}
+    with scope():
+        if "generate" in stages:
+            report |= generate(given, out, scale, seed)
+        if "aggregate" in stages:
+            report |= aggregate(spark, given, out)
+        if "export" in stages:
+            export(spark, given, out)
+    return report
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -159,7 +170,7 @@ def main(argv: list[str] | None = None) -> None:
     given = Inputs(read_regions(spark, args.regions), load_catalog(spark, args.events),
                    match=args.match)
     stages = tuple(s for s in STAGES if not getattr(args, f"skip_{s}"))
-    run(spark, given, args.out, scale, args.seed, stages)
+    print(json.dumps(run(spark, given, args.out, scale, args.seed, stages)))
 
 
 if __name__ == "__main__":

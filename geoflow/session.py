@@ -61,6 +61,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and the path as it wants it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
 def local_frame(spark: SparkSession, rows: list[dict], schema: T.StructType | str) -> DataFrame:
     """A few driver rows as a frame whose exact size the planner knows."""
     if isinstance(schema, str):
@@ -122,9 +128,8 @@ def cut(df: DataFrame) -> DataFrame:
 def remove(*kept: DataFrame) -> None:
     """Delete tables that ``cut`` wrote and nothing reads any more. Deleting twice does no harm."""
     for df in kept:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._kept_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = file_system(df.sparkSession, df._kept_path)
+        files.delete(path, True)
 
 
 @contextmanager

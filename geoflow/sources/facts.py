@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoflow.session import task_count
+from geoflow.session import cut, file_system, scope, task_count
 
 
 class MissingInput(FileNotFoundError):
@@ -45,50 +48,91 @@ def fit(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def _replace(spark: SparkSession, staged: str, path: str) -> None:
+    """Put a folder that is written in the place of another: the old one steps aside, the new one takes its name, the old one goes."""
+    files, new = file_system(spark, staged)
+    _, here = file_system(spark, path)
+    _, aside = file_system(spark, f"{path}.old-{uuid.uuid4().hex}")
+    files.mkdirs(here.getParent())
+    old = files.exists(here)
+    if old and not files.rename(here, aside):
+        raise OSError(f"{path} cannot be renamed")
+    if not files.rename(new, here):
+        if old:
+            files.rename(aside, here)
+        raise OSError(f"{staged} cannot be renamed to {path}")
+    if old:
+        files.delete(aside, True)
+
+
+def _staged(spark: SparkSession, path: str, write: Callable[[str], None], parts: bool = False) -> None:
+    """Let ``write`` fill a new folder beside ``path``, which takes its place when it is whole; with ``parts`` each folder in it takes its own.
+
+    If the write fails, the old table is as it was.
+    """
+    path = path.rstrip("/")
+    staged = f"{path}.new-{uuid.uuid4().hex}"
+    files, folder = file_system(spark, staged)
+    try:
+        write(staged)
+        if not parts:
+            _replace(spark, staged, path)
+            return
+        for entry in files.listStatus(folder):
+            if entry.isDirectory() and not entry.getPath().getName().startswith("_"):
+                _replace(spark, str(entry.getPath()), f"{path}/{entry.getPath().getName()}")
+    finally:
+        files.delete(folder, True)
+
+
 def write_facts(
     df: DataFrame,
     path: str,
     period: str = "period_idx",
     spread: int | None = None,
     only_new_periods: bool = False,
+    lookup: str | None = None,
 ) -> None:
-    """One directory per period, the old table replaced.
+    """One directory per period, the old table replaced when the new one is written.
 
-    ``spread`` gathers a period's rows into that many files by a salt over the whole
-    row, so that no period is written by one task. Without it every task writes its
+    ``spread`` gathers a period's rows into that many files, dealt in the order of a kept copy whatever they
+    hold, so that no period is written by one task and equal rows are spread as well. Without it every task writes its
     own rows and nothing is shuffled. ``only_new_periods`` replaces only the periods
-    that occur in ``df``.
+    that occur in ``df``, one after the other. ``lookup`` names a column by which rows are sorted within a task's part of a period
+    and which gets a Bloom filter, so that a search for one value reads few row groups.
     """
-    if spread:
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(spread))
-        df = df.repartition(task_count(df.sparkSession), F.col(period), salt)
-    mode = "dynamic" if only_new_periods else "static"
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", mode)
-        .option("compression", "snappy")
-        .partitionBy(period)
-        .parquet(path)
-    )
+    spark = df.sparkSession
+    with scope():
+        if spread:
+            salt = F.pmod(F.monotonically_increasing_id(), F.lit(spread))
+            df = cut(df).withColumn("_salt", salt).repartition(task_count(spark), F.col(period), F.col("_salt")).drop("_salt")
+        if lookup:
+            df = df.sortWithinPartitions(period, lookup)
+        writer = df.write.option("compression", "snappy").partitionBy(period)
+        if lookup:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{lookup}", "true")
+        _staged(spark, path, writer.parquet, only_new_periods)
 
 
 def write_result(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("compression", "snappy").parquet(path)
+    _staged(df.sparkSession, path, df.write.option("compression", "snappy").parquet)
+
+
+#: Periods that are counted: the bits of one bitmap.
+COUNTED_PERIODS = 1 << 15
 
 
-def row_metrics(df: DataFrame, name: str, period: str = "period_idx") -> tuple[DataFrame, Observation]:
+def row_metrics(df: DataFrame, name: str, period: str | None = "period_idx") -> tuple[DataFrame, Observation]:
     """Count rows and distinct periods while ``df`` is written.
 
-    Observed metrics allow no distinct aggregate; periods are below 64, so one bit
-    each in a long counts them exactly. Any other period fails the write.
+    Observed metrics allow no distinct aggregate; a bitmap with a bit for each period counts them
+    exactly in the same pass. A period outside 0 to 32,767 fails the write. Without ``period`` only rows are counted.
     """
     seen = Observation(name)
-    outside = F.raise_error(F.concat(F.lit("period outside 0 to 63: "), F.col(period).cast("string"))).cast("long")
-    bit = F.when(F.col(period).between(0, 63), F.call_function("shiftleft", F.lit(1).cast("long"), F.col(period))).when(
-        F.col(period).isNotNull(), outside)
-    watched = df.observe(
-        seen,
-        F.count(F.lit(1)).alias("rows"),
-        F.bit_count(F.coalesce(F.bit_or(bit), F.lit(0).cast("long"))).cast("int").alias("periods"),
-    )
-    return watched, seen
+    counts = [F.count(F.lit(1)).alias("rows")]
+    if period:
+        at = F.col(period).cast("long")
+        outside = F.raise_error(F.concat(F.lit(f"period outside 0 to {COUNTED_PERIODS - 1}: "), F.col(period).cast("string"))).cast("long")
+        bit = F.when(at.between(0, COUNTED_PERIODS - 1), at).when(at.isNotNull(), outside)
+        counts.append(F.bitmap_count(F.bitmap_construct_agg(bit)).cast("int").alias("periods"))
+    return df.observe(seen, *counts), seen

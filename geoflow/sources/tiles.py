@@ -9,12 +9,13 @@ from pyspark.sql import types as T
 from geoflow.functions.expr import grid_cell_bound
 from geoflow.functions.periods import Periods
 from geoflow.operators.intervals import names_by_year
+from geoflow.operators.shares import global_rank
 from geoflow.schemas import GROUPS
 
 VERSION = 1
 
-#: Most cells a document may have to hold, about 150 MB of text.
-TILE_CELLS = 3_000_000
+#: Most cells of one document, about five megabytes of text.
+PART_CELLS = 100_000
 
 
 def _listed(order: list[Column], body: Column) -> Column:
@@ -23,21 +24,42 @@ def _listed(order: list[Column], body: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(keyed)), lambda e: e["body"])
 
 
-def density_tiles(table: DataFrame, res: int = 3) -> DataFrame:
-    """``(period_idx, doc)``: a period's cells, fullest first.
+_CELL = {"h": "cell", "p": "pop", "c": "dominant_continent"}
 
-    A document is one row by nature. Its length is bounded by the cells of the grid
-    at the table's resolution, not by the number of people; resolutions whose grid
-    would not fit one row are refused.
+
+def density_tiles(table: DataFrame, res: int = 3, per_part: int = PART_CELLS) -> DataFrame:
+    """``(period_idx, doc)``: a period's cells, fullest first; for fine grids ``(period_idx, part, doc)``.
+
+    A document is one row by nature. Where the grid of the table's resolution has no more cells than a part, a period
+    is one document; otherwise its cells are dealt into numbered parts of ``per_part`` cells, in the same order.
     """
-    if grid_cell_bound(res) > TILE_CELLS:
-        raise ValueError(f"a grid of resolution {res} has too many cells for one document")
-    cell = F.struct(F.col("cell").alias("h"), F.col("pop").alias("p"), F.col("dominant_continent").alias("c"))
+    if grid_cell_bound(res) > per_part:
+        return density_parts(table, per_part)
+    cell = F.struct(*[F.col(c).alias(k) for k, c in _CELL.items()])
     listed = table.groupBy("period_idx").agg(_listed([-F.col("pop"), F.col("cell")], cell).alias("cells"))
     doc = F.to_json(F.struct(F.col("period_idx").alias("d"), "cells"))
     return listed.select("period_idx", doc.alias("doc"))
 
 
+def density_parts(table: DataFrame, per_part: int = PART_CELLS) -> DataFrame:
+    """``(period_idx, part, doc)``: the cells of a period, fullest first, in parts numbered from 0; no task ranks or holds a whole period."""
+    ranked = global_rank(table, [F.col("period_idx"), F.col("pop").desc(), F.col("cell")], "_rank")
+    first = ranked.groupBy("period_idx").agg(F.min("_rank").alias("_first"))
+    placed = ranked.join(F.broadcast(first), "period_idx").withColumn("_at", F.col("_rank") - F.col("_first"))  # one row a period
+    cell = F.struct(*[F.col(c).alias(k) for k, c in _CELL.items()])
+    part = F.expr(f"_at div {int(per_part)}").cast("int")
+    listed = placed.groupBy("period_idx", part.alias("part")).agg(_listed([F.col("_at")], cell).alias("cells"))
+    doc = F.to_json(F.struct(F.col("period_idx").alias("d"), "part", "cells"))
+    return listed.select("period_idx", "part", doc.alias("doc"))
+
+
+def tile_index(table: DataFrame, per_part: int = PART_CELLS) -> DataFrame:
+    """``(period_idx, doc)``: how many cells and parts a period has, for a reader that goes through the parts."""
+    counted = table.groupBy("period_idx").agg(F.count("*").alias("cells"))
+    parts = F.ceil(F.col("cells") / F.lit(per_part)).cast("int")
+    return counted.select("period_idx", F.to_json(F.struct(F.col("period_idx").alias("d"), "cells", parts.alias("parts"))).alias("doc"))
+
+
 def corridor_tiles(table: DataFrame) -> DataFrame:
     """``(period_idx, doc)``: a period's top corridors, strongest first."""
     def place(side: str) -> Column:
@@ -143,8 +165,14 @@ def dataset_summary(regions: DataFrame, event: DataFrame, periods: DataFrame, li
 # --- files ----------------------------------------------------------------------
 
 def write_tiles(tiles: DataFrame, path: str) -> None:
-    """One text file per period below ``path``, written by the executors, old ones replaced."""
-    tiles.write.mode("overwrite").partitionBy("period_idx").text(path)
+    """A folder for each period (and part) below ``path``, written by the executors, old ones replaced."""
+    parts = [c for c in ("period_idx", "part") if c in tiles.columns]
+    tiles.write.mode("overwrite").partitionBy(*parts).text(path)
+
+
+def write_lines(docs: DataFrame, path: str) -> None:
+    """One document a line, in as many files as there are tasks."""
+    docs.select("doc").write.mode("overwrite").text(path)
 
 
 def write_doc(doc: DataFrame, path: str) -> None:
@@ -152,7 +180,10 @@ def write_doc(doc: DataFrame, path: str) -> None:
 
 
 def read_tiles(spark: SparkSession, path: str, schema: T.StructType, period: int | None = None) -> DataFrame:
-    """Tiles of a period and its neighbours, one before and two after; of all if none is named."""
+    """Tiles of a period and its neighbours, one before and two after; of all if none is named.
+
+    A period in parts has a row for each of them.
+    """
     raw = spark.read.schema("value string, period_idx int").text(path)
     if period is not None:
         raw = raw.where(F.col("period_idx").isin([period + d for d in (-1, 0, 1, 2)]))

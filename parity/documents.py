@@ -145,6 +145,16 @@ def s9(v):
     return v.spark.read.schema("value string, period_idx int").text(path).select("period_idx", F.col("value").alias("doc"))
 
 
+@case("s9_density_parts", sql("""
+    select period_idx, part, '{"d":' || period_idx || ',"part":' || part || ',"cells":[' || """ + CELLS + """ || ']}' as doc
+    from (select *, cast((row_number() over (partition by period_idx order by pop desc, cell) - 1) // 40 as int) as part from v_density)
+    group by 1, 2""", "v_density"))
+def s9_parts(v):
+    """The same cells as for a grid that is too fine for one document."""
+    path = written_tiles(v, tiles.density_tiles(cell_table(v), res=6, per_part=40), "density-parts")
+    return v.spark.read.schema("value string, period_idx int, part int").text(path).select("period_idx", "part", F.col("value").alias("doc"))
+
+
 def place_json(side: str) -> str:
     return (f"""'{{"id":"' || {side}_id || '","name":"' || {side}_name || '","lat":' || cast({side}_lat as varchar) || ',"lon":' """
             f"""|| cast({side}_lon as varchar) || ',"cont":"' || {side}_continent || '"}}'""")
@@ -170,6 +180,13 @@ view("v_lineage_doc", """
     from v_node group by 1 having count(*) >= 2""", "v_node")
 
 
+@case("s11_lineage_lines", sql("select doc from v_lineage_doc", "v_lineage_doc"))
+def s11_lines(v):
+    path = fresh_path(v.spark, "lineage-lines")
+    tiles.write_lines(tiles.lineage_docs(nodes(v)), path)
+    return v.spark.read.schema("doc string").text(path)
+
+
 @case("s11_lineage_doc", sql("""
     select '{"lineages":[' || string_agg(doc, ',' order by lineage_id) || ']}' as doc from v_lineage_doc""", "v_lineage_doc"))
 def s11(v):
@@ -249,6 +266,15 @@ def s17(v):
     return local_frame(v.spark, [seen.get], "rows long, periods int")
 
 
+@case("s17_many_periods", sql("select count(*) as rows, cast(count(distinct l_orderkey % 30000) as int) as periods from lineitem"))
+def s17_many(v):
+    """Far more periods than a word has bits."""
+    lines = v.table("lineitem").select((F.col("l_orderkey") % 30000).alias("period_idx"))
+    watched, seen = facts.row_metrics(lines, "many")
+    facts.write_result(watched, fresh_path(v.spark, "many"))
+    return local_frame(v.spark, [seen.get], "rows long, periods int")
+
+
 @case("s18_localize", sql("""
     select r.region_id, coalesce(l.label, r.name) as name, count(*) as n from v_person join v_region r on r.region_idx = birth_region_idx
     left join (select 'nation_' || s_nationkey as key, min(s_name) as label from supplier group by 1) l on l.key = r.region_id

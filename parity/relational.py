@@ -336,6 +336,15 @@ def j11(v):
     return lineage.orphans(v.link(), v.link(), "parent1_id")
 
 
+@case("j11_orphans_dense", sql("""
+    select l_orderkey as id, count(*) as children from lineitem
+    where l_orderkey not in (select o_orderkey from orders where o_orderkey % 7 <> 3) group by 1"""))
+def j11_dense(v):
+    """Order keys without gaps, some of which are taken out, by bitmaps."""
+    there = v.table("orders").where("o_orderkey % 7 <> 3").select(F.col("o_orderkey").alias("id"))
+    return lineage.orphans(v.table("lineitem"), there, "l_orderkey", dense=True)
+
+
 # --- aggregates -----------------------------------------------------------------
 
 def cell_counts(v):

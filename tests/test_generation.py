@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geoflow.functions.draws import Draws
 from geoflow.functions.periods import Periods
-from geoflow.operators import synth
+from geoflow.operators import lineage, synth
 from geoflow.operators.intervals import resolve_pulls
 from geoflow.operators.lineage import _names_only, late_seeds, lineages, orphans
 from geoflow.plans import job
@@ -200,9 +200,66 @@ def test_sizes(spark):
     assert Scale("x", 10, 4).people == 50000
 
 
-def test_tiles_of_a_fine_grid_are_refused(spark):
-    with pytest.raises(ValueError, match="too many cells"):
-        tiles.density_tiles(spark.range(1), res=9)
+def test_tiles_of_a_fine_grid_are_parted(spark, tmp_path):
+    table = spark.range(5000).select((F.col("id") % 3).cast("int").alias("period_idx"), F.col("id").cast("string").alias("cell"),
+                                     (F.col("id") % 100 + 1).alias("pop"), F.lit("X").alias("dominant_continent"))
+    parts = tiles.density_tiles(table, res=9, per_part=300)
+    tiles.write_tiles(parts, str(tmp_path / "parts"))
+    back = tiles.read_tiles(spark, str(tmp_path / "parts"), DENSITY_TILE).select("period_idx", F.size("tile.cells").alias("n"), F.inline("tile.cells"))
+    assert back.agg(F.max("n")).first()[0] == 300 and back.select("h").distinct().count() == 5000
+    assert {(r.period_idx, r.part) for r in parts.collect()} == {(p, k) for p in range(3) for k in range(6)}
+    index = {r.period_idx: json.loads(r.doc) for r in tiles.tile_index(table, 300).collect()}
+    assert index[2] == {"d": 2, "cells": 1666, "parts": 6}
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    old = spark.range(100).select("id", (F.col("id") % 4).cast("int").alias("period_idx"))
+    facts.write_facts(old, path)
+    broken = old.withColumn("id", F.when(F.col("id") == 77, F.raise_error(F.lit("stopped half way")).cast("long")).otherwise(-F.col("id")))
+    for only_new in (False, True):
+        with pytest.raises(Exception, match="stopped half way"):
+            facts.write_facts(broken, path, only_new_periods=only_new)
+        assert sorted(map(tuple, spark.read.parquet(path).select("id", "period_idx").collect())) == sorted(map(tuple, old.collect()))
+    with pytest.raises(Exception, match="stopped half way"):
+        facts.write_result(broken, path)
+    facts.write_facts(spark.read.parquet(path).where("period_idx = 1").withColumn("id", -F.col("id")), path, only_new_periods=True)
+    assert spark.read.parquet(path).agg(F.sum(F.when(F.col("id") < 0, 1))).first()[0] == 25
+    assert [p.name for p in tmp_path.iterdir()] == ["facts"]
+
+
+def test_equal_rows_are_spread_over_files(spark, tmp_path):
+    path = str(tmp_path / "equal")
+    facts.write_facts(spark.range(4000).select(F.lit(1).alias("x"), F.lit(3).alias("period_idx")), path, spread=4)
+    sizes = [r[1] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 1 and max(sizes) <= 2000 and sum(sizes) == 4000
+
+
+def test_a_lookup_reads_few_row_groups(spark, tmp_path):
+    path = str(tmp_path / "sorted")
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).alias("id"), F.lit(0).alias("period_idx")).coalesce(1)
+    before = spark.conf.get("parquet.block.size", None)
+    spark.conf.set("parquet.block.size", str(64 << 10))
+    try:
+        facts.write_facts(df, path, lookup="id")
+    finally:
+        spark.conf.unset("parquet.block.size") if before is None else spark.conf.set("parquet.block.size", before)
+    found = spark.read.parquet(path).where("id = 4242")
+    assert found.count() == df.where("id = 4242").count() == 1
+    found.collect()
+    scan = found._jdf.queryExecution().executedPlan()
+    while scan.children().size():
+        scan = scan.children().apply(0)
+    read = scan.metrics().apply("numOutputRows").value()
+    assert read <= 20_000
+
+
+def test_bitmaps_find_the_same_orphans(spark):
+    ids = spark.range(-40_000, 60_000).where("id % 5000 <> 17").withColumnRenamed("id", "id")
+    children = spark.range(150_000).select(F.when(F.col("id") % 11 != 0, F.col("id") % 110_000 - 45_000).alias("parent1_id"))
+    plain = sorted(map(tuple, lineage.orphans(children, ids, "parent1_id", dense=False).collect()))
+    assert sorted(map(tuple, lineage.orphans(children, ids, "parent1_id", dense=True).collect())) == plain
+    assert sorted(map(tuple, lineage.orphans(children, ids, "parent1_id").collect())) == plain and len(plain) > 9_000
 
 
 def test_whole_run(spark, tmp_path):
@@ -213,7 +270,9 @@ def test_whole_run(spark, tmp_path):
     with pytest.raises(facts.MissingInput):
         job.run(spark, given, out, Scale("x", 1, 4), stages=("aggregate",))
     assert job.export(spark, given, out) == ["meta", "timeline"]
-    job.run(spark, given, out, Scale("x", 1, 4))
+    report = job.run(spark, given, out, Scale("x", 1, 4))
+    assert report["people"] == {"rows": 50000, "periods": 8} and set(report) == {"people", "moves", "density", "corridors", "lineages"}
+    assert report["lineages"] == {"rows": spark.read.parquet(f"{out}/lineages").count()}
     assert facts.read_facts(spark, f"{out}/people", PERSON).count() == 50000
     moves = facts.read_facts(spark, f"{out}/moves", MOVE).count()
     assert 29000 < moves <= 30000
@@ -227,5 +286,5 @@ def test_whole_run(spark, tmp_path):
     assert (meta["decadeCount"], len(meta["regions"]), len(meta["events"])) == (8, 4, 6)
     yearly = json.loads(spark.read.text(f"{out}/tiles/timeline").first()[0])["yearly"]
     assert len(yearly) == 81 and yearly[0] == {"year": 1525, "names": ["Event 0"]} and yearly[80]["names"] == []
-    doc = json.loads(spark.read.text(f"{out}/tiles/lineages").first()[0])
-    assert len(doc["lineages"]) == 50 and doc["lineages"][0]["id"] == 0
+    lines = [json.loads(r[0]) for r in spark.read.text(f"{out}/tiles/lineages").collect()]
+    assert sorted(x["id"] for x in lines) == list(range(50))
