@@ -35,6 +35,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,7 +45,8 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
                                     IsNotNull, StringStartsWith, WriterCommitMessage)
 from pyspark.sql.pandas.types import to_arrow_schema
 
-MANIFEST = "_manifest.json"
+#: Names and sizes of the files that count, and beside each file the places (int64) where a reader may start.
+MANIFEST, STARTS = "_manifest.json", ".starts"
 DATE = "1970-01-01T00:00:00Z"
 
 #: One record as a row. ``payload_bytes`` and ``payload_digest`` are those of the full payload, for revisits too.
@@ -162,7 +164,7 @@ class _Bytes:
         self.at -= len(data)
 
     def seek(self, to: int) -> None:
-        if to - self.at <= len(self.held):
+        if 0 <= to - self.at <= len(self.held):
             self.held = self.held[to - self.at:]
         else:
             self.held = b""
@@ -305,8 +307,19 @@ class WarcReader(DataSourceReader):
                 files = json.loads(file.read())["files"]
         except FileNotFoundError:
             found = store.get_file_info(pafs.FileSelector(path))
-            files = [{"name": x.base_name, "size": x.size, "starts": [0]} for x in found if re.search(r"\.warc(\.gz)?$", x.base_name)]
-        return [_Part(f["name"], a, b) for f in files for a, b in zip(f["starts"], [*f["starts"][1:], f["size"]]) if b > a]
+            files = [{"name": x.base_name, "size": x.size, "split": x.size} for x in found if re.search(r"\.warc(\.gz)?$", x.base_name)]
+        return [_Part(f["name"], a, min(f["size"], a + f["split"])) for f in files for a in range(0, f["size"], max(1, f["split"]))]
+
+    @staticmethod
+    def _between(store, name: str, start: int, stop: int) -> tuple[int, int]:
+        """The records of a part: from the first noted start in it to the first one behind it. A file without notes is one part."""
+        try:
+            with store.open_input_stream(f"{name}{STARTS}") as file:
+                starts = np.frombuffer(file.read(), "<i8")
+        except FileNotFoundError:
+            return start, stop
+        first, end = np.searchsorted(starts, (start, stop))
+        return (int(starts[first]) if first < len(starts) else stop), (int(starts[end]) if end < len(starts) else 1 << 62)
 
     def read(self, partition: _Part | None) -> Iterator[pa.RecordBatch]:
         if partition is None:
@@ -318,10 +331,13 @@ class WarcReader(DataSourceReader):
         def wants(fields: dict[str, str]) -> bool:
             return (self.payload or self.verify or _LENGTH not in fields) and fields.get("warc-type") != "revisit" and self.passes(fields)
 
+        start, stop = self._between(store, f"{path}/{partition.path}", partition.start, partition.stop)
+        if start >= partition.stop:
+            return
         with store.open_input_file(f"{path}/{partition.path}") as file:
-            source = _Bytes(file, partition.start)
+            source = _Bytes(file, start)
             kind = _Gzip(source) if partition.path.endswith(".gz") else _Plain(source)
-            for fields, block in kind.records(partition.stop, wants):
+            for fields, block in kind.records(min(stop, file.size()), wants):
                 if not self.passes(fields):
                     continue
                 payload = None if block is None else _payload(fields, block)
@@ -353,25 +369,30 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         store, path = self._store()
         store.create_dir(path, recursive=True)
-        files, out, size = [], None, 0
+        files, out, size, starts = [], None, 0, []
+
+        def close() -> None:
+            out.close()
+            files[-1]["size"] = size
+            with store.open_output_stream(f"{path}/{files[-1]['name']}{STARTS}", compression=None) as notes:
+                notes.write(np.array(starts, "<i8").tobytes())
+
         for batch in iterator:
             for row in batch.to_pylist():
                 if out is None or size >= self.file_bytes:
                     if out is not None:
-                        out.close()
-                        files[-1]["size"] = size
+                        close()
                     name = f"part-{uuid.uuid4().hex}.warc{'.gz' if self.gzip else ''}"
-                    out, size = store.open_output_stream(f"{path}/{name}", compression=None), 0
-                    files.append({"name": name, "size": 0, "starts": [0]})
-                if size - files[-1]["starts"][-1] >= self.split_bytes:
-                    files[-1]["starts"].append(size)
+                    out, size, starts = store.open_output_stream(f"{path}/{name}", compression=None), 0, [0]
+                    files.append({"name": name, "size": 0, "split": self.split_bytes})
+                if size - starts[-1] >= self.split_bytes:
+                    starts.append(size)
                 data = record(row["record_id"], row["target_uri"], row["refers_to"], row["payload"] or b"")
                 data = member(data) if self.gzip else data
                 out.write(data)
                 size += len(data)
         if out is not None:
-            out.close()
-            files[-1]["size"] = size
+            close()
         return _Written(files)
 
     def commit(self, messages: list) -> None:
@@ -385,6 +406,7 @@ class WarcWriter(DataSourceArrowWriter):
         store, path = self._store()
         for one in (f for m in messages if m is not None for f in m.files):
             store.delete_file(f"{path}/{one['name']}")
+            store.delete_file(f"{path}/{one['name']}{STARTS}")
 
 
 class WarcSource(DataSource):
