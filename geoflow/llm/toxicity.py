@@ -32,13 +32,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoflow.llm.common import lowered, slices
 from geoflow.llm.folds import first_by_hash, held_out
+from geoflow.session import cut, scope
 
 _WORD = re.compile(r"[a-z\x80-\U0010FFFF]+")
 
@@ -74,34 +74,50 @@ class Scorer:
         return 1 / (1 + math.exp(-min(max(total, -60.0), 60.0)))
 
 
-def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float, given: Settings = Settings()) -> Scorer:
-    """Minimise the non-negative risk with the logistic loss."""
-    counts, common = Counter(w for words in positive for w in words), Counter(w for words in unlabelled for w in words)
+def clean_rate(n_positive, n_unlabelled, positive: int, unlabelled: int, prior: float):
+    """The rate of a word among clean rows (before it is brought to 0 at least), as unlabelled rows hold the toxic share themselves."""
+    return (n_unlabelled / unlabelled - prior * n_positive / positive) / (1 - prior)
 
-    def clean(w: str) -> float:
-        """The rate of a word among clean rows, as unlabelled rows hold the toxic share themselves."""
-        return max(0.0, common[w] / len(unlabelled) - prior * counts[w] / len(positive)) / (1 - prior)
 
-    names = sorted(w for w, n in counts.items() if n >= given.least and n / len(positive) >= given.lift * clean(w))
+def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float, given: Settings = Settings()) -> Scorer:
+    """The scorer of rows that are lists of their words."""
+    counts, common = Counter(w for words in positive for w in words), Counter(w for words in unlabelled for w in words)
+    sizes = len(positive), len(unlabelled)
+    names = sorted(w for w, n in counts.items()
+                   if n >= given.least and n / sizes[0] >= given.lift * max(0.0, clean_rate(n, common[w], *sizes, prior)))
     place = {w: k for k, w in enumerate(names)}
-    rows = [[place[w] for w in words if w in place] for words in positive + unlabelled]
+    return descend([[place[w] for w in words if w in place] for words in positive + unlabelled], len(positive), names, prior, given)
+
+
+def risk(z: np.ndarray, n_pos: int, prior: float) -> tuple[float, np.ndarray]:
+    """What a step lowers, and its gradient by the rows' logits; the first ``n_pos`` rows are confirmed.
+
+    Usually the risk: that of confirmed rows, and the clean risk estimated from the others. Where that
+    estimate is below zero, only its size.
+    """
+    n_unl = len(z) - n_pos
+    p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    loss_neg = np.logaddexp(0, z)  # -log(1 - p)
+    rest = loss_neg[n_pos:].mean() - prior * loss_neg[:n_pos].mean()
+    g = np.empty(len(z))
+    if rest >= 0:
+        g[:n_pos] = prior * (p[:n_pos] - 1) / n_pos - prior * p[:n_pos] / n_pos
+        g[n_pos:] = p[n_pos:] / n_unl
+        return prior * float((loss_neg[:n_pos] - z[:n_pos]).mean()) + float(rest), g
+    g[:n_pos] = prior * p[:n_pos] / n_pos
+    g[n_pos:] = -p[n_pos:] / n_unl
+    return -float(rest), g
+
+
+def descend(rows: list[list[int]], n_pos: int, names: list[str], prior: float, given: Settings) -> Scorer:
+    """Minimise the non-negative risk with the logistic loss; rows hold the places of their words in ``names``."""
     index = np.array([k for r in rows for k in r], np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    n_pos, n_unl, n = len(positive), len(unlabelled), len(names)
+    n = len(names)
     w, bias = np.zeros(n), np.array([math.log(prior / (1 - prior))])
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, given.steps + 1):
-        z = np.bincount(owner, w[index], len(rows)) + bias
-        p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-        loss_neg = np.logaddexp(0, z)  # -log(1 - p)
-        rest = loss_neg[n_pos:].mean() - prior * loss_neg[:n_pos].mean()
-        g = np.empty(len(rows))
-        if rest >= 0:
-            g[:n_pos] = prior * (p[:n_pos] - 1) / n_pos - prior * p[:n_pos] / n_pos
-            g[n_pos:] = p[n_pos:] / n_unl
-        else:  # the estimated clean risk is below zero: undo
-            g[:n_pos] = prior * p[:n_pos] / n_pos
-            g[n_pos:] = -p[n_pos:] / n_unl
+        _, g = risk(np.bincount(owner, w[index], len(rows)) + bias, n_pos, prior)
         grad = np.append(np.bincount(index, g[owner], n) + given.decay * prior, g.sum())
         m += 0.1 * (grad - m)
         v += 0.001 * (grad * grad - v)
@@ -131,16 +147,30 @@ def train(docs: DataFrame, labels: DataFrame, given: Settings = Settings(), labe
     sure = first_by_hash(known.where("_label = 1"), id_col, given.positives).withColumn("_positive", F.lit(True))
     others = first_by_hash(docs.where(~held_out(F.col(id_col), modulus, rest)), id_col, given.unlabelled).withColumn("_positive", F.lit(False))
     sample = docs.select(id_col, F.col(text).alias("_text")).join(F.broadcast(sure.unionByName(others)), id_col)
-    rows = sample.select("_positive", "_text").mapInArrow(_word_sets, "positive boolean, words array<string>").toArrow()
-    words = rows.column("words").combine_chunks()
-    ends, every = np.cumsum(pc.list_value_length(words).to_numpy()).tolist(), words.flatten().dictionary_encode()
-    names, places = every.dictionary.to_pylist(), every.indices.to_numpy()  # each word is held once
-    lists = [[names[k] for k in places[start:end]] for start, end in zip([0, *ends], ends)]
-    found = sorted(zip(rows.column("positive").to_pylist(), lists))  # any order of rows gives one scorer
-    positive, unlabelled = [w for p, w in found if p], [w for p, w in found if not p]
-    if not positive or not unlabelled:
-        return Scorer({}, math.log(prior / (1 - prior)))
-    return fit(positive, unlabelled, prior, given)
+    with scope():
+        # Words are counted and chosen in Spark; the driver gets the chosen ones, and of each row their places.
+        rows = cut(sample.select("_positive", "_text").mapInArrow(_word_sets, "positive boolean, words array<string>"))
+        sizes = {r["positive"]: r["n"] for r in rows.groupBy("positive").agg(F.count("*").alias("n")).collect()}
+        n_pos, n_unl = sizes.get(True, 0), sizes.get(False, 0)
+        if not n_pos or not n_unl:
+            return Scorer({}, math.log(prior / (1 - prior)))
+        each = rows.select("positive", F.explode("words").alias("word")).groupBy("word").agg(
+            F.sum(F.col("positive").cast("long")).alias("n"), F.sum((~F.col("positive")).cast("long")).alias("common"))
+        rare = F.greatest(F.lit(0.0), clean_rate(F.col("n"), F.col("common"), n_pos, n_unl, prior))
+        chosen = each.where((F.col("n") >= given.least) & (F.col("n") / n_pos >= given.lift * rare))
+        names = sorted(r["word"] for r in chosen.select("word").collect())
+        places = rows.select("positive", "words").mapInArrow(_places({w: k for k, w in enumerate(names)}), "positive boolean, places array<int>").toArrow()
+    found = sorted(zip([not x for x in places.column("positive").to_pylist()], places.column("places").to_pylist()))  # any order of rows gives one scorer
+    return descend([r for _, r in found], n_pos, names, prior, given)
+
+
+def _places(place: dict[str, int]):
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[place[w] for w in words if w in place] for words in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["positive", "places"])
+
+    return made
 
 
 def probability(scorer: Scorer, text: Column) -> Column:
