@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from geoflow.llm import common, licenses, ngram_join, quality_net, quality_rules, secrets, sentencepiece, substring_dedup, toxicity
+from geoflow.llm import common, licenses, ngram_join, quality_net, quality_rules, secrets, sentencepiece, substring_dedup, toxicity, warc
 from geoflow.llm.queries import OP10_SQL
 from geoflow.session import scope, shared_dir
 
@@ -145,6 +145,74 @@ def test_gradient_against_differences(monkeypatch):
             assert abs((more - less) / 2e-5 - g[place]) < 1e-5
 
 
+# --- toxicity -------------------------------------------------------------------
+
+def test_risk_against_differences():
+    draw = np.random.default_rng(4)
+    for prior, shift in ((0.2, 0.0), (0.7, -1.0), (0.9, -2.0)):
+        z = draw.normal(0, 1, 30)
+        z[:10] += 2
+        z[10:] += shift
+        value, g = toxicity.risk(z, 10, prior)
+        for k in range(30):
+            step = np.zeros(30)
+            step[k] = 1e-6
+            more, less = toxicity.risk(z + step, 10, prior)[0], toxicity.risk(z - step, 10, prior)[0]
+            assert abs((more - less) / 2e-6 - g[k]) < 1e-6
+        p = 1 / (1 + np.exp(-z))
+        clean = -np.log(1 - p[10:]).mean() + prior * np.log(1 - p[:10]).mean()
+        assert abs(value - (prior * -np.log(p[:10]).mean() + clean if clean >= 0 else -clean)) < 1e-9
+
+
+def test_words_are_chosen_in_spark_as_in_the_plain_form(spark):
+    draw = random.Random(3)
+    toxic = [prose(draw, 30) + " vileword " + draw.choice(["nasty", "ugly", "grim"]) for _ in range(80)]
+    clean = [prose(draw, 32) for _ in range(160)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(toxic + clean)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 80)) for k in range(240)], "doc_id long, toxic int")
+    given = toxicity.Settings(prior=0.3, steps=60)
+    got = toxicity.train(docs, labels, given, modulus=10**9, rest=1)
+    words = [sorted(toxicity.words_of(t)) for t in toxic + clean]
+    expected = toxicity.fit(sorted(words[:80]), sorted(words), 0.3, given)
+    assert set(got.weights) == set(expected.weights) and "vileword" in got.weights
+    assert all(abs(got.weights[w] - x) < 1e-9 for w, x in expected.weights.items()) and abs(got.bias - expected.bias) < 1e-9
+
+
+# --- WARC -----------------------------------------------------------------------
+
+def test_payloads_of_failed_predicates_are_not_read(spark, tmp_path):
+    """Payload bytes are spoilt in the archive: who asks for revisits does not notice, who decodes responses does."""
+    draw = random.Random(1)
+    body = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(300_000))
+    pages = spark.createDataFrame([(1, "u", body), (2, "v", body), (3, "w", "x")], "page_id long, url string, html string").coalesce(1)
+    for compression in ("gzip", "none"):
+        path = str(tmp_path / compression)
+        warc.write_archives(warc.page_records(pages).coalesce(1), path, compression=compression)
+        (name,) = [p for p in (tmp_path / compression).iterdir() if ".warc" in p.name and not p.name.endswith((".starts", ".crc"))]
+        data = bytearray(name.read_bytes())
+        at = data.find(body[1000:1040].encode()) if compression == "none" else len(data) // 2
+        data[at:at + 40] = bytes(40)
+        name.write_bytes(bytes(data))
+        revisits = warc.read_archives(spark, path, verify="true").where("record_type = 'revisit'").collect()
+        assert [(r.record_id, r.refers_to, r.payload_bytes) for r in revisits] == [("urn:page:2", "urn:page:1", 300_000)]
+        assert warc.read_archives(spark, path, payload="false").count() == 3
+        with pytest.raises(Exception):
+            warc.read_archives(spark, path, verify="true").where("record_type = 'response'").collect()
+
+
+def test_skipped_records_of_any_size(spark, tmp_path):
+    """Members of less and more than a block, of which every other one is passed over."""
+    draw = random.Random(2)
+    bodies = ["".join(draw.choice("abcdefgh ") for _ in range(n)) for n in (10, 3_000, 9_000, 60_000, 200_000, 5_000, 2_047, 70_000)]
+    pages = spark.createDataFrame([(k, "u", bodies[k % len(bodies)]) for k in range(40)], "page_id long, url string, html string")
+    for options in ({}, {"compression": "none"}, {"split_bytes": "3000"}, {"split_bytes": "100", "file_bytes": "50000"}):
+        path = str(tmp_path / str(len(list(tmp_path.iterdir()))))
+        warc.write_archives(warc.page_records(pages).repartition(2, "record_id"), path, **options)
+        for kind, n in (("revisit", 32), ("response", 8)):
+            got = warc.read_archives(spark, path, payload="false", verify="true").where(F.col("record_type") == kind)
+            assert got.count() == n == got.select("record_id").distinct().count()
+
+
 # --- empty tables and clashing names --------------------------------------------
 
 CLASH = ("_gone", "_kept", "_first", "_least", "_label", "_text", "gid", "sid", "n", "bins", "text_key", "id", "number", "copies", "pieces", "_key")
