@@ -19,13 +19,26 @@ from geoflow.session import cut, owned, remove
 ORACLE_SQL = None
 
 
+#: Rows of a batch between Spark and its Python workers. Texts of the default of 10,000 rows take 40 MB in each of them.
+BATCH_ROWS = 1_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Stages that hold texts in Python workers get them in small batches from here on; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, measured against references of ``docs``."""
+    _small_batches(spark)
     return quality_rules.keep_good(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group: five-word shingles, similarity 0.8 or more."""
+    _small_batches(spark)
     return ngram_join.keep_one(docs, ngram_join.Similar(width=5, percent=80))
 
 
@@ -36,11 +49,13 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked."""
+    _small_batches(spark)
     return secrets.mask_documents(docs)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, piece ids and their number."""
+    _small_batches(spark)
     out = sentencepiece.encode_documents(docs)
     return out.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"))
 
