@@ -288,3 +288,30 @@ def test_whole_run(spark, tmp_path):
     assert len(yearly) == 81 and yearly[0] == {"year": 1525, "names": ["Event 0"]} and yearly[80]["names"] == []
     lines = [json.loads(r[0]) for r in spark.read.text(f"{out}/tiles/lineages").collect()]
     assert sorted(x["id"] for x in lines) == list(range(50))
+
+
+def test_options_and_check_of_a_run(spark, tmp_path):
+    regions_file, events_file, out = tmp_path / "regions.json", tmp_path / "events.json", str(tmp_path / "out")
+    regions_file.write_text(json.dumps(region_rows(4)))
+    rows = event_rows()
+    rows[0] = rows[0] | {"regions": ["nowhere"], "pulls": [{"from": "nowhere", "to": "elsewhere", "weight": 1.0, "reason": "x"}]}
+    events_file.write_text(json.dumps(rows))
+    given = job.Inputs(read_regions(spark, str(regions_file)), load_catalog(spark, str(events_file)), P)
+    options = job.Options(density="living", exact=True, corridors=2, seeds=5, nodes=3)
+    report = job.run(spark, given, out, Scale("x", 1, 4), stages=(*job.STAGES, job.CHECK), options=options)
+    assert report["check"] == {"unknown_regions": 1, "unknown_pull_ends": 2, "orphan_parents": 0, "orphan_children": 0, "people_off_map": 0, "moves_off_map": 0}
+    people = facts.read_facts(spark, f"{out}/people", PERSON)
+    assert facts.read_facts(spark, f"{out}/moves", MOVE).count() == 30000
+    living = spark.read.parquet(f"{out}/density").agg(F.sum("pop")).first()[0]
+    assert living == people.agg(F.sum(F.size(P.covered(F.col("birth_year"), F.col("death_year"), "overlap")))).first()[0] > 50000
+    assert spark.read.parquet(f"{out}/corridors").groupBy("period_idx").count().agg(F.max("count")).first()[0] == 2
+    walked = spark.read.parquet(f"{out}/lineages")
+    assert walked.select("lineage_id").distinct().count() == 5 and walked.agg(F.max("depth")).first()[0] <= 2
+
+    gone = people.where(F.col("parent1_id") >= 0).agg(F.min("parent1_id")).first()[0]
+    broken = people.where(F.col("id") != gone).withColumn("birth_region_idx", F.when(F.col("birth_region_idx") == 3, 9).otherwise(F.col("birth_region_idx")).cast("byte"))
+    children = broken.where(F.col("parent1_id") == gone).count()
+    off = broken.where("birth_region_idx = 9").count()
+    facts.write_facts(broken, f"{out}/people")
+    found = job.check(spark, given, out)
+    assert (found["orphan_parents"], found["orphan_children"], found["people_off_map"]) == (1, children, off) and children > 0 and off > 0
