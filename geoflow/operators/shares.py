@@ -122,9 +122,12 @@ def apportion(df: DataFrame, weight: str, total, keys: list[str], out: str = "n"
 
     Otherwise the rows are kept once and the sum of the weights is taken once. The remainder
     from which a row gets one more is found by counting remainders; only rows that have exactly
-    this one are ranked, and only if not all of them get one more. ``total`` is a number then.
+    this one are ranked, and only if not all of them get one more. ``total`` is a number, or a scalar
+    that is taken once.
     """
     if not plan_sized:
+        if isinstance(total, Column):
+            total = df.sparkSession.range(1).select(total).first()[0]
         return _apportion_by_threshold(cut(df), weight, int(total), keys, out)
     total = total if isinstance(total, Column) else F.lit(int(total))
     mass = _sum_of(df, weight, plan_sized)
