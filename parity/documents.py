@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from geoflow.operators.blend import localize
 from geoflow.operators.density import density
 from geoflow.schemas import CORRIDOR_TILE, DENSITY_TILE, GROUPS, MAX_REGIONS, MOVE
-from geoflow.session import fresh_path, local_frame
+from geoflow.session import dealt_by, fresh_path, local_frame
 from geoflow.sources import facts, tiles
 from geoflow.sources.catalog import cause_dim, load_catalog
 from geoflow.sources.dims import region_dim
@@ -114,7 +114,9 @@ def s7(v):
     zero = [F.lit(0).alias(c) for c in ("from_lat", "from_lon", "to_lat", "to_lon", "cause_id")]
     fitted = facts.fit(v.move().select("*", *zero), MOVE)
     ints = [F.col(c).cast("int").alias(c) for c in ("year", "from_region_idx", "to_region_idx")]
-    return fitted.select("person_id", *ints, "cause_label", "period_idx").groupBy(
+    # Nearly every row is a group of its own, so a task's memory goes by its rows; moves are at most the lines.
+    moves = dealt_by(fitted.select("person_id", *ints, "cause_label", "period_idx"), v.table("lineitem").count(), "person_id")
+    return moves.groupBy(
         "person_id", "year", "from_region_idx", "to_region_idx", "cause_label", "period_idx"
     ).agg(F.count("*").alias("n"))
 

@@ -79,3 +79,21 @@ def test_jobs_together_return_in_order_and_pass_errors_on(spark):
 def test_task_counts(spark):
     assert session.tasks_for(spark, 10) == 2 * session.task_count(spark)
     assert session.tasks_for(spark, 10**12) == 250_000
+
+
+def test_rows_ask_for_partitions_however_small_they_compress(spark):
+    """Adaptive execution would make one task of these rows; a grouping by nearly unique keys then holds all of them."""
+    rows = 40_000
+    dealt = session.dealt_by(spark.range(rows).selectExpr("id", "0 as same"), rows, "id", rows_per_task=1000)
+    sizes = [r["count"] for r in dealt.selectExpr("spark_partition_id() as at").groupBy("at").count().collect()]
+    assert sum(sizes) == rows and len(sizes) == 40 and max(sizes) < 1500
+    grouped = dealt.groupBy("id", "same").count()
+    assert plan(grouped).count("(1) Exchange") + plan(grouped).count(") Exchange\n") <= 2  # the grouping needs none of its own
+
+
+def test_fitted_moves_are_grouped_in_tasks_of_bounded_rows(spark):
+    from parity.registry import run
+    import parity.all_cases  # noqa: F401
+
+    grouped = run("s7_fit_schema", spark, "/root/testdata/sf0.001")
+    assert "REPARTITION_BY_NUM" in plan(grouped)
