@@ -38,6 +38,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -75,44 +76,66 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes (int64) of each text."""
+def shingle_table(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes (int64) of all texts in a row, and where each text's start and end."""
     numbers: defaultdict[bytes, int] = defaultdict()
     numbers.default_factory = numbers.__len__
-    ids = [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for words in map(spaced_bytes, texts)]
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
-    out = []
-    for own in ids:
-        h, n = hashes[own], min(width, len(own))
-        if not n:
-            out.append(np.zeros(0, np.int64))
-            continue
-        total = np.full(len(h) - n + 1, n, np.uint64)
+    words = list(map(spaced_bytes, texts))
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes)
+    ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))[ids]
+
+    def hashed(h: np.ndarray, n: int) -> np.ndarray:
+        total = np.full(max(0, len(h) - n + 1), n, np.uint64)
         for k in range(n):
-            total = _mixed(total * np.uint64(_MULTIPLIERS[k % 4]) + h[k:len(h) - n + 1 + k])
-        out.append(np.unique(total.view(np.int64)))
-    return out
+            total = _mixed(total * np.uint64(_MULTIPLIERS[k % 4]) + h[k:k + len(total)])
+        return total.view(np.int64)
+
+    # One shingle for each word that has enough words after it; a shorter text has one at its first word.
+    left = np.repeat(ends, sizes) - np.arange(len(h))
+    all_ = np.zeros(len(h), np.int64)
+    full = hashed(h, width)
+    all_[:len(full)] = full
+    used = left >= width
+    for i in np.flatnonzero((sizes > 0) & (sizes < width)).tolist():
+        first = ends[i] - sizes[i]
+        all_[first], used[first] = hashed(h[first:ends[i]], int(sizes[i]))[0], True
+    all_ = all_[used]
+    bounds = np.concatenate([[0], np.concatenate([[0], np.cumsum(used)])[ends]])
+    for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        all_[start:end].sort()
+    new = np.ones(len(all_), bool)
+    new[1:] = all_[1:] != all_[:-1]
+    new[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+    return all_[new], np.concatenate([[0], np.cumsum(new)])[bounds]
+
+
+def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes (int64) of each text."""
+    tokens, bounds = shingle_table(texts, width)
+    return [tokens[start:end] for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 def _frequent(width: int):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size = 0
+        size = documents = 0
 
         def out() -> pa.RecordBatch:
             tokens, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
-            often = n >= max(2, len(held) / 1000)
+            often = n >= max(2, documents / 1000)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(tokens[often]), pa.array(n[often])], ["token", "n"])
 
         for batch in batches:
             for _, texts in slices(batch.column(0), TOGETHER_BYTES):
-                for own in shingle_sets(texts, width):
-                    held.append(own)
-                    size += len(own)
+                held.append(shingle_table(texts, width)[0])
+                size += len(held[-1])
+                documents += len(texts)
                 if size >= COUNTED:
                     yield out()
-                    size = 0
+                    size = documents = 0
         yield out()
 
     return lambda batches: released(counted(batches))
@@ -129,34 +152,57 @@ def frequent_shingles(docs: DataFrame, width: int, text: str = "text") -> tuple[
     return tokens[order], rank[order]
 
 
-def _places(own: np.ndarray, tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
+#: Low bits of a shingle by which one that is surely rare is told without a search.
+SIEVE = (1 << 22) - 1
+
+
+def _places(own: np.ndarray, tokens: np.ndarray, rank: np.ndarray, sieve: np.ndarray) -> np.ndarray:
     """Rank of each shingle in the common order; 0 for those that are rare."""
-    if not len(tokens):
-        return np.zeros(len(own), np.int64)
-    at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
-    return np.where(tokens[at] == own, rank[at], 0)
+    out = np.zeros(len(own), np.int64)
+    maybe = np.flatnonzero(sieve[own & SIEVE]) if len(tokens) else np.zeros(0, np.int64)
+    if len(maybe):
+        at = np.minimum(np.searchsorted(tokens, own[maybe]), len(tokens) - 1)
+        out[maybe] = np.where(tokens[at] == own[maybe], rank[at], 0)
+    return out
+
+
+def prefixes_of(own: np.ndarray, bounds: np.ndarray, places: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """The ``first`` shingles of each set in the common order: rare ones by hash, then the others by rank."""
+    rare = places == 0
+    rares, others, ranks = own[rare], own[~rare], places[~rare]
+    rare_at = np.concatenate([[0], np.cumsum(rare)])[bounds]
+    out = []
+    for low, high, start, n in zip(rare_at[:-1].tolist(), rare_at[1:].tolist(), (bounds - rare_at).tolist(), first.tolist()):
+        prefix = rares[low:min(high, low + n)]
+        if len(prefix) < n:
+            end = start + int(bounds[len(out) + 1] - bounds[len(out)]) - (high - low)
+            prefix = np.concatenate([prefix, others[start:end][np.argsort(ranks[start:end])[:n - len(prefix)]]])
+        out.append(prefix)
+    return out
 
 
 def _indexed(given: Similar, tokens: np.ndarray, rank: np.ndarray, schema: pa.Schema):
     """Rows (id, text_key, text) to (id, text_key, n, set_key, group_key, prefix, bins)."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        sieve = np.zeros(SIEVE + 1, bool)
+        sieve[tokens & SIEVE] = True
         for batch in batches:
             for start, texts in slices(batch.column(2), TOGETHER_BYTES):
-                n, set_keys, group_keys, prefixes, bins = [], [], [], [], []
-                for own in shingle_sets(texts, given.width):
-                    size = len(own)
-                    n.append(size)
+                own, bounds = shingle_table(texts, given.width)
+                n = np.diff(bounds)
+                first = np.where(n > 0, n - -(-given.percent * n // 100) + 1, 0)
+                set_keys, group_keys, prefixes, bins = [], [], [], []
+                for at, (size, prefix) in enumerate(zip(n.tolist(), prefixes_of(own, bounds, _places(own, tokens, rank, sieve), first))):
                     if not size:
                         set_keys.append(None), group_keys.append(None), prefixes.append(None), bins.append(None)
                         continue
-                    first = size - -(-given.percent * size // 100) + 1
-                    prefix = own[np.lexsort((own, _places(own, tokens, rank)))[:first]]
-                    key = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+                    set_ = own[bounds[at]:bounds[at + 1]]
+                    key = hashlib.blake2b(set_.data, digest_size=16).digest()
                     set_keys.append(key)
                     group_keys.append(hashlib.blake2b(prefix.tobytes(), digest_size=16, key=size.to_bytes(8, "little")).digest())
                     prefixes.append(None if group_keys[-1] in seen else prefix)  # one of a task's copies is enough
-                    bins.append(None if key in seen else counts_of(own))
+                    bins.append(None if key in seen else counts_of(set_))
                     if len(seen) > REMEMBERED:
                         seen.clear()
                     seen.update((key, group_keys[-1]))
@@ -363,5 +409,6 @@ def keep_one(docs: DataFrame, given: Similar = Similar(), id_col: str = "doc_id"
     found = components(docs, given, id_col, text)
     gone = free_name(docs, "_gone")
     others = found.where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id"))).select(F.col(id_col).alias(gone)).distinct()
-    kept = docs.join(others, F.col(id_col) == F.col(gone), "left_anti")
+    others = cut(others)
+    kept = docs.join(F.broadcast(others) if others.count() <= BROADCAST_IDS else others, F.col(id_col) == F.col(gone), "left_anti")
     return kept.select(*[F.col(f"`{n}`") for n in docs.columns])

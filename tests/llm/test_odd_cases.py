@@ -312,3 +312,51 @@ def test_nothing_is_left_behind(spark, tmp_path):
         substring_dedup.removed(docs).count()
         assert len(there() - before) == 2
     assert there() == before
+
+
+# --- n-gram join ----------------------------------------------------------------
+
+@pytest.mark.parametrize("width", [1, 4, 5])
+def test_shingles_of_many_texts_at_once_are_those_of_each(width):
+    draw = random.Random(width)
+    texts = [None, "", " \n", "one", "A b", "a B", "x y z", "é é é é é é"] + [prose(draw, draw.randrange(60)) for _ in range(50)] + ["a b c d e", None]
+    tokens, bounds = ngram_join.shingle_table(texts, width)
+    assert len(bounds) == len(texts) + 1 and bounds[0] == 0 and bounds[-1] == len(tokens)
+    for text, start, end in zip(texts, bounds[:-1], bounds[1:]):
+        alone = ngram_join.shingle_table([text], width)[0]
+        assert tokens[start:end].tolist() == alone.tolist() == sorted(set(alone.tolist()))
+        words = common.spaced_words(text)
+        n = min(width, len(words))
+        assert end - start == (len({tuple(words[i:i + n]) for i in range(len(words) - n + 1)}) if n else 0)
+
+
+def test_prefixes_are_the_first_shingles_of_the_common_order():
+    draw = np.random.default_rng(3)
+    sets = [np.unique(draw.integers(-2**62, 2**62, n)) for n in (0, 1, 7, 40, 0, 300)]
+    tokens = np.unique(np.concatenate([own[::2] for own in sets]))
+    rank = draw.permutation(len(tokens)) + 1
+    sieve = np.zeros(ngram_join.SIEVE + 1, bool)
+    sieve[tokens & ngram_join.SIEVE] = True
+    flat, bounds = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(own) for own in sets])])
+    places = ngram_join._places(flat, tokens, rank, sieve)
+    known = dict(zip(tokens.tolist(), rank.tolist()))
+    assert places.tolist() == [known.get(x, 0) for x in flat.tolist()]
+    first = np.array([-(-2 * len(own) // 3) for own in sets])
+    for own, n, prefix in zip(sets, first, ngram_join.prefixes_of(flat, bounds, places, first)):
+        assert prefix.tolist() == sorted(own.tolist(), key=lambda x: (known.get(x, 0), x))[:n]
+
+
+def test_dropping_copies_does_not_shuffle_the_texts(spark):
+    draw = random.Random(5)
+    text = prose(draw, 40)
+    docs = spark.createDataFrame([(i, text if i % 3 else prose(draw, 40)) for i in range(30)], "doc_id long, text string")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        with scope():
+            kept = ngram_join.keep_one(docs)
+            assert "SortMergeJoin" not in plan(kept)
+            assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted([1, *range(0, 30, 3)])
+    finally:
+        spark.conf.set(name, before)
