@@ -12,10 +12,11 @@ blanks and tabs. A phrase is 2 to 5 words in a row within a piece, and it is a c
    in which it starts before the closing trigger, so those in an overlap are counted once; as the
    overlap is one word less than the longest phrase, that chunk holds it whole.
 3. Counting goes by size. A phrase is as frequent as its rarest part at most, so bigrams are counted
-   only where both words are frequent (by a 64-bit hash, summed over all tasks), and phrases of 2 to 5
-   words only where each bigram is, this time by their words. What is frequent goes to the tasks as a bitmap
-   of ``BITS`` bits, whatever the size of the corpus. Equal hashes only let more phrases through to
-   the last count, which is exact.
+   only where both words are frequent, trigrams only where both bigrams are (by 64-bit hashes, summed over all
+   tasks), and phrases of 2 to 5 words only where each bigram and trigram is, this time by their words. What is
+   frequent goes to the tasks as bitmaps of ``BITS`` bits each, whatever the size of the corpus. Equal hashes only let
+   more phrases through to the last count, which is exact. Its tasks are as many as the cores ask for, not the
+   input, and sum up what they hold before they hand it on, so that a phrase is not a row of every few megabytes.
 4. Cuts, scores and the ranking are joins of the frequent phrases.
 
 The score of a cut is ``floor(1000 * a * n / (l * r))`` in 38-digit decimals. The cut with the least score counts.
@@ -44,10 +45,12 @@ from geoflow.session import cut, owned, remove
 
 LEAST, LONGEST_PHRASE, PERCENT, SHOWN = 100, 5, 100, 2000
 OVERLAP, MODULUS, SHORTEST, LONGEST = LONGEST_PHRASE - 1, 64, 16, 512
-#: Bits of a bitmap of frequent words or bigrams: eight megabytes.
+#: Bits of a bitmap of frequent words, bigrams or trigrams: eight megabytes.
 BITS = 1 << 26
 #: Bytes of chunks, words, numbers of phrases and counted hashes that a task holds before it hands them on.
 CHUNK_BYTES, WORDS, PHRASE_NUMBERS, HASHES = 8 << 20, 300_000, 1 << 23, 1 << 21
+#: Tasks of the last count for each core: a frequent phrase is a row of each of them.
+TASKS_A_CORE = 2
 #: A piece end as a word of its own; it parts words, so no word is like it.
 BREAK = b"."
 _BYTES = bytes(0x2E if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -170,10 +173,10 @@ class Flat:
         seeds = np.array([xxhash.xxh3_64_intdigest(x, seed=1) for x in langs], np.uint64)
         return _mixed(numbers.hashes[self.word] ^ seeds[self.lang])
 
-    def bigrams(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether a word and the next one are in one piece, and the hash of both."""
-        both = self.is_word.copy()
-        both[:-1] &= self.is_word[1:] & (self.after[:-1] > 0)
+    def longer(self, some: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of phrases of one length, by place: whether one and the next one are there and in one chunk, and the hash of both."""
+        both = some.copy()
+        both[:-1] &= some[1:] & (self.after[:-1] > 0)
         both[-1:] = False
         pair = np.zeros(len(hashes), np.uint64)
         pair[:-1] = _mixed(hashes[:-1] * _MULTIPLIER + hashes[1:])
@@ -222,10 +225,10 @@ def has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _bigrams(frequent: np.ndarray):
-    """Rows of the dictionary to (hash, f) of bigrams of frequent words."""
+def _grams(frequent: np.ndarray, size: int):
+    """Rows of the dictionary to (hash, f) of phrases of ``size`` words whose two parts of one word less are frequent."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, langs, held, size = Numbers(), {}, [], 0
+        numbers, langs, held, n_held = Numbers(), {}, [], 0
 
         def out() -> pa.RecordBatch:
             hashes, times = (np.concatenate([x[k] for x in held]) if held else np.zeros(0, np.int64) for k in (0, 1))
@@ -239,16 +242,16 @@ def _bigrams(frequent: np.ndarray):
         for batch in batches:
             for some in _flat(batch):
                 flat = Flat(some, numbers, langs)
-                hashes = flat.hashes(numbers, langs)
-                both, pair = flat.bigrams(hashes)
-                often = has(frequent, hashes)
-                both &= often & flat.starts
-                both[:-1] &= often[1:]
-                held.append((pair[both], flat.times[both]))
-                size += int(both.sum())
-                if size > HASHES:
+                parts, hashes = flat.is_word, flat.hashes(numbers, langs)
+                for _ in range(size - 2):
+                    parts, hashes = flat.longer(parts, hashes)
+                both, hashes = flat.longer(parts & has(frequent, hashes), hashes)
+                both &= flat.starts
+                held.append((hashes[both], flat.times[both]))
+                n_held += int(both.sum())
+                if n_held > HASHES:
                     yield out()
-                    size = 0
+                    n_held = 0
                 if len(numbers.words) > WORDS:
                     numbers, langs = Numbers(), {}
         yield out()
@@ -268,47 +271,73 @@ def _summed(columns: list[np.ndarray], times: np.ndarray) -> tuple[np.ndarray, n
     return first, sums
 
 
-def _phrases(frequent: np.ndarray, longest: int):
-    """Rows of the dictionary to (lang, phrase, f) of phrases whose bigrams are all frequent."""
+def _phrases(pairs: np.ndarray, triples: np.ndarray | None, longest: int):
+    """Rows of the dictionary to (lang, phrase, f) of phrases whose bigrams and trigrams are all frequent."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, langs, size = Numbers(), {}, 0
         held: dict[int, list[np.ndarray]] = {n: [] for n in range(2, longest + 1)}  # lang, words, times
 
-        def out(n: int) -> pa.RecordBatch:
+        def together(n: int) -> np.ndarray:
+            """The rows of ``n`` words, each phrase once."""
             rows = np.concatenate([np.zeros((0, n + 2), np.int64), *held[n]])
-            held[n].clear()
             first, sums = _summed([rows[:, k] for k in range(n + 1)], rows[:, n + 1])
-            names, rows = list(langs), rows[first]
+            rows = rows[first]
+            rows[:, n + 1] = sums
+            return rows
+
+        def out(n: int) -> pa.RecordBatch:
+            rows, names = together(n), list(langs)
+            held[n].clear()
             phrase = [b" ".join([numbers.words[w] for w in row]).decode() for row in rows[:, 1:n + 1].tolist()]
             return pa.RecordBatch.from_arrays([pa.array([names[k] for k in rows[:, 0].tolist()], pa.string()), pa.array(phrase, pa.string()),
-                                               pa.array(sums, pa.int64())], ["lang", "phrase", "f"])
+                                               pa.array(rows[:, n + 1], pa.int64())], ["lang", "phrase", "f"])
+
+        def fewer_numbers() -> tuple[Numbers, dict[str, int]]:
+            """Numbers of those words and languages alone that are held; what is held gets them."""
+            names, fresh = list(langs), Numbers()
+            used = np.unique(np.concatenate([rows[:, 1:-1].ravel() for of in held.values() for rows in of]))
+            used_langs = np.unique(np.concatenate([rows[:, 0] for of in held.values() for rows in of]))
+            fresh([numbers.words[w] for w in used.tolist()])
+            for of in held.values():
+                for rows in of:
+                    rows[:, 1:-1] = np.searchsorted(used, rows[:, 1:-1])
+                    rows[:, 0] = np.searchsorted(used_langs, rows[:, 0])
+            return fresh, {names[k]: at for at, k in enumerate(used_langs.tolist())}
 
         for batch in batches:
             for some in _flat(batch):
                 flat = Flat(some, numbers, langs)
-                both, pair = flat.bigrams(flat.hashes(numbers, langs))
-                both &= has(frequent, pair)
-                at = np.flatnonzero(both & flat.starts)
+                two, pair = flat.longer(flat.is_word, flat.hashes(numbers, langs))
+                two &= has(pairs, pair)
+                if longest > 2:
+                    three, triple = flat.longer(two, pair)
+                    three &= has(triples, triple)
+                at = np.flatnonzero(two & flat.starts)
                 for n in range(2, longest + 1):
+                    if n > 2:
+                        at = at[three[at + n - 3]]
                     columns = np.column_stack([flat.lang[at], *[flat.word[at + k] for k in range(n)], flat.times[at]])
                     first, sums = _summed([columns[:, k] for k in range(n + 1)], columns[:, n + 1])
                     columns = columns[first]
                     columns[:, n + 1] = sums
                     held[n].append(columns)
                     size += columns.size
-                    at = at[both[at + n - 1]]
                 if size > PHRASE_NUMBERS or len(numbers.words) > WORDS:
-                    yield from map(out, held)
-                    size = 0
-                if len(numbers.words) > WORDS:
-                    numbers, langs = Numbers(), {}
+                    for n in held:
+                        held[n] = [together(n)]
+                    size = sum(rows.size for of in held.values() for rows in of)
+                    if len(numbers.words) > WORDS // 2:
+                        numbers, langs = fewer_numbers()
+                    if size > PHRASE_NUMBERS // 2 or len(numbers.words) > WORDS // 2:
+                        yield from map(out, held)
+                        numbers, langs, size = Numbers(), {}, 0
         yield from map(out, held)
 
     return made
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, word) to the hashes under which ``_bigrams`` looks them up."""
+    """Rows (lang, word) to the hashes under which ``_grams`` looks them up."""
     for batch in batches:
         lang = np.fromiter((xxhash.xxh3_64_intdigest(x, seed=1) for x in batch.column(0).to_pylist()), np.uint64, batch.num_rows)
         word = np.fromiter(map(xxhash.xxh3_64_intdigest, batch.column(1).to_pylist()), np.uint64, batch.num_rows)
@@ -334,11 +363,17 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     words = cut(chunks.mapInArrow(_words, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
                 .where((F.col("f") >= least) | F.col("phrase").isNull()))
     often = bitmap(words.where("phrase is not null").select("lang", "phrase").mapInArrow(_hashed, "hash long"))
-    counted = cut(chunks.mapInArrow(_bigrams(often), "hash long, f long").groupBy("hash").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
-    pairs = bitmap(counted)
-    phrases = cut(chunks.mapInArrow(_phrases(pairs, longest), "lang string, phrase string, f long").groupBy("lang", "phrase")
+    maps = []
+    for size in range(2, min(longest, 3) + 1):
+        grams = chunks.mapInArrow(_grams(maps[-1] if maps else often, size), "hash long, f long")
+        counted = cut(grams.groupBy("hash").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+        maps.append(bitmap(counted))
+        remove(counted)
+    pairs, triples = (*maps, None)[:2]
+    tasks = TASKS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism
+    phrases = cut(chunks.coalesce(tasks).mapInArrow(_phrases(pairs, triples, longest), "lang string, phrase string, f long").groupBy("lang", "phrase")
                   .agg(F.sum("f").alias("f")).where(F.col("f") >= least))
-    remove(chunks, counted)
+    remove(chunks)
     return words.unionByName(phrases)
 
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from geoflow.llm import lexical_search, phrases, threshold_search
@@ -112,6 +113,33 @@ def test_chunks_hold_every_phrase_once():
         assert parsed == direct
 
 
+def test_a_task_sums_phrases_up_before_it_hands_them_on(monkeypatch):
+    draw = random.Random(8)
+    words = [f"w{k}" for k in range(12)]
+    texts = [" ".join(draw.choice(words) for _ in range(40)) + f". only{k} once{k} never{k}" for k in range(200)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([lang] * 50), pa.array(texts[at:at + 50])], ["lang", "text"])
+               for at, lang in ((0, "en"), (50, "de"), (100, "en"), (150, "fr"))]
+    chunks = [b for batch in batches for b in phrases._parsed(iter([batch]))]
+    direct = Counter((lang.as_py(), " ".join(piece.split()[i:i + n])) for batch in batches for lang, text in zip(*batch.columns)
+                     for piece in text.as_py().split(".") for n in range(2, 6) for i in range(len(piece.split()) - n + 1))
+
+    def counted(pairs, triples, longest=5):
+        return [row for batch in phrases._phrases(pairs, triples, longest)(iter(chunks)) for row in zip(*batch.to_pydict().values())]
+
+    every, none = np.full(phrases.BITS // 8, 255, np.uint8), np.zeros(phrases.BITS // 8, np.uint8)
+    for most in (phrases.WORDS, 1600):  # words go beyond the lesser bound, and are numbered anew
+        monkeypatch.setattr(phrases, "WORDS", most)
+        rows = counted(every, every)
+        assert {(lang, phrase): f for lang, phrase, f in rows} == direct and len(rows) == len(direct)
+    few = {key: f for key, f in direct.items() if len(key[1].split()) == 2}
+    assert {(lang, phrase): f for lang, phrase, f in counted(every, none)} == few == {(lang, phrase): f for lang, phrase, f in counted(every, None, 2)}
+    monkeypatch.setattr(phrases, "PHRASE_NUMBERS", 2000)  # what is too much is handed on in parts
+    total = Counter()
+    for lang, phrase, f in counted(every, every):
+        total[lang, phrase] += f
+    assert total == direct
+
+
 def ranked(docs, items, k=10):
     def terms(text):
         return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lowered(text)) if text else []
