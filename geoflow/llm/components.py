@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoflow.session import cut
+from geoflow.session import cut, remove
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -17,8 +17,9 @@ def _with_least(edges: DataFrame) -> DataFrame:
 def stars(edges: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` of long ids to ``(node, root)`` for every node but the roots; root is the least id reachable.
 
-    Each round is a few grouped minima and is written to the shared folder, so nothing is
-    gathered and lost executors cost a round at most. Self-loops and repeats are harmless.
+    Each round is a few grouped minima and is written to the shared folder in two steps, so nothing is
+    gathered and lost executors cost a step at most. In one plan the first step would stand twice, with its exchanges, each
+    of which is a thread of the driver and on small inputs often a broadcast. Self-loops and repeats are harmless.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
@@ -28,8 +29,10 @@ def stars(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = tuple(state)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(_with_least(both).where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         pairs = _with_least(large)
         small = pairs.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         own = pairs.select("u", F.col("m").alias("v"))
-        now = cut(small.unionByName(own).where("u > v").distinct())
+        after = cut(small.unionByName(own).where("u > v").distinct())
+        remove(now, large)
+        now = after

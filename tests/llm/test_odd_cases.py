@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from geoflow.llm import common, licenses, ngram_join, quality_net, quality_rules, secrets, sentencepiece, substring_dedup, toxicity, warc
+from geoflow.llm import common, components, licenses, ngram_join, quality_net, quality_rules, secrets, sentencepiece, substring_dedup, toxicity, warc
 from geoflow.llm.queries import OP10_SQL
 from geoflow.session import scope, shared_dir
 from tests.conftest import plan
@@ -361,3 +361,29 @@ def test_dropping_copies_does_not_shuffle_the_texts(spark):
             assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted([1, *range(0, 30, 3)])
     finally:
         spark.conf.set(name, before)
+
+
+def test_a_round_of_stars_is_two_small_plans(spark, monkeypatch):
+    draw = random.Random(4)
+    edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(500, 560)] + [(7, 7), (1, 2), (1, 2)]
+    root = {}
+
+    def least(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = least(a), least(b)
+        root[max(a, b)] = min(a, b)
+    kept, keep = [], components.cut
+
+    def seen(df):
+        kept.append(plan(df).count("hashpartitioning"))
+        return keep(df)
+
+    monkeypatch.setattr(components, "cut", seen)
+    with scope():
+        got = components.stars(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.root for r in got} == {x: least(x) for x in root if least(x) != x}
+    assert len(kept) > 5 and max(kept) <= 3  # nine when a round was one plan
