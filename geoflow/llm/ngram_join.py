@@ -38,7 +38,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -78,8 +78,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_table(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes (int64) of all texts in a row, and where each text's start and end."""
-    numbers: defaultdict[bytes, int] = defaultdict()
-    numbers.default_factory = numbers.__len__
+    # A factory that knew the dict would keep all words in memory until Python looks for cycles.
+    numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
     words = list(map(spaced_bytes, texts))
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes)

@@ -31,7 +31,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -72,8 +72,7 @@ class Numbers:
     """Numbers of words in the order of their first use, with a hash each."""
 
     def __init__(self) -> None:
-        self.of: defaultdict[bytes, int] = defaultdict()
-        self.of.default_factory = self.of.__len__
+        self.of: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.words: list[bytes] = []
         self.hashes = np.zeros(0, np.uint64)
 

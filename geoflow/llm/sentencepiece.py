@@ -34,6 +34,7 @@ from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -377,8 +378,8 @@ def encode_units(model: Model, units: list[str], own: np.ndarray, drop: Dropout,
 
 def encode_texts(model: Model, ids: list[int | None], texts: list[str | None], drop: Dropout) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row (int32), and how many each text has; null counts as empty."""
-    numbers: defaultdict[str, int] = defaultdict()
-    numbers.default_factory = numbers.__len__
+    # A factory that knew the dict would keep all units in memory until Python looks for cycles.
+    numbers: defaultdict[str, int] = defaultdict(count().__next__)
     places, counts = array("q"), []
     for text in texts:
         units = model.units.findall((" " if model.dummy else "") + text) if text else []

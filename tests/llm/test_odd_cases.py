@@ -1,9 +1,11 @@
 """Cases that were once dropped, second forms of what SQL cannot say, and the pipeline against a plain form of its stages."""
 
+import gc
 import hashlib
 import math
 import random
 import re
+from collections import defaultdict
 
 import duckdb
 import numpy as np
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from geoflow.llm import common, components, licenses, ngram_join, quality_net, quality_rules, secrets, sentencepiece, substring_dedup, toxicity, warc
+from geoflow.llm import common, components, licenses, ngram_join, phrases, quality_net, quality_rules, secrets, sentencepiece, substring_dedup, toxicity, warc
 from geoflow.llm.queries import OP10_SQL
 from geoflow.session import scope, shared_dir
 from tests.conftest import plan
@@ -315,6 +317,33 @@ def test_nothing_is_left_behind(spark, tmp_path):
     assert there() == before
 
 
+# --- memory of workers ----------------------------------------------------------
+
+@pytest.mark.parametrize("work", [
+    lambda texts: sentencepiece.encode_texts(sentencepiece.model_of(sentencepiece.MODEL), list(range(len(texts))), texts, sentencepiece.Dropout()),
+    lambda texts: ngram_join.shingle_table(texts, 4),
+    lambda texts: [quality_rules.repeated(t.split()) for t in texts],
+    lambda texts: phrases.Numbers()([w.encode() for t in texts for w in t.split()]),
+], ids=["pieces", "shingles", "repeated", "phrases"])
+def test_numbered_words_go_with_their_texts(work):
+    """No cycle keeps them: a worker that makes few objects looks for cycles late, and would hold the words of many texts."""
+    draw = random.Random(5)
+    texts = [prose(draw, 60) for _ in range(20)]
+
+    def tables() -> int:
+        return sum(type(x) is defaultdict and len(x) > 0 for x in gc.get_objects())
+
+    work(texts)
+    gc.collect()
+    gc.disable()
+    try:
+        before = tables()
+        work(texts)
+        assert tables() == before
+    finally:
+        gc.enable()
+
+
 # --- n-gram join ----------------------------------------------------------------
 
 @pytest.mark.parametrize("width", [1, 4, 5])
