@@ -124,7 +124,8 @@ def aggregate(spark: SparkSession, given: Inputs, out: str, options: Options = O
         _counted(report, "corridors", by_magnitude(top, "migrations", ["src_id", "dst_id"]), lambda df: facts.write_result(df, f"{out}/corridors"))
 
     def walks() -> None:
-        walked = lineages(people, regions, options.seeds, options.nodes, late)
+        # Kept before it is ordered: sorting by ranges runs twice over what it sorts, here a scan of all people.
+        walked = cut(lineages(people, regions, options.seeds, options.nodes, late))
         _counted(report, "lineages", walked.orderBy("lineage_id", "depth"), lambda df: facts.write_result(df, f"{out}/lineages"), None)
 
     together(walks, cells, routes)

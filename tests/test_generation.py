@@ -290,6 +290,26 @@ def test_whole_run(spark, tmp_path):
     assert sorted(x["id"] for x in lines) == list(range(50))
 
 
+def test_lineages_are_ordered_without_a_scan_of_people(spark, tmp_path, monkeypatch):
+    """Sorting by ranges runs twice over what it sorts."""
+    regions_file, events_file, out = tmp_path / "regions.json", tmp_path / "events.json", str(tmp_path / "out")
+    regions_file.write_text(json.dumps(region_rows(4)))
+    events_file.write_text(json.dumps(event_rows()))
+    given = job.Inputs(read_regions(spark, str(regions_file)), load_catalog(spark, str(events_file)), P)
+    job.run(spark, given, out, Scale("x", 1, 4), stages=("generate",))
+    plans, write = {}, facts.write_result
+
+    def watched(df, path):
+        plans[path.rsplit("/", 1)[1]] = plan(df)
+        write(df, path)
+
+    monkeypatch.setattr(facts, "write_result", watched)
+    job.run(spark, given, out, Scale("x", 1, 4), stages=("aggregate",))
+    assert f"{out}/people" in plans["density"] and f"{out}/people" not in plans["lineages"]
+    written = [(r["lineage_id"], r["depth"]) for r in spark.read.parquet(f"{out}/lineages").collect()]
+    assert written == sorted(written) and len(written) > 50
+
+
 def test_options_and_check_of_a_run(spark, tmp_path):
     regions_file, events_file, out = tmp_path / "regions.json", tmp_path / "events.json", str(tmp_path / "out")
     regions_file.write_text(json.dumps(region_rows(4)))
